@@ -216,4 +216,4 @@ def identify(docs: DataFrame, model: Model | None = None, block: int = BLOCK) ->
         return pa.RecordBatch.from_arrays([part.column(0), part.column(2), lang, pa.array(confidence), pa.array(bits, mask=np.isnan(bits))], ["doc_id", "held_out", "lang_pred", "score", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
-    return rows.mapInArrow(textkit.mapper(score, 1, 4 << 20), SCHEMA)
+    return rows.mapInArrow(textkit.mapper(score, 1, 2 << 20), SCHEMA)

@@ -11,12 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat_format, language_id, toxicity
+from cadenza.llm import chat_format, language_id, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Arrow batches between the JVM and Python; the default of 64 MB times cores and copies is most of a small executor.
+ARROW_BATCH = "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,10 +63,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
 }
 
 ORACLE: dict[str, str] = {

@@ -8,6 +8,7 @@ words.  A null text counts as an empty one everywhere.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +59,15 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         at = end
 
 
+def let_go() -> None:
+    """Gives memory that is free in the allocators back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def mapper(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: int = 1, most: int = SLICE_BYTES):
     """A function for mapInArrow that calls fn on slices of bounded size."""
 
@@ -67,6 +77,7 @@ def mapper(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: int =
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+            let_go()
 
     return run
 
