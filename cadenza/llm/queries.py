@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat_format, language_id, quality, toxicity
+from cadenza.llm import chat_format, decontamination, language_id, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,11 +67,32 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after two edits at places that hashes of its doc_id give."""
+    length = F.length(F.coalesce("text", F.lit("")))
+
+    def place(seed: int) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(seed)), length + 1).cast("int")
+
+    def part(seed: int, below: int) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(below)).cast("int")
+
+    one = F.struct(place(31).alias("start"), part(32, 40).alias("length"), F.concat(F.lit(" edit "), part(33, 1000).cast("string")).alias("replacement"))
+    two = F.struct(place(34).alias("start"), part(35, 3).alias("length"), F.lit("").alias("replacement"))
+    return token_counts.count_with_edits(table(spark, sf_dir, "documents"), F.array(one, two))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLE: dict[str, str] = {
