@@ -188,22 +188,28 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = PIECE_CHARS) -> Model:
-    """Learns from `rows` labelled rows a language at most, `chars` characters from each, both picked by hashes of doc_id."""
-    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    names = [r.lang for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
+def sample_pieces(labelled: DataFrame, label: str, rows: int, chars: int) -> dict[str, list[str]]:
+    """`rows` rows a label at most, `chars` characters from each, both picked by hashes of doc_id: {label: pieces}."""
+    labelled = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    marks = labelled.select("doc_id", label)
+    names = [r[0] for r in marks.select(label).distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
-    picked = labelled.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows).select("doc_id", "lang").distinct()
+        raise ValueError(f"more than {MAX_LANGUAGES} labels in {label}")
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
+    picked = marks.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows).select("doc_id", label).distinct()
     room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
     piece = F.substring(F.col("text"), (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(13)), room)).cast("int"), F.lit(chars))
     # at most MAX_LANGUAGES * rows ids are broadcast, and as many pieces of bounded length come back
-    pieces = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).filter("text is not null").groupBy("doc_id", "lang").agg(F.min(piece).alias("piece"))
+    pieces = labelled.select("doc_id", label, "text").join(F.broadcast(picked), ["doc_id", label]).filter("text is not null").groupBy("doc_id", label).agg(F.min(piece).alias("__piece"))
     texts: dict[str, list[str]] = {}
     for r in sorted(pieces.collect()):
-        texts.setdefault(r.lang, []).append(r.piece)
-    return build(texts)
+        texts.setdefault(r[1], []).append(r[2])
+    return texts
+
+
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = PIECE_CHARS) -> Model:
+    """Learns from a bounded sample of the labelled rows that are not held out."""
+    return build(sample_pieces(docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id"), 4, 2)), "lang", rows, chars))
 
 
 def identify(docs: DataFrame, model: Model | None = None, block: int = BLOCK) -> DataFrame:

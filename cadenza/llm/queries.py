@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat_format, decontamination, language_id, quality, token_counts, toxicity
+from cadenza.llm import chat_format, decontamination, language_id, mixing, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates with which every language has the same expected tokens, at the tokens there are."""
+    return mixing.mix(table(spark, sf_dir, "documents"), label="lang")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
