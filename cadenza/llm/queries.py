@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat_format, decontamination, language_id, mixing, quality, token_counts, toxicity
+from cadenza.llm import chat_format, decontamination, language_id, mixing, near_dedup, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after two edits at places that hashes of its doc_id give."""
     length = F.length(F.coalesce("text", F.lit("")))
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
     "op10_mixing": op10_mixing,
