@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat_format, decontamination, language_id, mixing, near_dedup, quality, token_counts, toxicity
+from cadenza.llm import chat_format, decontamination, language_id, mixing, near_dedup, quality, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,30 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS content
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)
+), least AS (
+  SELECT content, min(doc_id) AS low FROM windows GROUP BY content HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS j FROM windows JOIN least USING (content), range(13) AS r(k) WHERE doc_id > low
+), cells AS (
+  SELECT doc_id, j, words[j] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS j FROM w)
+), kept AS (
+  SELECT c.doc_id, string_agg(c.word, ' ' ORDER BY c.j) AS text, count(*) AS n FROM cells c ANTI JOIN gone g ON c.doc_id = g.doc_id AND c.j = g.j GROUP BY c.doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates with which every language has the same expected tokens, at the tokens there are."""
     return mixing.mix(table(spark, sf_dir, "documents"), label="lang")
@@ -103,9 +127,11 @@ QUERIES: dict[str, Query] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
