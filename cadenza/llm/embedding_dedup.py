@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import flat_graph, textkit
 from cadenza.llm.graph import components
+from cadenza.llm.storage import saved
 
 U = np.uint64
 LEAST = 0.98
@@ -188,8 +189,8 @@ def blocks(rows: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
 
 def link(vectors: DataFrame, least: float = LEAST, cap: int = SHARD_CAP) -> tuple[DataFrame, DataFrame]:
     """(groups of equal vectors, their links: rep, links, low, asked, found a block)."""
-    found = groups(vectors).checkpoint()
-    rows = assigned(found, centroids(found)).checkpoint()
+    found = saved(groups(vectors))
+    rows = saved(assigned(found, centroids(found)))
     parts = blocks(rows, cap)
     lists = parts.select("shard", "part", "rep", "embedding").groupBy("shard", "part").applyInArrow(build, "rep bigint, near array<bigint>")
     flat = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
@@ -198,7 +199,7 @@ def link(vectors: DataFrame, least: float = LEAST, cap: int = SHARD_CAP) -> tupl
     places = F.flatten(F.transform(other, lambda o: F.when(o == F.col("part"), F.array(F.struct(o.alias("i"), o.alias("j"), F.lit(2).alias("role")))).otherwise(
         F.array(F.struct(F.col("part").alias("i"), o.alias("j"), F.lit(0).alias("role")), F.struct(o.alias("i"), F.col("part").alias("j"), F.lit(1).alias("role"))))))
     placed = parts.join(flat, "rep").select("shard", F.explode(places).alias("at"), "rep", "copies", "embedding", "shards", "near").select("shard", "at.*", "rep", "copies", "embedding", "shards", "near")
-    links = placed.groupBy("shard", "i", "j").applyInArrow(lambda t: search(t, least), "rep bigint, links bigint, low bigint, asked bigint, found bigint").checkpoint()
+    links = saved(placed.groupBy("shard", "i", "j").applyInArrow(lambda t: search(t, least), "rep bigint, links bigint, low bigint, asked bigint, found bigint"))
     return found, links
 
 

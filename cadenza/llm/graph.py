@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.storage import saved
+
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -19,7 +21,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """For edges (u, v) of bigint ids: node, component (its smallest id), for every node that has an edge."""
     plain = edges.filter("u is not null and v is not null")
     alone = plain.filter("u = v").select(F.col("u").alias("node"))
-    edges = plain.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    edges = saved(plain.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _digest(edges)
     for _ in range(rounds):
         if not before[0]:
@@ -31,7 +33,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours go to the smallest of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         joined = edges.join(least, "u")
-        edges = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        edges = saved(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         after = _digest(edges)
         if after == before:
             break

@@ -223,3 +223,15 @@ def identify(docs: DataFrame, model: Model | None = None, block: int = BLOCK) ->
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
     return rows.mapInArrow(textkit.mapper(score, 1, 2 << 20), SCHEMA)
+
+
+def keep_identified(docs: DataFrame, max_bits: float, model: Model | None = None) -> DataFrame:
+    """The rows of docs, with its own columns, whose text has a language: not und, and at most max_bits bits a byte."""
+    text = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        _, _, bits = predict(shared.value, part.column(text))
+        return part.filter(pa.array(bits <= max_bits))  # und has none
+
+    return docs.mapInArrow(textkit.mapper(run, text, 2 << 20), docs.schema)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import textkit
 from cadenza.llm.language_id import sample_pieces
+from cadenza.llm.storage import saved
 
 U = np.uint64
 BITS = 16
@@ -130,7 +131,7 @@ def solve(members: DataFrame, domains: list[str], weights: dict[str, float] | No
 def mix(docs: DataFrame, labelled: DataFrame | None = None, label: str = "lang", weights: dict[str, float] | None = None, budget: float | None = None, model: Model | None = None) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), posterior, rate, copies (the rate rounded up or down by a hash of doc_id) of every row."""
     model = model or fit(labelled if labelled is not None else docs, label)
-    members = memberships(docs, model).checkpoint()  # read once an iteration
+    members = saved(memberships(docs, model))  # read once an iteration
     history, _, _ = solve(members, model.domains, weights, budget)
     names = F.array(*(F.lit(d) for d in model.domains))
     best = F.array_position("posterior", F.array_max("posterior"))
