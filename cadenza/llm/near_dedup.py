@@ -17,9 +17,10 @@ links are verified by the exact index of the texts.
 2. In every bucket of a band the members are candidates with the smallest member:
    a star, not all pairs.  Candidates whose registers agree enough (`SLACK` below
    the threshold) are verified; links give components.
-3. Buckets that still hold members of more than one component are completed: each
-   member outside the component of the smallest is a candidate with all members of
-   other components.  So every pair in a common bucket is linked, or verified, or
+3. Buckets that still hold members of more than one component get further stars
+   around random members, as long as those join components; then they are completed:
+   members of different components are candidates, found by comparing registers in
+   blocks and verified inside the tasks, which only links leave.  So every pair in a common bucket is linked, or verified, or
    joined through other links, and the classes are those of all pairs.
 
 Result: one row a document with its class, the smallest doc_id of its component.
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import textkit
 from cadenza.llm.graph import components
+from cadenza.llm.storage import saved
 
 U = np.uint64
 WORDS, THRESHOLD = 5, 0.8
@@ -47,6 +49,10 @@ BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 #: Registers estimate J_P with a standard error of 0.04 at 0.8; four of these below the threshold are not verified.
 SLACK = 0.16
+#: Rounds of stars around random members of the buckets that are still mixed; they end once fewer than a fifth of the members outside join.
+ROUNDS, LEADERS, SHRINK = 8, 4, 0.8
+#: Members of a bucket that are compared with as many others at a time.
+BLOCK = 1024
 #: Ids that are broadcast to pick rows of documents, at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -179,29 +185,114 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(textkit.mapper(run, 2), "a bigint, b bigint")
 
 
+def mixed(inside: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, b, component, low of the buckets whose members are in several components (low is the smallest)."""
+    named = inside.select("bucket", "b").join(found.toDF("b", "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket", "low")
+    return saved(named.join(several, "bucket"))
+
+
+def likely(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers (a, b) and agreement of the pairs of a block that are in different components, agree enough, and meet first in this bucket."""
+    parts, names = np.asarray(table["part"]), np.asarray(table["component"])
+    bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    i, j, bucket = (table[c][0].as_py() for c in ("i", "j", "bucket"))
+    x, y = np.flatnonzero(parts == i), np.flatnonzero(parts == j)
+    agree = np.zeros((len(x), len(y)), np.uint8)
+    for r in range(REGISTERS):
+        agree += sig[x, r][:, None] == sig[y, r][None, :]
+    good = (agree >= least * REGISTERS) & (names[x][:, None] != names[y][None, :])
+    if i == j:
+        good = np.triu(good, 1)
+    a, b = np.nonzero(good)
+    agree = agree[a, b]
+    a, b = x[a], y[b]
+    same = bands[a] == bands[b]
+    first = bands[a, same.argmax(axis=1)] == bucket if len(a) else np.zeros(0, bool)
+    order = np.argsort(-agree[first].astype(int), kind="stable")
+    return a[first][order], b[first][order], agree[first][order]
+
+
+def completed(open_: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join all components whose members have a link and a common bucket.
+
+    Registers are compared in blocks of at most `block` by `block` members.  Texts
+    follow only for members with a likely pair, and the pairs are verified inside
+    the task; of those, links that join what other links of the block have joined
+    already are not needed, so no more links leave a block than it has members.
+    """
+    keys = "bucket bigint, i int, j int, b bigint, component bigint, part int, bands array<bigint>, sig binary"
+
+    def narrow(table: pa.Table) -> pa.Table:
+        a, b, _ = likely(table, threshold - slack)
+        return table.select(["bucket", "i", "j", "b", "component", "part", "bands", "sig"]).take(pa.array(np.unique(np.concatenate([a, b]))))
+
+    def verify(table: pa.Table) -> pa.Table:
+        a, b, _ = likely(table, threshold - slack)
+        shingle, weight, first = counted(*textkit.set_words(table["text"].combine_chunks(), WORDS))
+        ids = np.asarray(table["b"])
+        root = list(range(len(ids)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = find(x), find(y)
+            if p == q:
+                continue
+            sides = [(shingle[first[k] : first[k + 1]], weight[first[k] : first[k + 1]]) for k in (x, y)]
+            if similarity(*sides) >= threshold - 1e-12:
+                root[max(p, q)] = min(p, q)
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+
+    sizes = open_.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    rows = open_.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("b", F.lit(59)), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.select("bucket", "b", "component", "part", other.alias("o")).select("bucket", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "b", "component", "part")
+    rows = rows.join(reps.select(F.col("rep").alias("b"), "bands", "sig"), "b")
+    rows = saved(rows.groupBy("bucket", "i", "j").applyInArrow(narrow, keys))
+    texts = pick(docs, rows.select(F.col("b").alias("doc_id")).distinct())
+    return rows.join(texts.toDF("b", "text"), "b").groupBy("bucket", "i", "j").applyInArrow(verify, "a bigint, b bigint")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), kept (doc_id is class_id) of every row of docs."""
-    rows = sketch(docs).checkpoint()
+    rows = saved(sketch(docs))
     known = rows.filter("bands is not null and doc_id is not null")
-    reps = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig")).checkpoint()
+    reps = saved(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig")))
 
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("bucket", "a")
-    inside = members.join(shared, "bucket").select("bucket", "a", F.col("rep").alias("b")).checkpoint()
+    inside = saved(members.join(shared, "bucket").select("bucket", "a", F.col("rep").alias("b")))
     stars = inside.filter("a < b").select("a", "b").distinct()
-    links = verified(agreeing(stars, reps, threshold - SLACK).checkpoint(), docs, threshold).checkpoint()
+    likely = saved(agreeing(stars, reps, threshold - SLACK))
+    links = saved(verified(likely, docs, threshold))
     found = components(links.toDF("u", "v"))
 
-    # buckets with members of several components
-    named = inside.join(found.toDF("b", "component"), "b", "left").withColumn("component", F.coalesce("component", "b")).select("bucket", "b", "component")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket", "low")
-    open_ = named.join(mixed, "bucket").checkpoint()
-    rest = open_.filter("component <> low").select("bucket", F.col("b").alias("r"), F.col("component").alias("own"))
-    more = rest.join(open_, "bucket").filter("own <> component").select(F.least("r", "b").alias("a"), F.greatest("r", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = agreeing(more, reps, threshold - SLACK).checkpoint()
-    if more.limit(1).count():
-        links = links.unionByName(verified(more, docs, threshold)).checkpoint()
+    # buckets that hold members of several components: stars around a few random members, while that joins components
+    tested, before = stars, None
+    for seed in range(ROUNDS):
+        open_ = mixed(inside, found)
+        rest = open_.filter("component <> low").count()
+        if not rest or (before is not None and rest > SHRINK * before):
+            break
+        before = rest
+        leaders = open_.groupBy("bucket").agg(F.array(*(F.min_by(F.struct("b", "component"), F.xxhash64("b", F.lit(100 * seed + i))) for i in range(LEADERS))).alias("leaders"))
+        more = open_.join(leaders.select("bucket", F.explode("leaders").alias("l")), "bucket").filter("component <> l.component").select(F.least("b", "l.b").alias("a"), F.greatest("b", "l.b").alias("b"))
+        more = saved(more.distinct().join(tested, ["a", "b"], "left_anti"))
+        links = saved(links.unionByName(verified(saved(agreeing(more, reps, threshold - SLACK)), docs, threshold)))
         found = components(links.toDF("u", "v"))
+        tested = tested.unionByName(more)
+    # what is left is tested in full
+    more = saved(completed(mixed(inside, found), reps, docs, threshold))
+    if more.limit(1).count():
+        found = components(links.unionByName(more).toDF("u", "v"))
     ids = reps.select("fp", "rep").join(found.toDF("rep", "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("fp")).alias("fp")).join(ids, "fp", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
