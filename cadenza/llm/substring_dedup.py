@@ -36,11 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import textkit
 from cadenza.llm.fm_index import FMIndex
+from cadenza.llm.storage import saved
 
 U = np.uint64
 WINDOW, PIECE = 13, 5
@@ -127,20 +129,66 @@ def ask(shards: int):
     return textkit.mapper(run, 1, SLICE)
 
 
-def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's packed rows to (doc_id, keys) rows: minimizers that another document has too."""
+def answer(shards: int):
+    """A shard's packed rows to packed (shard, docs, keys) rows, by a hash of doc_id: minimizers that another document has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc = _shared(batches)
+        yield from _packed(["shard", "docs", "keys"], _shards(doc.view(U), shards), shards, doc, key)
+
+    return run
+
+
+def _packed(names: list[str], shard: np.ndarray, shards: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row a shard with the packed values of each column."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    rows = [(p, *(_binary(c[order[cuts[p] : cuts[p + 1]]]) for c in columns)) for p in range(shards) if cuts[p] < cuts[p + 1]]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows))], names)
+
+
+def keys_by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed (shard, docs, keys) rows to one (doc_id, keys) row a document."""
+    doc, key = _whole(batches, [np.int64, np.int64])
+    ids, sizes, (key,) = _by_doc(doc, key)
+    if len(ids):
+        yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(key, sizes, pa.int64())], ["doc_id", "keys"])
+
+
+def intervals_by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed (shard, docs, starts, ends) rows to one (doc_id, starts, ends) row a document."""
+    doc, start, end = _merged(*_whole(batches, [np.int64, np.int32, np.int32]))
+    ids, sizes, (start, end) = _by_doc(doc, start, end)
+    if len(ids):
+        yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(start, sizes, pa.int32()), _lists(end, sizes, pa.int32())], ["doc_id", "starts", "ends"])
+
+
+def _merged(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching intervals of a document become one."""
+    if len(docs) == 0:
+        return docs, starts, ends
+    order = np.lexsort((ends, starts, docs))
+    docs, starts, ends = docs[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
+    number = np.cumsum(np.concatenate([[0], docs[1:] != docs[:-1]])) << 33
+    reach = np.maximum.accumulate(ends + number) - number
+    at = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (starts[1:] > reach[:-1])]))
+    last = reach[np.append(at[1:], len(docs)) - 1]
+    return docs[at], starts[at].astype(np.int32), last.astype(np.int32)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """(minimizer, document) pairs of a shard whose minimizer another document has too."""
     key, doc, known = _whole(batches, [U, np.int64, bool])
     if len(key) == 0:
-        return
+        return key.view(np.int64), doc
     order = np.argsort(key, kind="stable")
     key, doc, known = key[order], doc[order], known[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
     several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
     good = known | several[group]
-    ids, sizes, (key,) = _by_doc(doc[good], key[good].view(np.int64))
-    if len(ids):
-        yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(key, sizes, pa.int64())], ["doc_id", "keys"])
+    return key[good].view(np.int64), doc[good]
 
 
 def runs_of(hashes: np.ndarray, first: np.ndarray, shared: np.ndarray, shared_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,11 +261,19 @@ def send(shards: int):
     return textkit.mapper(run, 1, SLICE)
 
 
-def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's packed segments to (doc_id, starts, ends) rows: intervals of words that go."""
+def report(shards: int):
+    """A shard's packed segments to packed (shard, docs, starts, ends) rows, by a hash of doc_id: intervals of words that go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, start, end = _found(batches)
+        yield from _packed(["shard", "docs", "starts", "ends"], _shards(doc.view(U), shards), shards, doc, start, end)
+
+    return run
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and intervals of words that go, as a shard's segments show."""
     word, size, doc, start, decided = _whole(batches, [U, np.int16, np.int64, np.int32, bool])
-    if len(doc) == 0:
-        return
     size = size.astype(np.int64)
     out = [(doc[decided], start[decided], start[decided] + size[decided])]
     size, doc, start = size[~decided], doc[~decided], start[~decided]
@@ -244,17 +300,7 @@ def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = mine[np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
             place = start[which] + np.repeat(offset, count)
             out.append((doc[which], place, place + WINDOW))
-    docs, starts, ends = (np.concatenate([x[i] for x in out]) for i in range(3))
-    if len(docs):
-        order = np.lexsort((ends, starts, docs))
-        docs, starts, ends = docs[order], starts[order], ends[order]
-        # overlapping and touching intervals of a document become one
-        reach = np.maximum.accumulate(ends + (np.cumsum(np.concatenate([[0], docs[1:] != docs[:-1]])) << 33))
-        fresh = np.concatenate([[True], (docs[1:] != docs[:-1]) | (starts[1:] > (reach[:-1] & ((1 << 33) - 1)))])
-        at = np.flatnonzero(fresh)
-        last = (reach[np.append(at[1:], len(docs)) - 1] & ((1 << 33) - 1)).astype(np.int32)
-        ids, sizes = np.unique(docs[at], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(starts[at].astype(np.int32), sizes, pa.int32()), _lists(last, sizes, pa.int32())], ["doc_id", "starts", "ends"])
+    return _merged(*(np.concatenate([x[i] for x in out]) for i in range(3)))
 
 
 def search(word: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,16 +336,17 @@ def shard_count(spark) -> int:
 
 
 def intervals(docs: DataFrame) -> DataFrame:
-    """doc_id, starts, ends (arrays of word positions, ends exclusive, in no order and possibly overlapping) of the words that go."""
+    """doc_id, starts, ends (arrays of word positions, ends exclusive) of the words that go."""
     spark = docs.sparkSession
     shards = shard_count(spark)
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     asked = rows.mapInArrow(ask(shards), "shard int, keys binary, docs binary, known binary")
-    answers = asked.repartition(shards, "shard").mapInArrow(answer, "doc_id bigint, keys array<bigint>")
-    answers = answers.groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    # packed rows go to a shard and, packed again, to the documents: a row a shard and task, not a row a word or document
+    answers = asked.repartition(shards, "shard").mapInArrow(answer(shards), "shard int, docs binary, keys binary")
+    answers = answers.repartition(shards, "shard").mapInArrow(keys_by_doc, "doc_id bigint, keys array<bigint>")
     segments = rows.join(answers, "doc_id").select("doc_id", "text", "keys").mapInArrow(send(shards), "shard int, words binary, sizes binary, docs binary, starts binary, decided binary")
-    found = segments.repartition(shards, "shard").mapInArrow(report, "doc_id bigint, starts array<int>, ends array<int>")
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    found = segments.repartition(shards, "shard").mapInArrow(report(shards), "shard int, docs binary, starts binary, ends binary")
+    return found.repartition(shards, "shard").mapInArrow(intervals_by_doc, "doc_id bigint, starts array<int>, ends array<int>")
 
 
 def kept_bytes(column: pa.Array, starts: pa.Array, ends: pa.Array) -> tuple[np.ndarray, np.ndarray, list[memoryview]]:
@@ -333,11 +380,11 @@ def kept_bytes(column: pa.Array, starts: pa.Array, ends: pa.Array) -> tuple[np.n
 
 
 def with_intervals(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the columns starts and ends; found is broadcast if it is small, else joined by a shuffle."""
-    found = found.checkpoint()
+    """docs with the columns __starts and __ends; found is broadcast if it is small, else joined by a shuffle."""
+    found = saved(found.toDF("__id", "__starts", "__ends"))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("bigint") == F.col("__id"), "left")
+    return docs.join(found, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -348,17 +395,28 @@ def dedup(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(removed), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = with_intervals(plain, intervals(docs)).select("doc_id", "text", "starts", "ends")
+    rows = with_intervals(plain, intervals(docs)).select("doc_id", "text", "__starts", "__ends")
     return rows.mapInArrow(textkit.mapper(run), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def removed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left joined by one space) of the documents that lose words."""
+def strip(docs: DataFrame) -> DataFrame:
+    """docs with its own columns: texts without the words that go (n_chars follows), and without the documents that lose every word.
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        n, removed, texts = kept_bytes(part.column(1), part.column(2), part.column(3))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(removed), pa.array([bytes(t).decode() for t in texts], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+    A document that loses nothing stays as it is, byte for byte.
+    """
+    names = docs.columns
+    text = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else None
 
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = with_intervals(plain, intervals(docs)).filter("starts is not null").select("doc_id", "text", "starts", "ends")
-    return rows.mapInArrow(textkit.mapper(run), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [part.column(i) for i in range(len(names))]
+        n, removed, kept = kept_bytes(columns[text], part.column(len(names)), part.column(len(names) + 1))
+        lost = removed > 0
+        new = pa.array([bytes(t).decode() if x else None for t, x in zip(kept, lost)], columns[text].type)
+        columns[text] = pc.if_else(pa.array(lost), new, columns[text])
+        if chars is not None:
+            columns[chars] = pc.if_else(pa.array(lost), pc.utf8_length(new).cast(columns[chars].type), columns[chars])
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(~lost | (n > removed)))
+
+    rows = with_intervals(docs, intervals(docs)).select(*names, "__starts", "__ends")
+    return rows.mapInArrow(textkit.mapper(run, text), docs.schema)
