@@ -39,7 +39,7 @@ from cadenza.llm.storage import saved
 U = np.uint64
 LEAST = 0.98
 #: Vectors that centroids are fitted on, at most; vectors a shard should have; shards a vector is in.
-SAMPLE_ROWS, SHARD_ROWS, OVERLAP = 20_000, 1500, 2
+SAMPLE_ROWS, SHARD_ROWS, OVERLAP = 20_000, 400, 3
 SHARD_CAP = 4096
 AUDIT, LEAST_RECALL = 32, 0.995
 DEGREE = 24
