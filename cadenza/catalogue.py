@@ -1,10 +1,583 @@
-"""Queries by name over the driver's tables, and SQL with the same rows."""
+"""Queries by name over the driver's tables, and SQL with the same rows.
+
+Every query reads whole tables.  Each SQL text starts with the views of the
+driver's tables that it needs, since only those tables are registered there.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.functions import note as note_fn
+from cadenza.functions import pitch
+from cadenza.operators import hands, key, lanes, matching, notation, refine, tempo, verify
+from cadenza.sources import sinks, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+NOTES = """notes AS (
+  SELECT event_id AS note_id, user_id AS recording_id,
+    CAST(36 + CAST(json_extract_string(props,'$.k') AS INT) % 24 AS INT) AS midi,
+    (epoch_us(ts)-1704067200000000)//86400 AS start_us,
+    (epoch_us(ts)-1704067200000000)//86400 + greatest(20000, least(2000000, CAST(round(value*10000) AS BIGINT))) AS end_us,
+    CASE WHEN event_type IN ('view','click') THEN 'left' WHEN event_type='error' THEN 'unknown' ELSE 'right' END AS hand,
+    CAST((event_id*31)%101 AS DOUBLE)/100 AS peak_fill, CAST((event_id*53)%101 AS DOUBLE)/100 AS roll_support,
+    CAST((event_id*17)%101 AS DOUBLE)/100 AS detection_confidence, CAST((event_id*29)%101 AS DOUBLE)/100 AS pitch_confidence,
+    CAST((event_id*43)%101 AS DOUBLE)/100 AS timing_confidence, CAST((event_id*61)%101 AS DOUBLE)/100 AS duration_confidence,
+    event_id % 13 = 0 AS is_restrike
+  FROM events)"""
+ATTACKS = """attacks AS (SELECT recording_id, start_us + ((note_id*7919)%41-20)*1000 AS attack_us FROM notes WHERE note_id%3<>0)"""
+TRUTH = """truth AS (
+  SELECT note_id AS truth_id, recording_id, midi, start_us + ((note_id*104729)%61-30)*1000 AS start_us, end_us + ((note_id*1299709)%41-20)*1000 AS end_us
+  FROM notes WHERE note_id%10<>0)"""
+LANE = """lane AS (
+  SELECT CAST(vec_id//88 AS BIGINT) AS recording_id, CAST(21+vec_id%88 AS INT) AS midi, CAST(p-1 AS INT) AS frame, CAST(p-1 AS BIGINT)*16667 AS t_us,
+    least(1::DOUBLE, abs(embedding[p]::DOUBLE)*4) AS fill, least(1::DOUBLE, abs(embedding[65-p]::DOUBLE)*4) AS trip,
+    CASE WHEN least(1::DOUBLE, abs(embedding[p]::DOUBLE)*4) >= 0.4::DOUBLE THEN label%2 ELSE -1 END AS lit
+  FROM embeddings, range(1,65) r(p))"""
+NEAR = """near AS (
+  SELECT n.*, b.attack_us AS before_us, a.attack_us AS after_us,
+    CASE WHEN a.attack_us IS NULL OR n.start_us - b.attack_us <= a.attack_us - n.start_us THEN b.attack_us ELSE a.attack_us END AS nearest_us
+  FROM notes n
+  ASOF LEFT JOIN (SELECT DISTINCT * FROM attacks) b ON n.recording_id = b.recording_id AND n.start_us >= b.attack_us
+  ASOF LEFT JOIN (SELECT DISTINCT * FROM attacks) a ON n.recording_id = a.recording_id AND n.start_us <= a.attack_us)"""
+#: The linear grid of the queries that need one: 120 beats a minute from 0.
+PERIOD, PHASE, BPM = 0.5, 0.0, 120.0
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+@query(f"""WITH {NOTES} SELECT note_id, midi,
+  (['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[midi%12+1] || CAST(midi//12-1 AS VARCHAR) AS name,
+  midi%12 IN (1,3,6,8,10) AS is_black, midi AS back, round(440*pow(2,(midi-69)/12.0), 6) AS hertz FROM notes""")
+def pitch_names(spark, sf_dir):
+    name = pitch.midi_to_name(F.col("midi"))
+    return views.notes(spark, sf_dir).select("note_id", "midi", name.alias("name"), pitch.is_black_key(F.col("midi")).alias("is_black"), pitch.name_to_midi(name).alias("back"), F.round(pitch.frequency(F.col("midi")), 6).alias("hertz"))
+
+
+_TRIM = """trimmed AS (
+  SELECT * EXCLUDE (next_us, end_us), CASE WHEN next_us IS NULL THEN end_us ELSE least(end_us, next_us - 1000) END AS end_us, next_us
+  FROM (SELECT *, lead(start_us) OVER (PARTITION BY recording_id, midi ORDER BY start_us, note_id) AS next_us FROM notes)
+), kept AS (SELECT * FROM trimmed WHERE next_us IS NULL OR end_us - start_us >= 22000)"""
+
+
+@query(f"WITH {NOTES}, {_TRIM} SELECT note_id, recording_id, midi, start_us, end_us FROM kept")
+def trim_same_pitch(spark, sf_dir):
+    return refine.trim_same_pitch(views.notes(spark, sf_dir)).select("note_id", "recording_id", "midi", "start_us", "end_us")
+
+
+_FLAGS = """marked AS (
+  SELECT *, greatest(0, end_us - start_us) < greatest(20000, 16667*0.75) AS short,
+    coalesce(start_us - lag(start_us) OVER same < 30000, false) AS again,
+    coalesce(lag(end_us) OVER same > start_us + 5000, false) AS over_,
+    coalesce(lag(midi) OVER line = lead(midi) OVER line AND abs(midi - lag(midi) OVER line) = 12, false) AS jump
+  FROM {source} WINDOW same AS (PARTITION BY recording_id, midi ORDER BY start_us, note_id), line AS (PARTITION BY recording_id ORDER BY start_us, midi, note_id)
+), flagged AS (
+  SELECT * EXCLUDE (detection_confidence, duration_confidence),
+    list_filter([CASE WHEN short THEN 'very_short' END, CASE WHEN again THEN 'possible_duplicate' END, CASE WHEN over_ THEN 'overlaps_same_pitch' END, CASE WHEN jump THEN 'octave_jump_isolated' END], lambda x: x IS NOT NULL) AS issues,
+    CASE WHEN short THEN least(duration_confidence, 0.4) ELSE duration_confidence END AS duration_confidence,
+    CASE WHEN again THEN least(detection_confidence, 0.5) ELSE detection_confidence END AS detection_confidence
+  FROM marked)"""
+
+
+@query(f"WITH {NOTES}, {_FLAGS.format(source='notes')} SELECT note_id, array_to_string(issues, ';') AS issues, detection_confidence, duration_confidence FROM flagged")
+def error_flags(spark, sf_dir):
+    return verify.error_flags(views.notes(spark, sf_dir)).select("note_id", F.array_join("issues", ";").alias("issues"), "detection_confidence", "duration_confidence")
+
+
+@query(f"""WITH {NOTES}, {_TRIM}, {_FLAGS.format(source='kept')}, scored AS (
+  SELECT *, least(detection_confidence, pitch_confidence, timing_confidence, duration_confidence) AS overall FROM flagged)
+SELECT recording_id, count(*) AS notes_total, count(*) FILTER (WHERE overall >= 0.8) AS high_confidence,
+  count(*) FILTER (WHERE overall >= 0.55 AND overall < 0.8) AS medium_confidence, count(*) FILTER (WHERE overall < 0.55) AS low_confidence,
+  count(*) FILTER (WHERE len(issues) > 0) AS needs_review, count(*) FILTER (WHERE list_contains(issues, 'possible_duplicate')) AS possible_duplicates,
+  count(*) FILTER (WHERE timing_confidence < 0.55) AS timing_conflicts, count(*) FILTER (WHERE pitch_confidence < 0.6) AS pitch_conflicts
+FROM scored GROUP BY recording_id""")
+def confidence_report(spark, sf_dir):
+    """Trim, flag, report: how far each recording's notes can be trusted."""
+    return verify.report(verify.error_flags(refine.trim_same_pitch(views.notes(spark, sf_dir))))
+
+
+@query(f"""WITH {NOTES}, {_FLAGS.format(source='notes')}, s AS (SELECT *, least(detection_confidence, pitch_confidence, timing_confidence, duration_confidence) AS overall FROM flagged)
+SELECT note_id, overall, CASE WHEN overall >= 0.8 AND len(issues) = 0 THEN 'high' WHEN overall >= 0.55 THEN 'medium' ELSE 'low' END AS tone,
+  CAST(start_us//60000000 AS VARCHAR) || ':' || lpad(CAST(start_us//1000000%60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(start_us//1000%1000 AS VARCHAR), 3, '0') AS clock FROM s""")
+def confidence_tone(spark, sf_dir):
+    rows = verify.error_flags(views.notes(spark, sf_dir)).withColumn("overall", note_fn.overall_confidence())
+    return rows.select("note_id", "overall", note_fn.tone(F.col("overall"), F.col("issues")).alias("tone"), note_fn.clock(F.col("start_us")).alias("clock"))
+
+
+_IOI = """gaps AS (SELECT recording_id, note_id, start_us, start_us - lag(start_us) OVER (PARTITION BY recording_id ORDER BY start_us, midi, note_id) AS ioi_us FROM notes),
+  iois AS (SELECT *, coalesce(ioi_us > 40000 AND ioi_us < 3000000, false) AS usable FROM gaps)"""
+
+
+@query(f"WITH {NOTES}, {_IOI} SELECT * FROM iois")
+def inter_onset(spark, sf_dir):
+    return tempo.intervals(views.notes(spark, sf_dir))
+
+
+@query(f"WITH {NOTES}, {_IOI} SELECT recording_id, count(*) AS onsets, count(*) FILTER (WHERE usable) AS usable, CAST(floor(quantile_cont(ioi_us, 0.5) FILTER (WHERE usable)) AS BIGINT) AS median_ioi_us FROM iois GROUP BY recording_id")
+def ioi_stats(spark, sf_dir):
+    return tempo.interval_stats(views.notes(spark, sf_dir))
+
+
+@query(f"WITH {NOTES}, {ATTACKS}, {NEAR} SELECT note_id, start_us, nearest_us FROM near")
+def nearest_attack(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    return matching.nearest(notes, views.attacks(notes), "start_us", "attack_us").select("note_id", "start_us", "nearest_us")
+
+
+@query(f"WITH {NOTES}, {ATTACKS} SELECT note_id, attack_us, CAST(count(*) AS BIGINT) AS n FROM notes n JOIN attacks a ON n.recording_id = a.recording_id AND attack_us >= start_us - 60000 AND attack_us < start_us + 60000 GROUP BY ALL")
+def attacks_in_reach(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    return matching.within(notes, views.attacks(notes), "start_us", "attack_us", 60_000).groupBy("note_id", "attack_us").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {NOTES}, {ATTACKS}, {NEAR}, d AS (SELECT *, start_us - nearest_us AS d FROM near), g AS (
+  SELECT recording_id, count(*) FILTER (WHERE abs(d) <= 60000) AS matches, CAST(floor(median(CASE WHEN abs(d) <= 60000 THEN d END)) AS BIGINT) AS skew_us FROM d GROUP BY recording_id)
+SELECT *, CAST(CASE WHEN matches >= 10 AND abs(skew_us) >= 4000 THEN skew_us ELSE 0 END AS BIGINT) AS applied_us FROM g""")
+def av_skew(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    return refine.av_skew(notes, views.attacks(notes))
+
+
+@query(f"WITH {NOTES}, {ATTACKS}, {NEAR} SELECT note_id FROM near WHERE NOT coalesce(greatest(0, end_us-start_us) <= 70000 AND NOT is_restrike AND abs(nearest_us - start_us) > 55000, false)")
+def drop_silent_short(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    return refine.drop_silent_short(notes, views.attacks(notes)).select("note_id")
+
+
+_BESIDE = "a.recording_id = b.recording_id AND abs(a.midi - b.midi) BETWEEN 1 AND 2 AND 2*(least(a.end_us, b.end_us) - greatest(a.start_us, b.start_us)) > greatest(0, a.end_us - a.start_us)"
+
+
+@query(f"WITH {NOTES} SELECT note_id FROM notes a WHERE NOT EXISTS (SELECT 1 FROM notes b WHERE {_BESIDE} AND a.peak_fill <= 0.70 AND b.peak_fill >= a.peak_fill + 0.20)")
+def glow_bleed_antijoin(spark, sf_dir):
+    return refine.drop_glow_bleed(views.notes(spark, sf_dir)).select("note_id")
+
+
+@query(f"""WITH {NOTES} SELECT note_id FROM notes a WHERE NOT EXISTS (SELECT 1 FROM notes b WHERE {_BESIDE}
+  AND ((a.roll_support < 0.30 AND b.roll_support >= 0.30) OR (b.roll_support >= 0.85 AND a.roll_support < 0.80 * b.roll_support)))""")
+def bloom_antijoin(spark, sf_dir):
+    return refine.drop_bloom(views.notes(spark, sf_dir)).select("note_id")
+
+
+_BARS = """times AS (SELECT DISTINCT recording_id, attack_us AS t_us FROM attacks WHERE attack_us % 7 = 0), pairs AS (
+  SELECT n.recording_id, t.t_us, n.midi, n.start_us, n.note_id, 600.0::DOUBLE - 320.0::DOUBLE*(start_us - t_us)/1e6 AS lead_y, 600.0::DOUBLE - 320.0::DOUBLE*(end_us - t_us)/1e6 AS trail_y
+  FROM notes n JOIN times t ON n.recording_id = t.recording_id
+), bars AS (
+  SELECT recording_id, t_us, midi, arg_max(note_id, (start_us, note_id)) AS note_id, arg_max(greatest(0, least(600, trail_y)), (start_us, note_id)) AS top, arg_max(greatest(0, least(600, lead_y)), (start_us, note_id)) AS bottom
+  FROM pairs WHERE least(lead_y, 600) >= 0 AND trail_y <= 600 GROUP BY recording_id, t_us, midi)"""
+
+
+def _sampled(notes: DataFrame) -> DataFrame:
+    return views.attacks(notes).filter("attack_us % 7 = 0").select("recording_id", F.col("attack_us").alias("t_us")).distinct()
+
+
+@query(f"WITH {NOTES}, {ATTACKS}, {_BARS} SELECT recording_id, t_us, midi, note_id, round(top, 6) AS top, round(bottom, 6) AS bottom FROM bars")
+def visible_bars(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    return matching.visible_bars(notes, _sampled(notes)).withColumns({c: F.round(c, 6) for c in ("top", "bottom")})
+
+
+_SEEN = """seen AS (SELECT recording_id, t_us, midi, greatest(0, top + (note_id*37)%80 - 40) AS top, bottom FROM bars WHERE note_id%11 <> 0
+  UNION ALL SELECT recording_id, t_us, 100, 10.0, 20.0 FROM times WHERE t_us%5 = 0), joined AS (
+  SELECT coalesce(p.recording_id, d.recording_id) AS recording_id, coalesce(p.t_us, d.t_us) AS t_us, coalesce(p.midi, d.midi) AS midi, p.midi IS NULL AS new, d.midi IS NULL AS gone,
+    CASE WHEN greatest(p.bottom, d.bottom) - least(p.top, d.top) > 0 THEN greatest(0, least(p.bottom, d.bottom) - greatest(p.top, d.top))/(greatest(p.bottom, d.bottom) - least(p.top, d.top)) ELSE 0 END >= 0.35 AS fits
+  FROM bars p FULL JOIN seen d ON p.recording_id = d.recording_id AND p.t_us = d.t_us AND p.midi = d.midi)"""
+
+
+@query(f"""WITH {NOTES}, {ATTACKS}, {_BARS}, {_SEEN} SELECT recording_id, t_us, count(*) FILTER (WHERE NOT new AND NOT gone AND fits) AS matched,
+  coalesce(string_agg(CAST(midi AS VARCHAR), ';' ORDER BY midi) FILTER (WHERE NOT gone AND (new OR NOT fits)), '') AS missing,
+  coalesce(string_agg(CAST(midi AS VARCHAR), ';' ORDER BY midi) FILTER (WHERE gone), '') AS false_positive FROM joined GROUP BY recording_id, t_us""")
+def visual_diff(spark, sf_dir):
+    """Predicted bars against the same bars shifted, thinned and joined by one lane that nothing predicts."""
+    notes = views.notes(spark, sf_dir)
+    times = _sampled(notes)
+    bars = matching.visible_bars(notes, times)
+    shifted = F.greatest(F.lit(0.0), F.col("top") + (F.col("note_id") * 37) % 80 - 40)
+    seen = bars.filter("note_id % 11 <> 0").select("recording_id", "t_us", "midi", shifted.alias("top"), "bottom")
+    extra = times.filter("t_us % 5 = 0").select("recording_id", "t_us", F.lit(100).alias("midi"), F.lit(10.0).alias("top"), F.lit(20.0).alias("bottom"))
+    found = matching.compare_lanes(bars, seen.unionByName(extra))
+    return found.withColumns({c: F.array_join(c, ";") for c in ("missing", "false_positive")})
+
+
+_GREEDY = """ns AS (SELECT *, row_number() OVER (PARTITION BY recording_id, midi ORDER BY start_us, note_id) AS k FROM notes),
+ts AS (SELECT recording_id, midi, list({'start_us': start_us, 'truth_id': truth_id, 'end_us': end_us} ORDER BY start_us, truth_id) AS free FROM truth GROUP BY recording_id, midi),
+walk AS (
+  SELECT recording_id, midi, 0::BIGINT AS k, free, NULL::BIGINT AS note_id, NULL::BIGINT AS truth_id, NULL::BIGINT AS onset_us, NULL::BIGINT AS duration_us FROM ts
+  UNION ALL
+  SELECT recording_id, midi, k, CASE WHEN t IS NULL THEN free ELSE list_filter(free, lambda x: x.truth_id <> t.truth_id) END, note_id, t.truth_id, abs(t.start_us - start_us), abs((t.end_us - t.start_us) - greatest(0, end_us - start_us))
+  FROM (SELECT w.recording_id, w.midi, n.k, w.free, n.note_id, n.start_us, n.end_us,
+      list_sort(list_transform(list_filter(w.free, lambda x: abs(x.start_us - n.start_us) < 50000), lambda x: {'d': abs(x.start_us - n.start_us), 't': x}))[1].t AS t
+    FROM walk w JOIN ns n ON w.recording_id = n.recording_id AND w.midi = n.midi AND n.k = w.k + 1)
+), matched AS (SELECT * FROM walk WHERE truth_id IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {NOTES}, {TRUTH}, {_GREEDY} SELECT recording_id, midi, note_id, truth_id, onset_us, duration_us FROM matched")
+def greedy_truth(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    return matching.greedy_truth(notes, views.truth(notes))
+
+
+@query(f"""WITH RECURSIVE {NOTES}, {TRUTH}, {_GREEDY}, c AS (
+  SELECT n.recording_id, n, m, coalesce(tp, 0) AS tp, o, d FROM (SELECT recording_id, count(*) AS n FROM notes GROUP BY 1) n
+  JOIN (SELECT recording_id, count(*) AS m FROM truth GROUP BY 1) t ON n.recording_id = t.recording_id
+  LEFT JOIN (SELECT recording_id, count(*) AS tp, avg(onset_us) AS o, avg(duration_us) AS d FROM matched GROUP BY 1) g ON n.recording_id = g.recording_id
+), r AS (SELECT *, tp/n AS p, tp/m AS q FROM c)
+SELECT recording_id, tp AS true_positive, n - tp AS false_positive, m - tp AS false_negative, round(p, 4) AS precision, round(q, 4) AS recall,
+  round(CASE WHEN p + q > 0 THEN 2*p*q/(p+q) ELSE 0 END, 4) AS f1, round(o/1000, 2) AS mean_onset_error_ms, round(d/1000, 2) AS mean_duration_error_ms FROM r""")
+def truth_f1(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    return matching.accuracy(notes, views.truth(notes))
+
+
+@query(f"""WITH RECURSIVE {NOTES}, ns AS (SELECT *, row_number() OVER (PARTITION BY recording_id, midi ORDER BY start_us, note_id) AS k FROM notes), walk AS (
+  SELECT recording_id, midi, k, note_id, start_us, end_us, detection_confidence, is_restrike, 1::BIGINT AS parts FROM ns WHERE k = 1
+  UNION ALL
+  SELECT recording_id, midi, k, CASE WHEN j THEN p_id ELSE note_id END, CASE WHEN j THEN p_start ELSE start_us END, CASE WHEN j THEN greatest(p_end, end_us) ELSE end_us END,
+    CASE WHEN j THEN greatest(p_det, detection_confidence) ELSE detection_confidence END, CASE WHEN j THEN p_re ELSE is_restrike END, CASE WHEN j THEN parts + 1 ELSE 1 END
+  FROM (SELECT n.*, w.note_id AS p_id, w.start_us AS p_start, w.end_us AS p_end, w.detection_confidence AS p_det, w.is_restrike AS p_re, w.parts,
+      NOT w.is_restrike AND NOT n.is_restrike AND (n.start_us < w.end_us OR (n.start_us - w.end_us < 45000 AND least(greatest(0, n.end_us-n.start_us), greatest(0, w.end_us-w.start_us)) < 50000)
+        OR (n.start_us - w.end_us > -500000 AND n.start_us - w.end_us < 16000)) AS j
+    FROM walk w JOIN ns n ON w.recording_id = n.recording_id AND w.midi = n.midi AND n.k = w.k + 1)
+), last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY k DESC) = 1)
+SELECT recording_id, midi, note_id, start_us, end_us, detection_confidence, is_restrike, parts FROM last WHERE end_us - start_us >= 22000""")
+def merge_fragments(spark, sf_dir):
+    return refine.merge_fragments(views.notes(spark, sf_dir))
+
+
+def _groups(at: str, window: int, order: str) -> str:
+    return f"""os AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY {order}) AS k FROM notes), chain AS (
+  SELECT recording_id, k, note_id, {at} AS anchor, 1::BIGINT AS group_no FROM os WHERE k = 1
+  UNION ALL SELECT o.recording_id, o.k, o.note_id, CASE WHEN o.{at} - c.anchor > {window} THEN o.{at} ELSE c.anchor END, c.group_no + CASE WHEN o.{at} - c.anchor > {window} THEN 1 ELSE 0 END
+  FROM chain c JOIN os o ON o.recording_id = c.recording_id AND o.k = c.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {NOTES}, {_groups('start_us', 33000, 'start_us, midi, note_id')} SELECT recording_id, note_id, group_no FROM chain")
+def chord_groups(spark, sf_dir):
+    return refine.chord_groups(views.notes(spark, sf_dir)).select("recording_id", "note_id", "group_no")
+
+
+@query(f"""WITH RECURSIVE {NOTES}, {_groups('start_us', 33000, 'start_us, midi, note_id')}, t AS (
+  SELECT n.*, group_no, CAST(floor(median(start_us) OVER g) AS BIGINT) AS target, count(*) OVER g AS size FROM notes n JOIN chain USING (recording_id, note_id) WINDOW g AS (PARTITION BY n.recording_id, group_no)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY recording_id, group_no ORDER BY abs(start_us - target), start_us, midi, note_id) AS r FROM t WHERE size >= 2), place AS (
+  SELECT recording_id, group_no, 0::BIGINT AS r, []::INT[] AS placed, NULL::BIGINT AS note_id, false AS moved FROM (SELECT DISTINCT recording_id, group_no FROM ranked)
+  UNION ALL
+  SELECT recording_id, group_no, r, CASE WHEN NOT taken AND (still OR target < end_us) THEN list_append(placed, midi) ELSE placed END, note_id, NOT taken AND NOT still AND target < end_us
+  FROM (SELECT x.*, p.placed, abs(x.start_us - x.target) <= 100 AS still, len(list_filter(p.placed, lambda m: abs(m - x.midi) <= 2)) > 0 AS taken
+    FROM place p JOIN ranked x ON x.recording_id = p.recording_id AND x.group_no = p.group_no AND x.r = p.r + 1)
+)
+SELECT t.note_id, CASE WHEN coalesce(moved, false) THEN target ELSE start_us END AS start_us, CASE WHEN coalesce(moved, false) THEN target + greatest(0, end_us - start_us) ELSE end_us END AS end_us, coalesce(moved, false) AS moved
+FROM t LEFT JOIN (SELECT recording_id, note_id, moved FROM place WHERE note_id IS NOT NULL) p ON t.recording_id = p.recording_id AND t.note_id = p.note_id""")
+def align_chords(spark, sf_dir):
+    return refine.align_chords(views.notes(spark, sf_dir)).select("note_id", "start_us", "end_us", "moved")
+
+
+@query(f"""WITH RECURSIVE {NOTES}, {_groups('end_us', 30000, 'end_us, note_id')}, t AS (
+  SELECT n.*, CAST(floor(median(end_us) OVER g) AS BIGINT) AS target, count(*) OVER g AS size FROM notes n JOIN chain USING (recording_id, note_id) WINDOW g AS (PARTITION BY n.recording_id, group_no)
+), m AS (SELECT *, size >= 2 AND abs(end_us - target) > 100 AND target - start_us >= 20000 AS moved FROM t)
+SELECT note_id, CASE WHEN moved THEN target ELSE end_us END AS end_us, CASE WHEN moved THEN least(1, greatest(duration_confidence, 0.8)) ELSE duration_confidence END AS duration_confidence, moved FROM m""")
+def align_releases(spark, sf_dir):
+    return refine.align_releases(views.notes(spark, sf_dir)).select("note_id", "end_us", "duration_confidence", "moved")
+
+
+_CLUSTERS = """ds AS (SELECT recording_id, note_id, greatest(100, end_us - start_us) AS d, row_number() OVER (PARTITION BY recording_id ORDER BY greatest(100, end_us - start_us), note_id) AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM notes),
+grow AS (
+  SELECT recording_id, k, d, d AS first, 1 AS cluster FROM ds WHERE k = 1 AND n >= 8
+  UNION ALL SELECT x.recording_id, x.k, x.d, CASE WHEN x.d <= g.first * 1.1::DOUBLE THEN g.first ELSE x.d END, g.cluster + CASE WHEN x.d <= g.first * 1.1::DOUBLE THEN 0 ELSE 1 END
+  FROM grow g JOIN ds x ON x.recording_id = g.recording_id AND x.k = g.k + 1
+), centers AS (SELECT recording_id, cluster, CAST(floor(median(d)) AS BIGINT) AS c FROM grow GROUP BY recording_id, cluster HAVING count(*) >= 4)"""
+
+
+@query(f"WITH RECURSIVE {NOTES}, {_CLUSTERS} SELECT recording_id, c AS center FROM centers")
+def duration_clusters(spark, sf_dir):
+    return refine.duration_clusters(views.notes(spark, sf_dir)).select("recording_id", F.explode("centers").alias("center"))
+
+
+@query(f"""WITH RECURSIVE {NOTES}, {_CLUSTERS}, near AS (SELECT n.note_id, arg_min(c, (abs(c - (end_us - start_us)), c)) AS c FROM notes n JOIN centers USING (recording_id) GROUP BY n.note_id),
+m AS (SELECT n.*, c, coalesce(abs(c - (end_us - start_us)) <= 0.1::DOUBLE * c AND abs(c - (end_us - start_us)) > 100, false) AS moved FROM notes n LEFT JOIN near USING (note_id))
+SELECT note_id, CASE WHEN moved THEN start_us + c ELSE end_us END AS end_us, CASE WHEN moved THEN least(1, greatest(duration_confidence, 0.85)) ELSE duration_confidence END AS duration_confidence, moved FROM m""")
+def consolidate_durations(spark, sf_dir):
+    return refine.consolidate_durations(views.notes(spark, sf_dir)).select("note_id", "end_us", "duration_confidence", "moved")
+
+
+@query()
+def snap_onsets(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    return refine.snap_onsets(notes, views.attacks(notes)).select("note_id", "start_us", "end_us", "timing_confidence", "snapped")
+
+
+@query(f"""WITH {NOTES}, {ATTACKS}, g AS (SELECT recording_id, attack_us - lag(attack_us) OVER (PARTITION BY recording_id ORDER BY attack_us) AS gap FROM attacks)
+SELECT recording_id, CAST(CASE WHEN count(*) >= 3 THEN greatest(60000, least(110000, floor(0.45::DOUBLE * median(gap)))) ELSE 90000 END AS BIGINT) AS tolerance_us FROM g GROUP BY recording_id""")
+def snap_tolerance(spark, sf_dir):
+    return refine.snap_tolerance(views.attacks(views.notes(spark, sf_dir)))
+
+
+@query()
+def assign_hands_context(spark, sf_dir):
+    return hands.by_context(views.notes(spark, sf_dir)).select("note_id", "hand", "hand_confidence", "hand_unreachable")
+
+
+_COLOURED = "CASE WHEN note_id%7 <> 0 THEN CAST((note_id*5 + midi)%3 AS INT) END AS color_cluster"
+
+
+@query(f"""WITH {NOTES}, c AS (SELECT *, coalesce(color_cluster, 0) AS c FROM (SELECT *, {_COLOURED} FROM notes)), m AS (SELECT recording_id, c, avg(midi) AS mean FROM c GROUP BY recording_id, c),
+e AS (SELECT recording_id, arg_min(c, (mean, c)) AS lc, min(mean) AS lm, arg_max(c, (mean, c)) AS rc, max(mean) AS rm, count(*) AS n FROM m GROUP BY recording_id)
+SELECT note_id, CASE WHEN n < 2 THEN NULL WHEN c.c = lc THEN 'left' WHEN c.c = rc THEN 'right' WHEN abs(mean - lm) < abs(mean - rm) THEN 'left' ELSE 'right' END AS hand,
+  CASE WHEN n >= 2 THEN round(greatest(0.5, least(0.98, (rm - lm)/24)), 6) END AS hand_confidence
+FROM c JOIN m ON c.recording_id = m.recording_id AND c.c = m.c JOIN e ON e.recording_id = c.recording_id""")
+def hands_by_colour(spark, sf_dir):
+    cluster = F.when(F.col("note_id") % 7 != 0, ((F.col("note_id") * 5 + F.col("midi")) % 3).cast("int"))
+    return hands.by_colour(views.notes(spark, sf_dir).withColumn("color_cluster", cluster)).select("note_id", "hand", "hand_confidence")
+
+
+_GRID = """ts AS (SELECT recording_id, list(start_us/1e6 ORDER BY start_us) AS ts FROM notes WHERE recording_id < 12 GROUP BY recording_id), tempi AS (SELECT k, 65 + k*0.2::DOUBLE*5 AS bpm FROM range(0, 106) r(k)),
+hits AS (SELECT recording_id, k, bpm, j, len(list_filter(ts, lambda t: abs((t - j*(60.0::DOUBLE/bpm/4)/64)/(60.0::DOUBLE/bpm/4) - round_even((t - j*(60.0::DOUBLE/bpm/4)/64)/(60.0::DOUBLE/bpm/4), 0))*(60.0::DOUBLE/bpm/4) <= 0.02::DOUBLE)) AS hits, len(ts) AS onsets FROM ts, tempi, range(0, 64) p(j))"""
+
+
+@query(f"""WITH {NOTES}, {_GRID.replace(' WHERE recording_id < 12', '')} SELECT recording_id, arg_max(bpm, (hits, -k, -j)) AS bpm, max(hits) AS hits, max(onsets) AS onsets FROM hits GROUP BY recording_id""")
+def tempo_grid_search(spark, sf_dir):
+    """The best of the whole tempi from 65 to 170."""
+    arrays = tempo.onset_arrays(views.notes(spark, sf_dir))
+    tempi = F.transform(F.sequence(F.lit(0), F.lit(105)), lambda k: 65 + k * 0.2 * 5)
+    return tempo.grid_search(arrays.withColumn("tempi", tempi)).select("recording_id", "bpm", "hits", "onsets")
+
+
+@query()
+def tempo_estimate(spark, sf_dir):
+    return tempo.estimate(views.notes(spark, sf_dir))
+
+
+@query(f"""WITH {NOTES}, s AS (SELECT recording_id, start_us/1e6/0.125 AS g FROM notes), h AS (SELECT recording_id, abs(g - round_even(g, 0))*0.125 <= 0.025 AS near, round_even(g, 0) % 2 <> 0 AS odd FROM s)
+SELECT recording_id, round(coalesce(count(*) FILTER (WHERE near AND odd) / nullif(count(*) FILTER (WHERE near), 0), 1), 9) AS share FROM h GROUP BY recording_id""")
+def odd_line_fold(spark, sf_dir):
+    arrays = tempo.onset_arrays(views.notes(spark, sf_dir))
+    return arrays.select("recording_id", F.round(tempo.odd_share(F.col("ts"), F.lit(PERIOD), F.lit(PHASE)), 9).alias("share"))
+
+
+def _snap_sql(x: str) -> str:
+    options = [f"{{'e': abs({x} - round_even({x}, 0)), 'o': 0, 'b': round_even({x}, 0)}}"]
+    for i, (n, d) in enumerate([(4, 1), (2, 1), (1, 1), (1, 2), (1, 3), (1, 4), (1, 6), (1, 8)], 1):
+        near = f"round_even({x}/({n}/{d}::DOUBLE), 0)*({n}/{d}::DOUBLE)"
+        options.append(f"{{'e': abs({x} - {near}), 'o': {i}, 'b': {near}}}")
+    return f"list_sort([{', '.join(options)}])[1].b"
+
+
+@query(f"""WITH {NOTES}, b AS (SELECT *, (start_us/1e6 - 0)/0.5 AS sb, (end_us/1e6 - 0)/0.5 AS eb FROM notes), q AS (SELECT *, {_snap_sql('sb')} AS beat, {_snap_sql('eb')} AS e FROM b)
+SELECT note_id, round(beat, 6) AS beat, round(CASE WHEN e <= beat THEN beat + 0.125 ELSE e END, 6) AS end_beat, abs((beat*0.5 - start_us/1e6)*1000) > 0.5*1000*0.12 AS ambiguous FROM q""")
+def quantized_notes(spark, sf_dir):
+    rows = tempo.quantize(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE))
+    return rows.select("note_id", F.round("beat", 6).alias("beat"), F.round("end_beat", 6).alias("end_beat"), "ambiguous")
+
+
+_KEY = f"""h AS (SELECT recording_id, midi%12 AS pc, sum(greatest(1000, end_us - start_us))/1e6 AS w FROM notes GROUP BY 1, 2), f AS (
+  SELECT r.recording_id, p.pc, coalesce(w, 0) AS w FROM (SELECT DISTINCT recording_id FROM notes) r CROSS JOIN range(0, 12) p(pc) LEFT JOIN h ON h.recording_id = r.recording_id AND h.pc = p.pc
+), shape AS (SELECT t.tonic, m.minor, (CASE WHEN m.minor = 0 THEN {key.MAJOR} ELSE {key.MINOR} END)[((p.pc - t.tonic + 12) % 12) + 1]::DOUBLE AS v, p.pc FROM range(0, 12) t(tonic), range(0, 2) m(minor), range(0, 12) p(pc)
+), score AS (SELECT recording_id, tonic, minor, round(corr(w, v), 9) AS s FROM f JOIN shape USING (pc) GROUP BY ALL), best AS (SELECT recording_id, arg_max(tonic, (s, -tonic, -minor)) AS tonic, arg_max(minor, (s, -tonic, -minor)) AS minor FROM score GROUP BY recording_id
+), keys AS (SELECT recording_id, CAST(tonic AS INT) AS tonic_pc, CASE WHEN minor = 1 THEN 'minor' ELSE 'major' END AS mode, CAST((7*(CASE WHEN minor = 1 THEN (tonic+3)%12 ELSE tonic END)+5)%12-5 AS INT) AS fifths FROM best)"""
+
+
+@query(f"WITH {NOTES}, {_KEY} SELECT * FROM keys")
+def key_estimate(spark, sf_dir):
+    return key.detect_key(views.notes(spark, sf_dir)).drop("score")
+
+
+@query(f"""WITH {NOTES}, {_KEY}, p AS (SELECT note_id, midi, (7*(midi%12))%12 AS p0, fifths FROM notes JOIN keys USING (recording_id)), q AS (SELECT *, CAST(p0 + round_even((fifths + 2 - p0)/12.0, 0)*12 AS INT) AS p FROM p),
+r AS (SELECT *, (['F','C','G','D','A','E','B'])[((p+1)%7+7)%7+1] AS step, CAST(floor((p+1)/7.0) AS INT) AS alter FROM q)
+SELECT note_id, step, alter, CAST(floor((midi - ([5,0,7,2,9,4,11])[((p+1)%7+7)%7+1] - alter)/12.0) - 1 AS INT) AS octave FROM r""")
+def enharmonic_spelling(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    return key.spell(notes, key.detect_key(notes)).select("note_id", "step", "alter", "octave")
+
+
+@query(f"""WITH {NOTES}, b AS (SELECT recording_id, start_us/1e6/0.5 AS b FROM notes), f AS (SELECT recording_id, CAST(floor(b) AS BIGINT) AS beat, b - floor(b) AS f FROM b),
+c AS (SELECT recording_id, beat, count(*) AS n, avg(abs(f*3 - round_even(f*3, 0))) AS c3, avg(abs(f*4 - round_even(f*4, 0))) AS cs FROM f GROUP BY recording_id, beat)
+SELECT recording_id, beat FROM c WHERE n >= 2 AND c3 <= 0.12 AND c3 + 0.06 < cs AND recording_id IN (SELECT recording_id FROM notes GROUP BY recording_id HAVING count(*) >= 8)""")
+def triplet_beats(spark, sf_dir):
+    return notation.triplet_beats(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE))
+
+
+@query(f"""WITH {NOTES}, b AS (SELECT recording_id, start_us/1e6/0.5 AS b FROM notes), c AS (
+  SELECT recording_id, count(*) AS n, avg(CASE WHEN abs(b - round_even(b*8, 0)/8) <= 0.04 THEN 1.0 ELSE 0 END) AS c8, avg(CASE WHEN abs(b - round_even(b*4, 0)/4) <= 0.04 THEN 1.0 ELSE 0 END) AS c4 FROM b GROUP BY recording_id)
+SELECT recording_id, CASE WHEN n >= 16 AND 0.5/8 >= 0.028 AND c8 >= c4 + 0.08 THEN 8 ELSE 4 END AS sub, CASE WHEN n >= 16 AND 0.5/8 >= 0.028 AND c8 >= c4 + 0.08 THEN 24 ELSE 12 END AS divisions FROM c""")
+def score_resolution(spark, sf_dir):
+    return notation.resolution(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE))
+
+
+@query()
+def score_layout(spark, sf_dir):
+    return sinks.chord_layout(notation.score_positions(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE))).withColumn("pitches", F.array_join("pitches", ";"))
+
+
+@query()
+def score_measures(spark, sf_dir):
+    return notation.measures(notation.score_positions(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE)))
+
+
+@query(f"""WITH {NOTES}, e AS (
+  SELECT recording_id, note_id, midi, CASE WHEN hand = 'left' THEN 0 ELSE 1 END AS channel, CAST(round_even(start_us/500000.0::DOUBLE*960, 0) AS BIGINT) AS tick, 1 AS prio, 80 AS velocity FROM notes
+  UNION ALL SELECT recording_id, note_id, midi, CASE WHEN hand = 'left' THEN 0 ELSE 1 END, CAST(round_even(end_us/500000.0::DOUBLE*960, 0) AS BIGINT), 0, 0 FROM notes)
+SELECT recording_id, row_number() OVER w AS seq, tick, greatest(0, tick - coalesce(lag(tick) OVER w, 0)) AS delta, CASE WHEN prio = 1 THEN 'on' ELSE 'off' END AS kind, channel, midi, velocity
+FROM e WINDOW w AS (PARTITION BY recording_id ORDER BY tick, prio, midi, note_id)""")
+def midi_events(spark, sf_dir):
+    return notation.midi_events(views.notes(spark, sf_dir), F.lit(BPM))
+
+
+@query(f"""WITH {NOTES} SELECT recording_id, note_id, midi, (['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[midi%12+1] || CAST(midi//12-1 AS VARCHAR) AS name,
+  printf('%.6f', start_us/1e6) AS start, printf('%.6f', end_us/1e6) AS "end", printf('%.6f', greatest(0, end_us-start_us)/1e6) AS duration, hand, printf('%.3f', detection_confidence) AS detection_confidence,
+  printf('%.3f', pitch_confidence) AS pitch_confidence, printf('%.3f', timing_confidence) AS timing_confidence, printf('%.3f', duration_confidence) AS duration_confidence,
+  printf('%.3f', least(detection_confidence, pitch_confidence, timing_confidence, duration_confidence)) AS overall_confidence, '' AS issues FROM notes""")
+def csv_rows(spark, sf_dir):
+    return sinks.csv_columns(views.notes(spark, sf_dir))
+
+
+@query()
+def midi_files(spark, sf_dir):
+    return sinks.midi_files(views.notes(spark, sf_dir), F.lit(BPM))
+
+
+@query()
+def musicxml_documents(spark, sf_dir):
+    return sinks.musicxml(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE))
+
+
+@query(f"""WITH {NOTES} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_us, midi, end_us, hand) AS note_id, midi, start_us, end_us, hand FROM notes""")
+def json_round_trip(spark, sf_dir):
+    return sinks.read_documents(sinks.json_documents(views.notes(spark, sf_dir)))
+
+
+@query(f"WITH {LANE}, e AS (SELECT *, lag(fill) OVER (PARTITION BY recording_id, midi ORDER BY frame) AS b FROM lane) SELECT recording_id, midi, frame FROM e WHERE fill >= 0.4 AND (b IS NULL OR b < 0.4)")
+def lane_edges(spark, sf_dir):
+    return lanes.rising_edges(views.lane_signal(spark, sf_dir)).select("recording_id", "midi", "frame")
+
+
+@query(f"""WITH {LANE}, e AS (SELECT *, fill >= 0.4 AND coalesce(lag(fill) OVER w < 0.4, true) AS onset FROM lane WINDOW w AS (PARTITION BY recording_id, midi ORDER BY frame))
+SELECT recording_id, midi, frame, coalesce(min(CASE WHEN onset THEN frame END) OVER (PARTITION BY recording_id, midi ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(frame) OVER (PARTITION BY recording_id, midi) + 1) AS next_onset FROM e""")
+def next_onsets(spark, sf_dir):
+    return lanes.next_onset(views.lane_signal(spark, sf_dir)).select("recording_id", "midi", "frame", "next_onset")
+
+
+@query(f"WITH {LANE} SELECT recording_id, midi, frame, round(quantile_cont(fill, 0.5) OVER (PARTITION BY recording_id, midi ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 9) AS smooth FROM lane")
+def rolling_median7(spark, sf_dir):
+    return lanes.rolling_median(views.lane_signal(spark, sf_dir)).select("recording_id", "midi", "frame", F.round("smooth", 9).alias("smooth"))
+
+
+@query(f"""WITH {LANE}, g AS (SELECT *, coalesce(frame - lag(frame) OVER w > 3, true) AS new FROM lane WHERE lit >= 0 WINDOW w AS (PARTITION BY recording_id, midi ORDER BY frame)),
+i AS (SELECT *, CAST(sum(new::INT) OVER (PARTITION BY recording_id, midi ORDER BY frame) AS BIGINT) AS island FROM g) SELECT recording_id, midi, island, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS frames FROM i GROUP BY recording_id, midi, island""")
+def gap_islands(spark, sf_dir):
+    return lanes.gap_islands(views.lane_signal(spark, sf_dir))
+
+
+_RUNS = """steps AS (
+  SELECT recording_id, midi, frame, CASE WHEN lit >= 0 THEN frame END AS first, CASE WHEN lit >= 0 THEN frame END AS last, 0 AS gap, 0 AS dark, NULL::INT AS end_first, NULL::INT AS end_last FROM lane WHERE frame = 0
+  UNION ALL
+  SELECT recording_id, midi, frame, CASE WHEN ends THEN NULL WHEN lit >= 0 AND first IS NULL THEN frame ELSE first END, CASE WHEN ends THEN NULL WHEN lit >= 0 THEN frame ELSE last END, gap2, dark2, CASE WHEN ends THEN first END, CASE WHEN ends THEN last END
+  FROM (SELECT *, first IS NOT NULL AND lit < 0 AND (dark2 >= 2 OR gap2 > 4) AS ends
+    FROM (SELECT l.recording_id, l.midi, l.frame, l.lit, s.first, s.last, CASE WHEN l.lit >= 0 OR s.first IS NULL THEN 0 ELSE s.gap + 1 END AS gap2, CASE WHEN l.lit >= 0 OR l.fill >= 0.15 OR s.first IS NULL THEN 0 ELSE s.dark + 1 END AS dark2
+      FROM steps s JOIN lane l ON l.recording_id = s.recording_id AND l.midi = s.midi AND l.frame = s.frame + 1))
+), runs AS (
+  SELECT recording_id, midi, end_first AS first_frame, end_last AS last_frame FROM steps WHERE end_first IS NOT NULL AND end_last - end_first >= 1
+  UNION ALL SELECT recording_id, midi, first, last FROM steps WHERE frame = 63 AND first IS NOT NULL AND last - first >= 1)"""
+
+
+@query(f"WITH RECURSIVE {LANE}, {_RUNS} SELECT * FROM runs")
+def lane_islands(spark, sf_dir):
+    return lanes.light_islands(views.lane_signal(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {LANE}, {_RUNS}, e AS (SELECT *, lag(t_us) OVER w AS t0, lag(fill) OVER w AS f0, lead(t_us) OVER w AS t2, lead(fill) OVER w AS f2 FROM lane WINDOW w AS (PARTITION BY recording_id, midi ORDER BY frame)),
+o AS (SELECT *, CASE WHEN t0 IS NULL OR fill <= f0 OR fill < 0.4 THEN t_us ELSE t0 + greatest(0, least(1, (0.4::DOUBLE - f0)/(fill - f0)))*(t_us - t0) END AS up,
+  CASE WHEN t2 IS NULL THEN t_us + coalesce(t_us - t0, 0) WHEN fill <= f2 THEN t2 ELSE t_us + greatest(0, least(1, (fill - 0.4::DOUBLE)/(fill - f2)))*(t2 - t_us) END AS down FROM e)
+SELECT r.*, CAST(round_even(a.up, 0) AS BIGINT) AS on_us, CAST(round_even(b.down, 0) AS BIGINT) AS off_us FROM runs r JOIN o a ON a.recording_id = r.recording_id AND a.midi = r.midi AND a.frame = r.first_frame JOIN o b ON b.recording_id = r.recording_id AND b.midi = r.midi AND b.frame = r.last_frame""")
+def subframe_edges(spark, sf_dir):
+    lane = views.lane_signal(spark, sf_dir)
+    return lanes.subframe_edges(lanes.light_islands(lane), lane)
+
+
+@query(f"""WITH RECURSIVE {LANE}, {_RUNS}, inside AS (SELECT l.*, r.first_frame, r.last_frame FROM lane l JOIN runs r ON l.recording_id = r.recording_id AND l.midi = r.midi AND l.frame BETWEEN r.first_frame AND r.last_frame),
+p AS (SELECT *, max(fill) OVER (PARTITION BY recording_id, midi, first_frame ORDER BY frame ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS pre, max(fill) OVER (PARTITION BY recording_id, midi, first_frame ORDER BY frame ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS post, lag(fill) OVER w AS f0, lead(fill) OVER w AS f2 FROM inside WINDOW w AS (PARTITION BY recording_id, midi, first_frame ORDER BY frame)),
+c AS (SELECT *, row_number() OVER (PARTITION BY recording_id, midi, first_frame ORDER BY frame) AS k FROM p WHERE fill <= f0 AND fill < f2 AND least(pre, post) > 0 AND fill <= 0.6::DOUBLE*least(pre, post) AND post >= 0.85::DOUBLE*pre AND last_frame - first_frame + 1 >= 14),
+walk AS (SELECT recording_id, midi, first_frame, 0::BIGINT AS k, first_frame AS last, NULL::INT AS frame, NULL::BIGINT AS t_us FROM (SELECT DISTINCT recording_id, midi, first_frame FROM c)
+  UNION ALL SELECT c.recording_id, c.midi, c.first_frame, c.k, CASE WHEN c.frame - w.last >= 7 THEN c.frame ELSE w.last END, CASE WHEN c.frame - w.last >= 7 THEN c.frame END, CASE WHEN c.frame - w.last >= 7 THEN c.t_us END
+  FROM walk w JOIN c ON c.recording_id = w.recording_id AND c.midi = w.midi AND c.first_frame = w.first_frame AND c.k = w.k + 1)
+SELECT recording_id, midi, first_frame, frame, t_us FROM walk WHERE frame IS NOT NULL""")
+def trough_splits(spark, sf_dir):
+    lane = views.lane_signal(spark, sf_dir)
+    return lanes.trough_splits(lanes.light_islands(lane), lane)
+
+
+_TRIP = """t AS (SELECT *, lag(trip) OVER (PARTITION BY recording_id, midi ORDER BY frame) AS b FROM lane), edges AS (
+  SELECT t.recording_id, t.midi, r.first_frame, t.frame, t.t_us FROM t JOIN runs r ON t.recording_id = r.recording_id AND t.midi = r.midi AND t.frame > r.first_frame AND t.frame <= r.last_frame WHERE trip >= 0.4 AND b < 0.4)"""
+
+
+@query(f"WITH RECURSIVE {LANE}, {_RUNS}, {_TRIP} SELECT * FROM edges")
+def tripwire_edges(spark, sf_dir):
+    lane = views.lane_signal(spark, sf_dir)
+    return lanes.tripwire_edges(lanes.light_islands(lane), lane)
+
+
+@query(f"""WITH RECURSIVE {LANE}, {_RUNS}, {_TRIP}, k AS (SELECT *, row_number() OVER (PARTITION BY recording_id, midi ORDER BY t_us) AS k FROM edges),
+walk AS (SELECT recording_id, midi, k, t_us AS last, t_us FROM k WHERE k = 1 UNION ALL SELECT k.recording_id, k.midi, k.k, CASE WHEN k.t_us - w.last >= 110000 THEN k.t_us ELSE w.last END, CASE WHEN k.t_us - w.last >= 110000 THEN k.t_us END FROM walk w JOIN k ON k.recording_id = w.recording_id AND k.midi = w.midi AND k.k = w.k + 1)
+SELECT recording_id, midi, t_us FROM walk WHERE t_us IS NOT NULL""")
+def dedupe_min_gap(spark, sf_dir):
+    lane = views.lane_signal(spark, sf_dir)
+    return lanes.dedupe(lanes.tripwire_edges(lanes.light_islands(lane), lane))
+
+
+@query()
+def lane_notes(spark, sf_dir):
+    return lanes.lane_notes(views.lane_signal(spark, sf_dir))
+
+
+_Y = "edges AS (SELECT recording_id, midi, frame, t_us, (fill + frame%8)*40 AS y FROM lane)"
+
+
+@query(f"""WITH {LANE}, {_Y}, s AS (SELECT *, coalesce(y - lag(y) OVER w <= 0 OR y - lag(y) OVER w > 0.15::DOUBLE*320, true) AS new FROM edges WHERE y > 0.02::DOUBLE*320 WINDOW w AS (PARTITION BY recording_id, midi ORDER BY frame)),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY recording_id, midi ORDER BY frame) AS seg FROM s), l AS (SELECT recording_id, count(*) AS n, regr_slope(y, t_us/1e6) AS slope, max(y) - min(y) AS span FROM g GROUP BY recording_id, midi, seg HAVING count(*) >= 5 AND regr_slope(y, t_us/1e6) > 1),
+f AS (SELECT recording_id, CASE WHEN count(*) FILTER (WHERE span >= 0.3::DOUBLE*320) >= 5 THEN median(slope) FILTER (WHERE span >= 0.3::DOUBLE*320) WHEN count(*) FILTER (WHERE span >= 0.2::DOUBLE*320) >= 5 THEN median(slope) FILTER (WHERE span >= 0.2::DOUBLE*320)
+  WHEN count(*) FILTER (WHERE span >= 0.1::DOUBLE*320) >= 5 THEN median(slope) FILTER (WHERE span >= 0.1::DOUBLE*320) ELSE median(slope) END AS speed FROM l GROUP BY recording_id)
+SELECT r.recording_id, round(coalesce(speed, 160), 4) AS speed FROM (SELECT DISTINCT recording_id FROM lane) r LEFT JOIN f ON f.recording_id = r.recording_id""")
+def fall_speed(spark, sf_dir):
+    lane = views.lane_signal(spark, sf_dir)
+    edges = lane.select("recording_id", "midi", "frame", "t_us", ((F.col("fill") + F.col("frame") % 8) * 40).alias("y"))
+    return lanes.fall_speed(edges, 320.0).select("recording_id", F.round("speed", 4).alias("speed"))
+
+
+@query(f"""WITH {LANE}, {_Y}, p AS (SELECT *, lag(y) OVER w AS b, lead(y) OVER w AS a FROM edges WINDOW w AS (PARTITION BY recording_id, midi ORDER BY frame)),
+f AS (SELECT recording_id, count(*) AS n, quantile_cont(y, 0.9) AS q FROM p WHERE y >= 0.8::DOUBLE*320 AND y >= b AND y >= a GROUP BY recording_id)
+SELECT r.recording_id, round(CASE WHEN n >= 20 THEN q ELSE 320 END, 4) AS level FROM (SELECT DISTINCT recording_id FROM lane) r LEFT JOIN f ON f.recording_id = r.recording_id""")
+def hit_level(spark, sf_dir):
+    lane = views.lane_signal(spark, sf_dir)
+    edges = lane.select("recording_id", "midi", "frame", "t_us", ((F.col("fill") + F.col("frame") % 8) * 40).alias("y"))
+    return lanes.hit_level(edges, 320.0).select("recording_id", F.round("level", 4).alias("level"))
+
+
+@query("""WITH k AS (SELECT CAST(m AS INT) AS midi, m%12 IN (1,3,6,8,10) AS is_black FROM range(21, 109) r(m)), w AS (SELECT *, sum((NOT is_black)::INT) OVER (ORDER BY midi) AS n FROM k)
+SELECT midi, round(CASE WHEN is_black THEN n*1280/52.0 ELSE (n - 0.5)*1280/52.0 END, 6) AS center, round(CASE WHEN is_black THEN 1280/52.0*0.58/2 ELSE 1280/52.0/2 END, 6) AS half_width, is_black FROM w""")
+def fallback_88_lanes(spark, sf_dir):
+    return notation.even_lanes(spark).withColumns({c: F.round(c, 6) for c in ("center", "half_width")})
+
+
+@query(f"""WITH {NOTES}, e AS (SELECT note_id, midi + 1 AS midi FROM notes WHERE note_id%17 = 0), d AS (SELECT note_id FROM notes WHERE note_id%23 = 0)
+SELECT n.note_id, coalesce(e.midi, n.midi) AS midi, e.note_id IS NOT NULL AS manually_corrected FROM notes n LEFT JOIN e USING (note_id) WHERE n.note_id NOT IN (SELECT note_id FROM d)""")
+def user_corrections(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    edits = notes.filter("note_id % 17 = 0").select("recording_id", "note_id", (F.col("midi") + 1).alias("midi"))
+    return refine.correct(notes, edits, notes.filter("note_id % 23 = 0").select("recording_id", "note_id")).select("note_id", "midi", "manually_corrected")
+
+
+@query(f"WITH {NOTES} SELECT note_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY start_us, midi, note_id) AS INT) AS id FROM notes")
+def renumbered_notes(spark, sf_dir):
+    return refine.renumber(views.notes(spark, sf_dir)).select("note_id", "id")
