@@ -53,19 +53,20 @@ def unit(column: pa.Array, rows: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def groups(vectors: DataFrame) -> DataFrame:
-    """label, h1, h2 (of the components), rep, copies, embedding: one row for equal vectors that can link."""
+def keyed(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, embedding as doubles, h1 and h2 of its components; the hashes are null for what can't link."""
+    plain = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v))  # -0.0 is 0.0
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), plain.alias("embedding"))
     x = F.col("embedding")
-    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(x) > 0)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = keyed(vectors).filter(good & F.coalesce(finite, F.lit(False)))
-    return rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"))
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(x) > 0) & F.coalesce(finite, F.lit(False))
+    return rows.withColumns({"h1": F.when(good, F.xxhash64(F.size(x), x)), "h2": F.when(good, F.xxhash64(F.lit(43), F.reverse(x)))})
 
 
-def keyed(vectors: DataFrame) -> DataFrame:
-    x = F.col("embedding").cast("array<double>")
-    plain = F.transform(x, lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v))  # -0.0 is 0.0
-    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), plain.alias("embedding")).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(43), F.reverse("embedding")))
+def groups(vectors: DataFrame) -> DataFrame:
+    """label, h1, h2 (of the components), rep, copies, embedding: one row for equal vectors that can link."""
+    rows = keyed(vectors).filter("h1 is not null")
+    return rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"))
 
 
 def centroids(rows: DataFrame, sample: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> dict[tuple, tuple[int, np.ndarray]]:
@@ -209,7 +210,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, cap: int = SHARD_C
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(links.select(F.col("rep").alias("u"), F.col("low").alias("v")).filter("u <> v")).withColumnRenamed("node", "rep")
     known = found.join(counts, "rep", "left").join(joined, "rep", "left").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = keyed(vectors).select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("label")).alias("label"), "h1", "h2").join(known, ["label", "h1", "h2"], "left")
+    out = keyed(vectors).select("vec_id", "label", "h1", "h2").join(known, ["label", "h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
