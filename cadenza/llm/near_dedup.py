@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import textkit
 from cadenza.llm.graph import components
-from cadenza.llm.storage import saved
+from cadenza.llm.storage import compact, saved
 
 U = np.uint64
 WORDS, THRESHOLD = 5, 0.8
@@ -189,7 +189,7 @@ def mixed(inside: DataFrame, found: DataFrame) -> DataFrame:
     """bucket, b, component, low of the buckets whose members are in several components (low is the smallest)."""
     named = inside.select("bucket", "b").join(found.toDF("b", "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket", "low")
-    return saved(named.join(several, "bucket"))
+    return compact(saved(named.join(several, "bucket")))[0]
 
 
 def likely(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +256,7 @@ def completed(open_: DataFrame, reps: DataFrame, docs: DataFrame, threshold: flo
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.select("bucket", "b", "component", "part", other.alias("o")).select("bucket", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "b", "component", "part")
     rows = rows.join(reps.select(F.col("rep").alias("b"), "bands", "sig"), "b")
-    rows = saved(rows.groupBy("bucket", "i", "j").applyInArrow(narrow, keys))
+    rows, _ = compact(saved(rows.groupBy("bucket", "i", "j").applyInArrow(narrow, keys)), 5000)
     texts = pick(docs, rows.select(F.col("b").alias("doc_id")).distinct())
     return rows.join(texts.toDF("b", "text"), "b").groupBy("bucket", "i", "j").applyInArrow(verify, "a bigint, b bigint")
 
@@ -269,10 +269,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("bucket", "a")
-    inside = saved(members.join(shared, "bucket").select("bucket", "a", F.col("rep").alias("b")))
-    stars = inside.filter("a < b").select("a", "b").distinct()
-    likely = saved(agreeing(stars, reps, threshold - SLACK))
-    links = saved(verified(likely, docs, threshold))
+    inside, _ = compact(saved(members.join(shared, "bucket").select("bucket", "a", F.col("rep").alias("b"))))
+    stars, _ = compact(saved(inside.filter("a < b").select("a", "b").distinct()))
+    near, _ = compact(saved(agreeing(stars, reps, threshold - SLACK)))
+    links, _ = compact(saved(verified(near, docs, threshold)))
     found = components(links.toDF("u", "v"))
 
     # buckets that hold members of several components: stars around a few random members, while that joins components
@@ -285,13 +285,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         before = rest
         leaders = open_.groupBy("bucket").agg(F.array(*(F.min_by(F.struct("b", "component"), F.xxhash64("b", F.lit(100 * seed + i))) for i in range(LEADERS))).alias("leaders"))
         more = open_.join(leaders.select("bucket", F.explode("leaders").alias("l")), "bucket").filter("component <> l.component").select(F.least("b", "l.b").alias("a"), F.greatest("b", "l.b").alias("b"))
-        more = saved(more.distinct().join(tested, ["a", "b"], "left_anti"))
-        links = saved(links.unionByName(verified(saved(agreeing(more, reps, threshold - SLACK)), docs, threshold)))
+        more, _ = compact(saved(more.distinct().join(tested, ["a", "b"], "left_anti")))
+        near, _ = compact(saved(agreeing(more, reps, threshold - SLACK)))
+        links, _ = compact(saved(links.unionByName(verified(near, docs, threshold))))
         found = components(links.toDF("u", "v"))
         tested = tested.unionByName(more)
     # what is left is tested in full
-    more = saved(completed(mixed(inside, found), reps, docs, threshold))
-    if more.limit(1).count():
+    more, n = compact(saved(completed(mixed(inside, found), reps, docs, threshold)))
+    if n:
         found = components(links.unionByName(more).toDF("u", "v"))
     ids = reps.select("fp", "rep").join(found.toDF("rep", "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("fp")).alias("fp")).join(ids, "fp", "left")

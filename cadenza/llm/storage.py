@@ -24,3 +24,13 @@ def saved(df: DataFrame) -> DataFrame:
     """df from the shared folder: computed once, whatever reads it, and found again if an executor is lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def compact(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
+    """A saved df in as many partitions as its rows need, without a shuffle, and its number of rows.
+
+    Small results of many-partitioned joins otherwise stay in as many tiny pieces, and
+    every later shuffle writes files for each of them.
+    """
+    n = df.count()
+    return df.coalesce(max(1, -(-n // rows))), n
