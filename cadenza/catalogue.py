@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import note as note_fn
 from cadenza.functions import pitch
-from cadenza.operators import hands, key, lanes, matching, notation, refine, tempo, verify
+from cadenza.operators import bars, hands, key, lanes, matching, notation, refine, tempo, verify
 from cadenza.sources import sinks, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -581,3 +581,39 @@ def user_corrections(spark, sf_dir):
 @query(f"WITH {NOTES} SELECT note_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY start_us, midi, note_id) AS INT) AS id FROM notes")
 def renumbered_notes(spark, sf_dir):
     return refine.renumber(views.notes(spark, sf_dir)).select("note_id", "id")
+
+
+@query(f"""WITH {NOTES}, {ATTACKS}, t AS (SELECT DISTINCT recording_id, attack_us AS t_us FROM attacks WHERE attack_us % 11 = 0)
+SELECT t.recording_id, t.t_us, count(*) AS sounding, string_agg(CAST(midi AS VARCHAR), ';' ORDER BY midi, note_id) AS pitches FROM notes n JOIN t ON n.recording_id = t.recording_id AND start_us <= t_us AND t_us < end_us GROUP BY ALL""")
+def sounding_notes(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    times = views.attacks(notes).filter("attack_us % 11 = 0").select("recording_id", F.col("attack_us").alias("t_us")).distinct()
+    # a note is at most two seconds long, so it meets times in buckets of that length
+    width = 2_000_000
+    spread = notes.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(F.col("end_us") / width))))
+    rows = spread.join(times.withColumn("__b", F.floor(F.col("t_us") / width)), ["recording_id", "__b"]).filter(note_fn.sounding(F.col("t_us")))
+    return rows.groupBy("recording_id", "t_us").agg(F.count("*").alias("sounding"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("midi", "note_id"))), lambda x: x["midi"]), ";").alias("pitches"))
+
+
+@query(f"""WITH {NOTES}, p AS (SELECT DISTINCT recording_id, midi, start_us + (note_id*7)%100000 - 50000 AS t_us FROM notes WHERE note_id%5 = 0)
+SELECT p.*, (SELECT arg_min(note_id, (start_us, note_id)) FROM notes n WHERE n.recording_id = p.recording_id AND n.midi = p.midi AND p.t_us >= start_us - 20000 AND p.t_us <= end_us + 20000) AS note_id FROM p""")
+def note_hit_test(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    points = notes.filter("note_id % 5 = 0").select("recording_id", "midi", (F.col("start_us") + (F.col("note_id") * 7) % 100_000 - 50_000).alias("t_us")).distinct()
+    return matching.hit_test(notes, points)
+
+
+@query("""WITH k AS (SELECT CAST(m AS INT) AS midi, m%12 IN (1,3,6,8,10) AS b FROM range(21, 109) r(m)), w AS (SELECT *, sum((NOT b)::INT) OVER (ORDER BY midi) AS n FROM k),
+l AS (SELECT midi, CASE WHEN b THEN n*(1280/52.0::DOUBLE) ELSE (n - 0.5::DOUBLE)*(1280/52.0::DOUBLE) END AS c FROM w), p AS (SELECT event_id, CAST(event_id*37%1280 AS DOUBLE) + 0.25 AS x FROM events)
+SELECT event_id, arg_min(midi, (abs(x - c), midi)) AS midi FROM p, l GROUP BY event_id""")
+def nearest_lanes(spark, sf_dir):
+    points = views.table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 37 % 1280).cast("double") + 0.25).alias("x"))
+    return matching.nearest_lane(points, notation.even_lanes(spark)).select("event_id", "midi")
+
+
+@query()
+def bar_notes(spark, sf_dir):
+    """Bars that fall through the lanes of the signal: a lit frame is a bar's lower end, eight frames above the line."""
+    lane = views.lane_signal(spark, sf_dir)
+    runs = lane.filter("lit >= 0").select("recording_id", "midi", "frame", "t_us", (F.col("frame") % 8 * 40.0).alias("y_top"), (F.col("frame") % 8 * 40.0 + 40 * F.col("fill")).alias("y_bottom"))
+    return bars.bar_notes(runs, 320.0, 2400.0)

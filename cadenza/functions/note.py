@@ -52,3 +52,18 @@ def hue_distance(a: Column, b: Column) -> Column:
 
 def onset_uncertainty_ms(speed: Column, fps: Column) -> Column:
     return 0.5 / speed * 1000 + 0.1 * 1000 / fps
+
+
+def sounding(t_us: Column) -> Column:
+    """Whether the note sounds at a time; its end is outside."""
+    return (F.col("start_us") <= t_us) & (t_us < F.col("end_us"))
+
+
+def triggered(before_us: Column, now_us: Column) -> Column:
+    """Whether playback from one moment to the next starts the note."""
+    return (F.col("start_us") > before_us) & (F.col("start_us") <= now_us)
+
+
+def in_view(from_us: Column, to_us: Column) -> Column:
+    """Whether the note overlaps a closed range of time."""
+    return (F.col("start_us") <= to_us) & (F.col("end_us") >= from_us)

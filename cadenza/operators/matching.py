@@ -111,3 +111,31 @@ def accuracy(notes: DataFrame, truth: DataFrame, config: Config = DEFAULT) -> Da
         F.round(F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)), 4).alias("f1"),
         F.round(F.col("onset") / 1000, 2).alias("mean_onset_error_ms"), F.round(F.col("duration") / 1000, 2).alias("mean_duration_error_ms"),
     )
+
+
+def hit_test(notes: DataFrame, points: DataFrame, slack_us: int = 20_000) -> DataFrame:
+    """points (recording_id, midi, t_us) with note_id: the first note of that pitch at that time, give or take the slack; null without one."""
+    n, p = notes.alias("n"), points.alias("p")
+    same = (F.col("n.recording_id") == F.col("p.recording_id")) & (F.col("n.midi") == F.col("p.midi"))
+    near = same & (F.col("p.t_us") >= F.col("n.start_us") - slack_us) & (F.col("p.t_us") <= F.col("n.end_us") + slack_us)
+    hits = p.join(n, near).groupBy("p.recording_id", "p.midi", "p.t_us").agg(F.min(F.struct("n.start_us", "n.note_id")).alias("x"))
+    return points.join(hits.select("recording_id", "midi", "t_us", F.col("x.note_id").alias("note_id")), ["recording_id", "midi", "t_us"], "left")
+
+
+def nearest_lane(points: DataFrame, lanes: DataFrame, prefer_black: Column | None = None) -> DataFrame:
+    """points (x) with midi and confidence: the lane whose centre is nearest, distances of the other colour counting 1.6 times.
+
+    lanes is one keyboard, at most 128 rows, and travels as a broadcast array.
+    """
+    keys = lanes.agg(F.collect_list(F.struct("midi", "center", "half_width", "is_black")).alias("keys"))
+    rows = points.crossJoin(F.broadcast(keys))
+    bias = F.lit(1.0) if prefer_black is None else None
+
+    def away(k: Column) -> Column:
+        plain = F.abs(F.col("x") - k["center"])
+        return plain * (bias if bias is not None else F.when(k["is_black"] != prefer_black, 1.6).otherwise(1.0))
+
+    ranked = F.array_sort(F.transform("keys", lambda k: F.struct(away(k).alias("d"), k["midi"].alias("midi"), k["half_width"].alias("w"))))
+    rows = rows.withColumn("__r", ranked)
+    margin = (F.col("__r")[1]["d"] - F.col("__r")[0]["d"]) / F.col("__r")[0]["w"]
+    return rows.select(*points.columns, F.col("__r")[0]["midi"].alias("midi"), F.greatest(F.lit(0.4), F.least(F.lit(1.0), 0.5 + 0.5 * margin)).alias("confidence"))

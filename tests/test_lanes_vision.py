@@ -5,7 +5,7 @@ import xml.etree.ElementTree as ET
 import numpy as np
 from pyspark.sql import functions as F
 
-from cadenza.operators import lanes, matching, notation, vision
+from cadenza.operators import bars, lanes, matching, notation, vision
 from cadenza.sources import frames, pieces, sinks, views
 from cadenza.streaming import lanes as stream
 from tests.test_refine import SF, notes
@@ -126,3 +126,20 @@ def test_csv_files(spark, tmp_path):
     sinks.write_csv(notes(spark, [(60, 0, 1.0), (61, 1, 2)]), str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.count() == 2 and back.filter("name = 'C4'").first().start == "0.000000"
+
+
+def test_falling_bars_are_read_back(spark):
+    layout = notation.even_lanes(spark, 1040.0)
+    truth = pieces.as_table(spark, [(60, 0.8, 1.1, "left", 80), (64, 0.8, 1.3, "left", 80), (72, 1.0, 1.4, "right", 90)])
+    runs = bars.lane_runs(frames.render(spark, truth, layout, 1.8, 60, 1040, 400, 320.0), layout)
+    found = bars.bar_notes(runs, 300.0, 320.0).withColumn("note_id", F.monotonically_increasing_id())
+    row = matching.accuracy(found, truth).first()
+    assert (row.recall, row.precision) == (1.0, 1.0) and row.mean_onset_error_ms < 20 and row.mean_duration_error_ms < 40
+
+
+def test_notches(spark):
+    edges = [300, 300, 300, 280, 270, 285, 300, 300, 299, 300]
+    runs = spark.createDataFrame([(0, 60, i, i * 16_667, 100.0, float(e)) for i, e in enumerate(edges)], "recording_id long, midi int, frame int, t_us long, y_top double, y_bottom double")
+    assert [r.frame for r in bars.restrike_notches(runs, 300.0, 40.0).collect()] == [6]
+    still = runs.withColumn("y_bottom", F.lit(300.0))
+    assert bars.restrike_notches(still, 300.0, 40.0).count() == 0
