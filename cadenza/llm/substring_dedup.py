@@ -94,6 +94,21 @@ def _shards(key: np.ndarray, shards: int) -> np.ndarray:
     return (textkit.mix(key) % U(shards)).astype(np.int32)
 
 
+def _each_shard(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[list[np.ndarray]]:
+    """As _whole(), of one shard of the task after another, so that one index stands at a time."""
+    held: dict[int, list[list[bytes]]] = {}
+    for batch in batches:
+        columns = [batch.column(i + 1).to_pylist() for i in range(len(kinds))]
+        for row, shard in enumerate(batch.column(0).to_pylist()):
+            own = held.setdefault(shard, [[] for _ in kinds])
+            for i, values in enumerate(columns):
+                own[i].append(values[row])
+    for shard in sorted(held):
+        parts = held.pop(shard)
+        yield [np.frombuffer(b"".join(x), kind) for x, kind in zip(parts, kinds)]
+        textkit.let_go()
+
+
 def _whole(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray]:
     """The packed arrays of all rows, one after another, for each binary column from the second on."""
     held: list[list[bytes]] = [[] for _ in kinds]
@@ -133,8 +148,9 @@ def answer(shards: int):
     """A shard's packed rows to packed (shard, docs, keys) rows, by a hash of doc_id: minimizers that another document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc = _shared(batches)
-        yield from _packed(["shard", "docs", "keys"], _shards(doc.view(U), shards), shards, doc, key)
+        for columns in _each_shard(batches, [U, np.int64, bool]):
+            key, doc = _shared(*columns)
+            yield from _packed(["shard", "docs", "keys"], _shards(doc.view(U), shards), shards, doc, key)
 
     return run
 
@@ -177,9 +193,8 @@ def _merged(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return docs[at], starts[at].astype(np.int32), last.astype(np.int32)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+def _shared(key: np.ndarray, doc: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(minimizer, document) pairs of a shard whose minimizer another document has too."""
-    key, doc, known = _whole(batches, [U, np.int64, bool])
     if len(key) == 0:
         return key.view(np.int64), doc
     order = np.argsort(key, kind="stable")
@@ -265,15 +280,15 @@ def report(shards: int):
     """A shard's packed segments to packed (shard, docs, starts, ends) rows, by a hash of doc_id: intervals of words that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, start, end = _found(batches)
-        yield from _packed(["shard", "docs", "starts", "ends"], _shards(doc.view(U), shards), shards, doc, start, end)
+        for columns in _each_shard(batches, [U, np.int16, np.int64, np.int32, bool]):
+            doc, start, end = _found(*columns)
+            yield from _packed(["shard", "docs", "starts", "ends"], _shards(doc.view(U), shards), shards, doc, start, end)
 
     return run
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _found(word: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, decided: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents and intervals of words that go, as a shard's segments show."""
-    word, size, doc, start, decided = _whole(batches, [U, np.int16, np.int64, np.int32, bool])
     size = size.astype(np.int64)
     out = [(doc[decided], start[decided], start[decided] + size[decided])]
     size, doc, start = size[~decided], doc[~decided], start[~decided]
@@ -332,7 +347,8 @@ def search(word: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray)
 
 
 def shard_count(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Two shards for each partition of a shuffle: a task takes its shards one by one."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def intervals(docs: DataFrame) -> DataFrame:
@@ -340,13 +356,14 @@ def intervals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shards = shard_count(spark)
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    tasks = max(1, shards // 2)
     asked = rows.mapInArrow(ask(shards), "shard int, keys binary, docs binary, known binary")
     # packed rows go to a shard and, packed again, to the documents: a row a shard and task, not a row a word or document
-    answers = asked.repartition(shards, "shard").mapInArrow(answer(shards), "shard int, docs binary, keys binary")
-    answers = answers.repartition(shards, "shard").mapInArrow(keys_by_doc, "doc_id bigint, keys array<bigint>")
+    answers = asked.repartition(tasks, "shard").mapInArrow(answer(shards), "shard int, docs binary, keys binary")
+    answers = answers.repartition(tasks, "shard").mapInArrow(keys_by_doc, "doc_id bigint, keys array<bigint>")
     segments = rows.join(answers, "doc_id").select("doc_id", "text", "keys").mapInArrow(send(shards), "shard int, words binary, sizes binary, docs binary, starts binary, decided binary")
-    found = segments.repartition(shards, "shard").mapInArrow(report(shards), "shard int, docs binary, starts binary, ends binary")
-    return found.repartition(shards, "shard").mapInArrow(intervals_by_doc, "doc_id bigint, starts array<int>, ends array<int>")
+    found = segments.repartition(tasks, "shard").mapInArrow(report(shards), "shard int, docs binary, starts binary, ends binary")
+    return found.repartition(tasks, "shard").mapInArrow(intervals_by_doc, "doc_id bigint, starts array<int>, ends array<int>")
 
 
 def kept_bytes(column: pa.Array, starts: pa.Array, ends: pa.Array) -> tuple[np.ndarray, np.ndarray, list[memoryview]]:
