@@ -124,22 +124,21 @@ def musicxml(notes: DataFrame, period: Column, phase: Column, beats_per_measure:
     spelled = spell(pitched, keys).join(keys.select("recording_id", "fifths"), "recording_id")
 
     def element(pdf: pd.DataFrame) -> pd.DataFrame:
-        divisions, out = int(pdf["divisions"].iloc[0]), []
+        divisions, out, place = int(pdf["divisions"].iloc[0]), [], (0, 0, -1)
         out.append('<?xml version="1.0" encoding="UTF-8"?><score-partwise version="3.1"><part-list><score-part id="P1"><part-name>Piano</part-name></score-part></part-list><part id="P1">')
-        for number, bar in pdf.groupby("measure", sort=True):
-            out.append(f'<measure number="{number}">')
-            if number == 1:
-                out.append(f'<attributes><divisions>{divisions}</divisions><key><fifths>{int(pdf["fifths"].iloc[0])}</fifths></key><time><beats>{beats_per_measure}</beats><beat-type>4</beat-type></time><staves>2</staves></attributes>')
-            for staff, line in bar.groupby("staff", sort=True):
-                if staff == 2:
-                    out.append(f"<backup><duration>{divisions * beats_per_measure}</duration></backup>")
-                for _, chord in line.groupby("pos", sort=True):
-                    for n, row in enumerate(chord.sort_values("midi").itertuples()):
-                        kind = next((name for length, name in TYPES if row.dur / divisions >= length), TYPES[-1][1])
-                        what = "<rest/>" if pd.isna(row.midi) else ("<chord/>" if n else "") + f"<pitch><step>{row.step}</step><alter>{int(row.alter)}</alter><octave>{int(row.octave)}</octave></pitch>"
-                        out.append(f"<note>{what}<duration>{row.dur}</duration><voice>{staff}</voice><type>{kind}</type><staff>{staff}</staff></note>")
-            out.append("</measure>")
-        out.append("</part></score-partwise>")
+        rows = pdf.sort_values(["measure", "staff", "pos", "midi"])
+        for measure, staff, pos, dur, midi, step, alter, octave in zip(*(rows[c].tolist() for c in ("measure", "staff", "pos", "dur", "midi", "step", "alter", "octave"))):
+            if measure != place[0]:
+                out.append(("</measure>" if place[0] else "") + f'<measure number="{measure}">')
+                if measure == 1:
+                    out.append(f'<attributes><divisions>{divisions}</divisions><key><fifths>{int(pdf["fifths"].iloc[0])}</fifths></key><time><beats>{beats_per_measure}</beats><beat-type>4</beat-type></time><staves>2</staves></attributes>')
+            if staff == 2 and place[:2] != (measure, 2):
+                out.append(f"<backup><duration>{divisions * beats_per_measure}</duration></backup>")
+            kind = next((name for length, name in TYPES if dur / divisions >= length), TYPES[-1][1])
+            what = "<rest/>" if pd.isna(midi) else ("<chord/>" if place == (measure, staff, pos) else "") + f"<pitch><step>{step}</step><alter>{int(alter)}</alter><octave>{int(octave)}</octave></pitch>"
+            out.append(f"<note>{what}<duration>{dur}</duration><voice>{staff}</voice><type>{kind}</type><staff>{staff}</staff></note>")
+            place = (measure, staff, pos)
+        out.append("</measure></part></score-partwise>")
         return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "document": ["".join(out)]})
 
     return spelled.groupBy("recording_id").applyInPandas(element, "recording_id bigint, document string")
