@@ -3,7 +3,7 @@
 For each labelled language a suffix automaton is built over a bounded sample of
 its text.  A document is parsed greedily against each automaton: the longest
 match with the language's text from the current position is one phrase, and the
-next phrase starts behind it.  The phrases, times log2 of the length of the
+next phrase starts behind it (a byte that the language's text lacks ends a phrase).  The phrases, times log2 of the length of the
 language's text and divided by the length of the document, estimate the cross
 entropy in bits a byte; the language with the lowest estimate wins.
 
