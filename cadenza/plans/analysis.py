@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,15 @@ class Analysis:
     accuracy: DataFrame | None
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df from the shared folder: most passes read their input twice, so a chain of them would plan and read the first 2 ** n times."""
+    sc, spark = df.sparkSession.sparkContext, df.sparkSession
+    if not sc.getCheckpointDir():
+        own = tempfile.mkdtemp(prefix="cadenza-") if sc.master.startswith("local") and "cluster" not in sc.master else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return df.checkpoint()
+
+
 def analyse(notes: DataFrame, attacks: DataFrame | None = None, truth: DataFrame | None = None, coloured: bool = False, config: Config = DEFAULT) -> Analysis:
     """Merge, hands, skew and snapping, alignment, trimming, tempo, flags and report.
 
@@ -30,17 +40,19 @@ def analyse(notes: DataFrame, attacks: DataFrame | None = None, truth: DataFrame
     merged = refine.merge_fragments(notes, config)
     rest = [c for c in notes.columns if c not in merged.columns]
     rows = merged.drop("parts").join(notes.select("recording_id", "note_id", *(c for c in rest if c not in ("recording_id", "note_id"))), ["recording_id", "note_id"])
-    rows = hands.assign(rows, coloured, config)
+    rows = _kept(hands.assign(rows, coloured, config))
     if attacks is not None:
         skew = refine.av_skew(rows, attacks, config).select("recording_id", "applied_us")
         moved = attacks.join(skew, "recording_id", "left").selectExpr("recording_id", "attack_us + coalesce(applied_us, 0) as attack_us")
-        rows = refine.drop_silent_short(refine.snap_onsets(rows, moved, config).drop("snapped"), moved, config)
+        moved = _kept(moved)
+        rows = _kept(refine.snap_onsets(rows, moved, config).drop("snapped"))
+        rows = _kept(refine.drop_silent_short(rows, moved, config))
         attacks = moved
-    rows = refine.align_chords(rows, attacks, config).drop("moved")
-    rows = refine.align_releases(rows, config).drop("moved")
-    rows = refine.consolidate_durations(rows, config).drop("moved")
-    rows = verify.error_flags(refine.trim_same_pitch(rows, config), config=config)
-    beats = tempo.estimate(rows, config)
+    rows = _kept(refine.align_chords(rows, attacks, config).drop("moved"))
+    rows = _kept(refine.align_releases(rows, config).drop("moved"))
+    rows = _kept(refine.consolidate_durations(rows, config).drop("moved"))
+    rows = _kept(verify.error_flags(refine.trim_same_pitch(rows, config), config=config))
+    beats = _kept(tempo.estimate(rows, config))
     on_grid = rows.join(beats.select("recording_id", "period", "phase"), "recording_id")
     return Analysis(
         notes=refine.renumber(rows),
