@@ -1,17 +1,19 @@
 """Operator 3, near-duplicate embeddings with a robust-pruned flat graph.
 
 Vectors with one label and dimension are clustered by centroids of a bounded
-sample, and each vector goes to its `OVERLAP` nearest clusters.  Each cluster
-shard builds a robust-pruned neighbour graph; the adjacency lists of a vector are
-united over its shards.  Every vector is then a query in its shards: greedy
-search from the shard's medoids, expanded through all nodes in range, with cosine
-verified in double precision.  A pair counts in the smallest shard that both are
-in, so the links of a vector are sums over its shards and pairs never leave a task.
-
-A shard of more than `SHARD_CAP` vectors is split by hash, and its parts are
-searched against each other in blocks.  Each task audits its recall on
-`AUDIT` of its queries by brute force; where that is below `LEAST_RECALL`, the
-task answers its block by brute force.
+sample.  A vector is indexed in the cell of its nearest centroid and asks in every
+cell that can hold a vector in range: x lies in the cell of c only if x.(h - c) <= 0
+for every other centroid h, and a vector y within the angle t of x has then
+y.(h - c) <= sin(t) |h - c|.  With h the nearest centroid of y, the cells that fail
+this are left out, so every linked pair meets, and it meets in each direction once.
+Each cell has a robust-pruned neighbour graph: greedy search from its medoids,
+expanded through all nodes in range, with cosine verified in double precision.
+
+Cells and the vectors that ask in them are split by hash into parts of at most about
+`SHARD_CAP`, which meet in blocks.  Each block audits its recall on `AUDIT` of its
+queries by brute force; where that is below `LEAST_RECALL`, it is answered by brute
+force.  About `AUDIT_ROWS` vectors are then compared with all vectors of their label;
+if one label's recall is below `LEAST_RECALL`, all blocks are answered by brute force.
 
 Exact copies (one label, equal components) are searched once and counted by their
 number.  Components join over the tasks' local ones (see graph.py).
@@ -38,10 +40,11 @@ from cadenza.llm.storage import saved
 
 U = np.uint64
 LEAST = 0.98
-#: Vectors that centroids are fitted on, at most; vectors a shard should have; shards a vector is in.
-SAMPLE_ROWS, SHARD_ROWS, OVERLAP = 20_000, 400, 3
+#: Vectors that centroids are fitted on, at most; vectors a shard should have.
+SAMPLE_ROWS, SHARD_ROWS = 20_000, 400
 SHARD_CAP = 4096
-AUDIT, LEAST_RECALL = 32, 0.995
+#: Queries that a block audits; queries that are audited against their whole label; share of links to be found.
+AUDIT, AUDIT_ROWS, LEAST_RECALL = 32, 1024, 0.995
 DEGREE = 24
 
 
@@ -69,11 +72,16 @@ def groups(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"))
 
 
+def sampled(rows: DataFrame, total: int, sample: int, seed: int) -> list:
+    """label, rep, embedding of about 0.9 * sample of the rows, by hash of rep."""
+    part = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 40)) < F.lit(int(min(1.0, 0.9 * sample / max(1, total)) * (1 << 40)))
+    return rows.filter(part).select("label", "rep", "embedding").limit(sample).collect()  # the limit is never met but for chance
+
+
 def centroids(rows: DataFrame, sample: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> dict[tuple, tuple[int, np.ndarray]]:
     """{(label, dimension): (number of its first shard, centroids)} from a sample by hash of rep."""
     total = rows.count()
-    part = F.pmod(F.xxhash64("rep", F.lit(47)), F.lit(1 << 40)) < F.lit(int(min(1.0, 0.9 * sample / max(1, total)) * (1 << 40)))
-    picked = rows.filter(part).select("label", "rep", "embedding").limit(sample).collect()  # the limit is never met but for chance
+    picked = sampled(rows, total, sample, 47)
     by: dict[tuple, list] = {}
     for r in sorted(picked, key=lambda r: r.rep):
         by.setdefault((r.label, len(r.embedding)), []).append(r.embedding)
@@ -92,118 +100,160 @@ def centroids(rows: DataFrame, sample: int = SAMPLE_ROWS, shard_rows: int = SHAR
     return out
 
 
-def assigned(rows: DataFrame, fitted: dict, overlap: int = OVERLAP) -> DataFrame:
-    """rep, copies, embedding, shards array<bigint> (ascending). Labels that the sample missed have one shard each, by hash, below 0."""
+def reached(x: np.ndarray, c: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centroid of each unit vector, and [rows, centroids] whether a cell can hold a vector in range."""
+    near = x @ c.T
+    home = near.argmax(axis=1)
+    square = (c**2).sum(axis=1)
+    apart = np.sqrt(np.maximum(square[home][:, None] + square - 2 * c[home] @ c.T, 0))
+    return home, near[np.arange(len(x)), home][:, None] - near <= np.sqrt(1 - least**2) * apart + 1e-6  # for rounding
+
+
+def assigned(rows: DataFrame, fitted: dict, least: float = LEAST) -> DataFrame:
+    """rep, copies, embedding, home (the shard that has it), asks array<bigint> (the shards it asks). Labels that the sample missed have one shard each, by hash, below 0."""
     shared = rows.sparkSession.sparkContext.broadcast(fitted)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         labels, lists = part.column(0).to_pylist(), part.column(3)
-        shards: list = [None] * part.num_rows
+        home = np.zeros(part.num_rows, np.int64)
+        asks: list = [None] * part.num_rows
         sizes = np.asarray(lists.value_lengths())
-        for key in set(zip(labels, sizes.tolist())):
-            at = np.array([i for i, k in enumerate(zip(labels, sizes.tolist())) if k == key])
+        by: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(labels, sizes.tolist())):
+            by.setdefault(key, []).append(i)
+        for key, at in by.items():
             if key in shared.value:
                 base, c = shared.value[key]
-                near = unit(lists.take(pa.array(at)), len(at)) @ c.T
-                best = np.sort(np.argsort(-near, axis=1, kind="stable")[:, :overlap], axis=1) + base
+                x = unit(lists.take(pa.array(at)), len(at))
+                step = max(1, (1 << 22) // len(c))
+                for a in range(0, len(at), step):
+                    nearest, can = reached(x[a : a + step], c, least)
+                    home[at[a : a + step]] = nearest + base
+                    for i, row in zip(at[a : a + step], can):
+                        asks[i] = (np.flatnonzero(row) + base).tolist()
             else:
                 low = -1 - zlib.crc32(str(key).encode())
-                best = np.full((len(at), 1), low)
-            for i, b in zip(at, best):
-                shards[i] = b.tolist()
-        return pa.RecordBatch.from_arrays([part.column(1), part.column(2), lists, pa.array(shards, pa.list_(pa.int64()))], ["rep", "copies", "embedding", "shards"])
+                home[at] = low
+                for i in at:
+                    asks[i] = [low]
+        return pa.RecordBatch.from_arrays([part.column(1), part.column(2), lists, pa.array(home), pa.array(asks, pa.list_(pa.int64()))], ["rep", "copies", "embedding", "home", "asks"])
 
-    schema = "rep bigint, copies bigint, embedding array<double>, shards array<bigint>"
+    schema = "rep bigint, copies bigint, embedding array<double>, home bigint, asks array<bigint>"
     return rows.select("label", "rep", "copies", "embedding").mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), schema)
 
 
-def build(table: pa.Table) -> pa.Table:
-    """Neighbours of each vector of a (part of a) shard."""
-    x = unit(table["embedding"], table.num_rows)
-    reps = np.asarray(table["rep"])
-    near = flat_graph.pruned(x, DEGREE)
-    sizes = (near >= 0).sum(axis=1)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(reps[near[near >= 0]]))
-    return pa.table([pa.array(reps), lists], ["rep", "near"])
-
-
-def search(table: pa.Table, least: float = LEAST, audit: int = AUDIT) -> pa.Table:
-    """Links of a block's queries among its indexed vectors: rep, links, low (the smallest rep of the local component), asked, found (of the audit)."""
-    role = np.asarray(table["role"])
+def search(table: pa.Table, least: float = LEAST, audit: int = AUDIT, exact: bool = False) -> pa.Table:
+    """Links of a block's asking vectors among its indexed ones: rep, links, low (the smallest rep of the local component), of those that have any."""
+    asks = np.asarray(table["asks"])
     reps, copies = np.asarray(table["rep"]), np.asarray(table["copies"])
     x = unit(table["embedding"], table.num_rows)
-    shard = table["shard"][0].as_py()
-    shards = table["shards"].combine_chunks()
-    indexed, asking = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("low", pa.int64()), ("asked", pa.int64()), ("found", pa.int64())])
+    indexed, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
     if len(indexed) == 0 or len(asking) == 0:
         return schema.empty_table()
-    own = reps[indexed]
-    order = np.argsort(own)
-    near = table["near"].combine_chunks()
-    offsets, flatn = np.asarray(near.offsets), np.asarray(near.values)
-    lists = []
-    for i in indexed:  # neighbours that are in this block
-        ids = flatn[offsets[i] : offsets[i + 1]]
-        at = np.minimum(np.searchsorted(own, ids, sorter=order), len(own) - 1)
-        lists.append(order[at][own[order[at]] == ids])
-    neighbours, first = flat_graph.undirected(lists)
-    starts = flat_graph.medoids(x[indexed])
-    found_q, found_n = [], []
     step = max(64, (1 << 22) // max(1, len(indexed)))
-    for a in range(0, len(asking), step):
-        q, n = flat_graph.range_search(x[asking[a : a + step]], x[indexed], neighbours, first, starts, least)
-        found_q.append(q + a)
-        found_n.append(n)
-    q, n = np.concatenate(found_q), np.concatenate(found_n)
-    sample = np.argsort(textkit.mix(reps[asking].view(U)))[:audit]
-    true_q, true_n = flat_graph.exact_search(x[asking[sample]], x[indexed], least)
-    asked = len(true_q)
-    found = int(np.isin(sample[true_q] * len(indexed) + true_n, q * len(indexed) + n).sum())
-    if found < LEAST_RECALL * asked:
+    if not exact:
+        q, n = (np.concatenate(p) for p in zip(*_by_graph(x[asking], x[indexed], step, least)))
+        sample = np.argsort(textkit.mix(reps[asking].view(U)))[:audit]
+        true_q, true_n = flat_graph.exact_search(x[asking[sample]], x[indexed], least)
+        exact = np.isin(sample[true_q] * len(indexed) + true_n, q * len(indexed) + n).sum() < LEAST_RECALL * len(true_q)
+    if exact:
         parts = [flat_graph.exact_search(x[asking[a : a + step]], x[indexed], least) for a in range(0, len(asking), step)]
         q, n = np.concatenate([p[0] + a * step for a, p in enumerate(parts)]), np.concatenate([p[1] for p in parts])
-    a, b = asking[q], indexed[n]
+    nodes, node = np.unique(reps, return_inverse=True)
+    a, b = node[asking[q]], node[indexed[n]]
     other = a != b
-    a, b = a[other], b[other]
-    # a pair that meets in several shards counts in the smallest
-    width = int(np.diff(np.asarray(shards.offsets)).max())
-    of = np.full((len(reps), width), np.iinfo(np.int64).max)
-    sizes = np.diff(np.asarray(shards.offsets))
-    of[np.repeat(np.arange(len(reps)), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.asarray(shards.flatten())
-    both = (of[a][:, :, None] == of[b][:, None, :]).any(axis=2)
-    mine = np.where(both, of[a], np.iinfo(np.int64).max).min(axis=1) == shard
-    links = np.zeros(len(reps), np.int64)
-    np.add.at(links, a[mine], copies[b[mine]])
-    low = flat_graph.local_components(len(reps), a, b, reps)
-    head = np.zeros(len(asking), np.int64)
-    head[0] = 1
-    return pa.table([pa.array(reps[asking]), pa.array(links[asking]), pa.array(low[asking]), pa.array(head * asked), pa.array(head * found)], schema=schema)
+    a, b, n = a[other], b[other], n[other]
+    links = np.bincount(a, copies[indexed[n]], len(nodes)).astype(np.int64)
+    low = flat_graph.local_components(len(nodes), a, b, nodes)
+    some = np.flatnonzero((links > 0) | (low != nodes))
+    return pa.table([pa.array(nodes[some]), pa.array(links[some]), pa.array(low[some])], schema=schema)
+
+
+def _by_graph(queries: np.ndarray, vectors: np.ndarray, step: int, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(query, vector) pairs in range that searches in the graph of the vectors find, for each step of the queries."""
+    near = flat_graph.pruned(vectors, DEGREE)
+    neighbours, first = flat_graph.undirected([row[row >= 0] for row in near])
+    starts = flat_graph.medoids(vectors)
+    out = []
+    for a in range(0, len(queries), step):
+        q, n = flat_graph.range_search(queries[a : a + step], vectors, neighbours, first, starts, least)
+        out.append((q + a, n))
+    return out
 
 
 def blocks(rows: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
-    """rows with shard, part: one for each shard of a row; parts split the shards that are larger than cap."""
-    each = rows.withColumn("shard", F.explode("shards"))
-    sizes = each.groupBy("shard").count().select("shard", F.ceil(F.col("count") / cap).cast("int").alias("parts"))
-    return each.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(53)), F.col("parts")).cast("int"))
+    """shard, i, j, asks, rep, copies, embedding: part i of the vectors that ask in a shard, and part j of those that it has, for all i and j."""
+    # a shard that nobody has answers nothing
+    asked = rows.select(F.explode("asks").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / cap).cast("int").alias("askers"))
+    had = rows.groupBy(F.col("home").alias("shard")).agg(F.ceil(F.count("*") / cap).cast("int").alias("parts"))
+    sizes = had.join(asked, "shard")
+
+    def placed(each: DataFrame, asks: bool) -> DataFrame:
+        own, other = ("askers", "parts") if asks else ("parts", "askers")
+        mine, all_ = F.pmod(F.xxhash64("rep", F.lit(53)), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        i, j = (mine, all_) if asks else (all_, mine)
+        return each.join(sizes, "shard").select("shard", i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"), "rep", "copies", "embedding")
+
+    columns = ["rep", "copies", "embedding"]
+    has = placed(rows.select(F.col("home").alias("shard"), *columns), False)
+    return has.unionByName(placed(rows.select(F.explode("asks").alias("shard"), *columns), True))
 
 
 def link(vectors: DataFrame, least: float = LEAST, cap: int = SHARD_CAP) -> tuple[DataFrame, DataFrame]:
-    """(groups of equal vectors, their links: rep, links, low, asked, found a block)."""
+    """(groups of equal vectors, their links: rep, links, low of a block)."""
     found = saved(groups(vectors))
-    rows = saved(assigned(found, centroids(found)))
-    parts = blocks(rows, cap)
-    lists = parts.select("shard", "part", "rep", "embedding").groupBy("shard", "part").applyInArrow(build, "rep bigint, near array<bigint>")
-    flat = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    # a row is indexed in the blocks (own part, j) and asks in the blocks (i, own part)
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    places = F.flatten(F.transform(other, lambda o: F.when(o == F.col("part"), F.array(F.struct(o.alias("i"), o.alias("j"), F.lit(2).alias("role")))).otherwise(
-        F.array(F.struct(F.col("part").alias("i"), o.alias("j"), F.lit(0).alias("role")), F.struct(o.alias("i"), F.col("part").alias("j"), F.lit(1).alias("role"))))))
-    placed = parts.join(flat, "rep").select("shard", F.explode(places).alias("at"), "rep", "copies", "embedding", "shards", "near").select("shard", "at.*", "rep", "copies", "embedding", "shards", "near")
-    links = saved(placed.groupBy("shard", "i", "j").applyInArrow(lambda t: search(t, least), "rep bigint, links bigint, low bigint, asked bigint, found bigint"))
+    rows = saved(assigned(found, centroids(found), least))
+
+    def searched(exact: bool) -> DataFrame:
+        return saved(blocks(rows, cap).groupBy("shard", "i", "j").applyInArrow(lambda t: search(t, least, exact=exact), "rep bigint, links bigint, low bigint"))
+
+    links = searched(False)
+    if audit(found, links, least) < LEAST_RECALL:
+        links = searched(True)
     return found, links
 
 
+def audit(found: DataFrame, links: DataFrame, least: float = LEAST, rows: int = AUDIT_ROWS) -> float:
+    """Share of the links of sampled vectors with all vectors of their label that were found, in the worst label (1 without links)."""
+    by: dict[tuple, list] = {}
+    for r in sampled(found, found.count(), rows, 59):
+        by.setdefault((r.label, len(r.embedding)), []).append(r)
+    sample = {}
+    for key, picked in by.items():
+        x = np.array([r.embedding for r in picked], float)
+        sample[key] = np.array([r.rep for r in picked], np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)
+    spark = found.sparkSession
+    shared = spark.sparkContext.broadcast(sample)
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        reps, copies, lists = np.asarray(part.column(1)), np.asarray(part.column(2)), part.column(3)
+        places: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(part.column(0).to_pylist(), lists.value_lengths().to_pylist())):
+            places.setdefault(key, []).append(i)
+        out, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for key in places.keys() & shared.value.keys():
+            at = np.array(places[key])
+            own, x = shared.value[key]
+            near = (x @ unit(lists.take(pa.array(at)), len(at)).T >= least) & (own[:, None] != reps[at])
+            out.append(own)
+            counts.append((near * copies[at]).sum(axis=1))
+        ids, count = np.concatenate(out), np.concatenate(counts)
+        return pa.RecordBatch.from_arrays([pa.array(ids[count > 0]), pa.array(count[count > 0])], ["rep", "links"])
+
+    every = found.select("label", "rep", "copies", "embedding").mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), "rep bigint, links bigint")
+    true = dict(every.groupBy("rep").agg(F.sum("links")).collect())
+    if not true:
+        return 1.0
+    chosen = spark.createDataFrame([(r,) for r in true], "rep bigint")
+    got = dict(links.join(F.broadcast(chosen), "rep").groupBy("rep").agg(F.sum("links")).collect())
+    shares = []
+    for reps, _ in sample.values():
+        asked = sum(true.get(int(r), 0) for r in reps)
+        shares.append(sum(min(true.get(int(r), 0), got.get(int(r), 0)) for r in reps) / asked if asked else 1.0)
+    return min(shares)
+
+
 def near_duplicates(vectors: DataFrame, least: float = LEAST, cap: int = SHARD_CAP) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     found, links = link(vectors, least, cap)
@@ -213,9 +263,3 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, cap: int = SHARD_C
     out = keyed(vectors).select("vec_id", "label", "h1", "h2").join(known, ["label", "h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
-
-
-def audit(links: DataFrame) -> float:
-    """Share of the audited links that the graph searches found, before any brute force (1 without links)."""
-    asked, found = links.agg(F.sum("asked"), F.sum("found")).first()
-    return found / asked if asked else 1.0

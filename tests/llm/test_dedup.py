@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import re
@@ -162,6 +163,37 @@ def test_embedding_links_equal_brute_force(spark):
         assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {r[0]: (count.get(r[0], 0), root.get(r[0], r[0]), root.get(r[0], r[0]) == r[0]) for r in rows}
 
 
+def test_embedding_clump_of_many_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=16) + rng.normal(size=(600, 16)) * 0.05
+    x = np.concatenate([x, rng.normal(size=(200, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    monkeypatch.setattr(embedding_dedup, "centroids", functools.partial(embedding_dedup.centroids, shard_rows=40))  # 20 of them
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert true.sum() > 100_000 and (found <= true).all() and found.sum() >= 0.99 * true.sum()
+
+
+def test_embedding_cells_hold_every_link():
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=8) + rng.normal(size=(150, 8)) * s for s in (0.02, 0.05, 0.1, 0.3)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x[::15]
+    home, can = embedding_dedup.reached(x, c)
+    q, n = flat_graph.exact_search(x, x, 0.98)
+    assert can[q, home[n]].all() and 0 < can.mean() < 0.9
+
+
+def test_embedding_audit_looks_at_the_whole_label(spark):
+    rows = [(i, [1.0, 0.01 * (i % 7), 0.001 * i], i % 2) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found, links = embedding_dedup.link(table)
+    assert embedding_dedup.audit(found, links) == 1.0
+    assert embedding_dedup.audit(found, links.filter("rep % 2 = 0")) == 0.0
+
+
 def test_embedding_empty(spark):
     table = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(table).count() == 0
