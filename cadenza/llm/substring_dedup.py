@@ -6,7 +6,8 @@ covers it also starts, with the same words, in a document with a smaller doc_id.
 Equal windows must meet in one index without every document being held against
 every index, so windows are routed by content: a window belongs to the smallest
 hash of its five-word pieces (its minimizer), and a run of consecutive windows
-with one minimizer travels as one segment of words to the shard of that hash.
+with one minimizer travels as one segment of words to the shard of that hash (as
+several, of at most `RUN` windows each, where a text loops).
 
 1. Each task sends the minimizers of its documents to their shards as packed
    arrays; a shard answers which documents have a minimizer that another document
@@ -46,6 +47,8 @@ from cadenza.llm.storage import saved
 
 U = np.uint64
 WINDOW, PIECE = 13, 5
+#: Windows of a segment, at most: a longer run (a text that loops) travels as several, so that sizes fit 16 bits.
+RUN = 1024
 #: Rows of answers or intervals that are broadcast to the texts, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 #: Text that a task looks at at a time; equal parts inside it are combined.
@@ -207,7 +210,7 @@ def _shared(key: np.ndarray, doc: np.ndarray, known: np.ndarray) -> tuple[np.nda
 
 
 def runs_of(hashes: np.ndarray, first: np.ndarray, shared: np.ndarray, shared_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimizer that is among their row's shared ones: first word, windows, row, minimizer."""
+    """Runs of at most RUN windows with one minimizer that is among their row's shared ones: first word, windows, row, minimizer."""
     at, own, key = window_keys(hashes, first)
     if len(at) == 0:
         return at, at, own, key
@@ -217,7 +220,11 @@ def runs_of(hashes: np.ndarray, first: np.ndarray, shared: np.ndarray, shared_fi
     salted = textkit.mix(key) + own.astype(U) * U(0x9E3779B97F4A7C15)
     wanted = textkit.mix(shared) + textkit.owners(shared_first).astype(U) * U(0x9E3779B97F4A7C15)
     good = np.isin(salted, wanted)
-    return at[good], size[good], own[good], key[good]
+    at, size, own, key = at[good], size[good], own[good], key[good]
+    pieces = -(-size // RUN)
+    of = np.repeat(np.arange(len(size)), pieces)
+    past = RUN * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return at[of] + past, np.minimum(size[of] - past, RUN), own[of], key[of]
 
 
 def contents(hashes: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:

@@ -113,6 +113,15 @@ def test_substrings_equal_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in stripped.values() if r.text is not None)
 
 
+def test_substrings_of_long_loops(spark):
+    loop = "la li lu lo le " * 3
+    rows = [(1, loop * 2700 + prose(61, 30)), (2, loop * 4700 + prose(62, 30)), (3, "x " * 40_000 + prose(63, 20)), (4, "y z " + "x " * 70_000 + prose(64, 20)), (5, prose(65, 50))]
+    want = brute_windows(rows)
+    got = {r.doc_id: r for r in substring_dedup.dedup(documents(spark, rows)).collect()}
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == {i: (n, g, hashlib.sha256(t.encode()).hexdigest()) for i, (n, g, t) in want.items()}
+    assert want[2][1] > 70_000 and want[4][1] >= 70_000
+
+
 def test_substrings_without_rows_or_ids(spark):
     assert substring_dedup.dedup(documents(spark, [])).count() == 0
     assert substring_dedup.strip(documents(spark, [])).count() == 0
