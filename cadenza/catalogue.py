@@ -181,14 +181,29 @@ _BARS = """times AS (SELECT DISTINCT recording_id, attack_us AS t_us FROM attack
   FROM pairs WHERE least(lead_y, 600) >= 0 AND trail_y <= 600 GROUP BY recording_id, t_us, midi)"""
 
 
+def _attack_times(notes: DataFrame) -> DataFrame:
+    return views.attacks(notes).select("recording_id", F.col("attack_us").alias("t_us")).distinct()
+
+
 def _sampled(notes: DataFrame) -> DataFrame:
-    return views.attacks(notes).filter("attack_us % 7 = 0").select("recording_id", F.col("attack_us").alias("t_us")).distinct()
+    return _attack_times(notes).filter("t_us % 7 = 0")
+
+
+def _visible_bars(notes: DataFrame, times: DataFrame) -> DataFrame:
+    return matching.visible_bars(notes, times).withColumns({c: F.round(c, 6) for c in ("top", "bottom")})
 
 
 @query(f"WITH {NOTES}, {ATTACKS}, {_BARS} SELECT recording_id, t_us, midi, note_id, round(top, 6) AS top, round(bottom, 6) AS bottom FROM bars")
 def visible_bars(spark, sf_dir):
     notes = views.notes(spark, sf_dir)
-    return matching.visible_bars(notes, _sampled(notes)).withColumns({c: F.round(c, 6) for c in ("top", "bottom")})
+    return _visible_bars(notes, _sampled(notes))
+
+
+@query()
+def visible_bars_all(spark, sf_dir):
+    """At every attack: the SQL of visible_bars makes all pairs of notes and times of a recording, too many for whole tables."""
+    notes = views.notes(spark, sf_dir)
+    return _visible_bars(notes, _attack_times(notes))
 
 
 _SEEN = """seen AS (SELECT recording_id, t_us, midi, greatest(0, top + (note_id*37)%80 - 40) AS top, bottom FROM bars WHERE note_id%11 <> 0
@@ -204,7 +219,17 @@ _SEEN = """seen AS (SELECT recording_id, t_us, midi, greatest(0, top + (note_id*
 def visual_diff(spark, sf_dir):
     """Predicted bars against the same bars shifted, thinned and joined by one lane that nothing predicts."""
     notes = views.notes(spark, sf_dir)
-    times = _sampled(notes)
+    return _visual_diff(notes, _sampled(notes))
+
+
+@query()
+def visual_diff_all(spark, sf_dir):
+    """At every attack."""
+    notes = views.notes(spark, sf_dir)
+    return _visual_diff(notes, _attack_times(notes))
+
+
+def _visual_diff(notes: DataFrame, times: DataFrame) -> DataFrame:
     bars = matching.visible_bars(notes, times)
     shifted = F.greatest(F.lit(0.0), F.col("top") + (F.col("note_id") * 37) % 80 - 40)
     seen = bars.filter("note_id % 11 <> 0").select("recording_id", "t_us", "midi", shifted.alias("top"), "bottom")
@@ -587,7 +612,17 @@ def renumbered_notes(spark, sf_dir):
 SELECT t.recording_id, t.t_us, count(*) AS sounding, string_agg(CAST(midi AS VARCHAR), ';' ORDER BY midi, note_id) AS pitches FROM notes n JOIN t ON n.recording_id = t.recording_id AND start_us <= t_us AND t_us < end_us GROUP BY ALL""")
 def sounding_notes(spark, sf_dir):
     notes = views.notes(spark, sf_dir)
-    times = views.attacks(notes).filter("attack_us % 11 = 0").select("recording_id", F.col("attack_us").alias("t_us")).distinct()
+    return _sounding(notes, _attack_times(notes).filter("t_us % 11 = 0"))
+
+
+@query()
+def sounding_notes_all(spark, sf_dir):
+    """At every attack."""
+    notes = views.notes(spark, sf_dir)
+    return _sounding(notes, _attack_times(notes))
+
+
+def _sounding(notes: DataFrame, times: DataFrame) -> DataFrame:
     # a note is at most two seconds long, so it meets times in buckets of that length
     width = 2_000_000
     spread = notes.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(F.col("end_us") / width))))
@@ -599,8 +634,18 @@ def sounding_notes(spark, sf_dir):
 SELECT p.*, (SELECT arg_min(note_id, (start_us, note_id)) FROM notes n WHERE n.recording_id = p.recording_id AND n.midi = p.midi AND p.t_us >= start_us - 20000 AND p.t_us <= end_us + 20000) AS note_id FROM p""")
 def note_hit_test(spark, sf_dir):
     notes = views.notes(spark, sf_dir)
-    points = notes.filter("note_id % 5 = 0").select("recording_id", "midi", (F.col("start_us") + (F.col("note_id") * 7) % 100_000 - 50_000).alias("t_us")).distinct()
-    return matching.hit_test(notes, points)
+    return matching.hit_test(notes, _points(notes.filter("note_id % 5 = 0")))
+
+
+@query()
+def note_hit_test_all(spark, sf_dir):
+    """A point of every note."""
+    notes = views.notes(spark, sf_dir)
+    return matching.hit_test(notes, _points(notes))
+
+
+def _points(notes: DataFrame) -> DataFrame:
+    return notes.select("recording_id", "midi", (F.col("start_us") + (F.col("note_id") * 7) % 100_000 - 50_000).alias("t_us")).distinct()
 
 
 @query("""WITH k AS (SELECT CAST(m AS INT) AS midi, m%12 IN (1,3,6,8,10) AS b FROM range(21, 109) r(m)), w AS (SELECT *, sum((NOT b)::INT) OVER (ORDER BY midi) AS n FROM k),

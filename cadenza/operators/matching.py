@@ -114,9 +114,15 @@ def accuracy(notes: DataFrame, truth: DataFrame, config: Config = DEFAULT) -> Da
 
 
 def hit_test(notes: DataFrame, points: DataFrame, slack_us: int = 20_000) -> DataFrame:
-    """points (recording_id, midi, t_us) with note_id: the first note of that pitch at that time, give or take the slack; null without one."""
-    n, p = notes.alias("n"), points.alias("p")
-    same = (F.col("n.recording_id") == F.col("p.recording_id")) & (F.col("n.midi") == F.col("p.midi"))
+    """points (recording_id, midi, t_us) with note_id: the first note of that pitch at that time, give or take the slack; null without one.
+
+    Notes and points meet in time buckets of two seconds.
+    """
+    width = 2_000_000
+    first, last = F.floor((F.col("start_us") - slack_us) / width), F.floor((F.col("end_us") + slack_us) / width)
+    n = notes.withColumn("__bucket", F.explode(F.sequence(first, last))).alias("n")
+    p = points.withColumn("__bucket", F.floor(F.col("t_us") / width)).alias("p")
+    same = (F.col("n.recording_id") == F.col("p.recording_id")) & (F.col("n.midi") == F.col("p.midi")) & (F.col("n.__bucket") == F.col("p.__bucket"))
     near = same & (F.col("p.t_us") >= F.col("n.start_us") - slack_us) & (F.col("p.t_us") <= F.col("n.end_us") + slack_us)
     hits = p.join(n, near).groupBy("p.recording_id", "p.midi", "p.t_us").agg(F.min(F.struct("n.start_us", "n.note_id")).alias("x"))
     return points.join(hits.select("recording_id", "midi", "t_us", F.col("x.note_id").alias("note_id")), ["recording_id", "midi", "t_us"], "left")
