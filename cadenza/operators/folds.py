@@ -1,22 +1,31 @@
 """Order-dependent folds over sorted arrays, in the JVM.
 
-A fold's rows are those of one key of one recording, or of one recording, and so
-of bounded size; recordings are what scales.
+A fold's rows are those of one key of one recording, or of one chain of near rows of
+a recording: gaps that no state of the fold reaches across split it before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def chains(rows: DataFrame, at: str, gap_us: int, by: tuple[str, ...] = ("recording_id",), ties: tuple[str, ...] = (), name: str = "__chain") -> DataFrame:
+    """rows with the number of their chain (0, 1, ...): a new one begins where `at` is more than gap_us behind the row before."""
+    w = Window.partitionBy(*by).orderBy(at, *ties)
+    apart = F.coalesce(F.col(at) - F.lag(at).over(w) > gap_us, F.lit(False)).cast("bigint")
+    return rows.withColumn(name, apart).withColumn(name, F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def anchored_groups(rows: DataFrame, at: str, window_us: int, key: str, by: tuple[str, ...] = ("recording_id",), ties: tuple[str, ...] = ()) -> DataFrame:
     """rows with group_no (1, 2, ...): a group holds the rows up to window_us behind its first one.
 
-    A chain of near rows is not one group: distance counts from the anchor.
+    A chain of near rows is not one group: distance counts from the anchor.  A gap of
+    more than window_us begins a group whatever the anchor, so chains are folded apart.
     """
     order = F.struct(F.col(at).alias("t"), *(F.col(t) for t in ties), F.col(key).alias("k"))
-    sorted_ = rows.groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("xs"))
+    near = chains(rows.select(*dict.fromkeys([*by, at, *ties, key])), at, window_us, by, (*ties, key))
+    sorted_ = near.groupBy(*by, "__chain").agg(F.array_sort(F.collect_list(order)).alias("xs"))
     start = F.expr(f"named_struct('anchor', cast(null as bigint), 'no', 0L, 'out', cast(array() as array<struct<k:{dict(rows.dtypes)[key]},no:bigint>>))")
 
     def step(acc: Column, x: Column) -> Column:
@@ -24,7 +33,10 @@ def anchored_groups(rows: DataFrame, at: str, window_us: int, key: str, by: tupl
         no = acc["no"] + F.when(new, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         return F.struct(F.when(new, x["t"]).otherwise(acc["anchor"]).alias("anchor"), no.alias("no"), F.array_append(acc["out"], F.struct(x["k"].alias("k"), no.alias("no"))).alias("out"))
 
-    found = sorted_.select(*by, F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("x")).select(*by, F.col("x.k").alias(key), F.col("x.no").alias("group_no"))
+    folded = sorted_.select(*by, "__chain", F.aggregate("xs", start, step).alias("f"))
+    before = Window.partitionBy(*by).orderBy("__chain").rowsBetween(Window.unboundedPreceding, -1)
+    folded = folded.withColumn("__before", F.coalesce(F.sum("f.no").over(before), F.lit(0)))
+    found = folded.select(*by, "__before", F.explode("f.out").alias("x")).select(*by, F.col("x.k").alias(key), (F.col("x.no") + F.col("__before")).alias("group_no"))
     return rows.join(found, [*by, key])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
-from cadenza.operators.folds import anchored_groups
+from cadenza.operators.folds import anchored_groups, chains
 from cadenza.operators.matching import nearest
 
 
@@ -164,8 +164,9 @@ def snap_onsets(notes: DataFrame, attacks: DataFrame, config: Config = DEFAULT)
 
     A note takes the nearest attack in reach that has no pitch within two semitones
     and whose first note was struck within 45 ms of it.  What an attack holds crosses
-    pitches, so a recording is one fold: its candidate lists are joined first by time
-    buckets, and the fold sees only notes that have a candidate.
+    pitches, so a chain of notes is one fold: candidate lists are joined first by time
+    buckets, the fold sees only notes that have a candidate, and a gap that no
+    attack's reach spans from both sides splits a recording.
     """
     reach = attacks.join(snap_tolerance(attacks, config), "recording_id")
     width = config.snap_high_us
@@ -176,7 +177,8 @@ def snap_onsets(notes: DataFrame, attacks: DataFrame, config: Config = DEFAULT)
         F.first("start_us").alias("start_us"), F.first("midi").alias("midi"),
         F.array_sort(F.collect_set(F.struct(F.abs(F.col("attack_us") - F.col("start_us")).alias("d"), "attack_us"))).alias("options"),
     )
-    ordered = listed.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("start_us", "midi", "note_id", "options"))).alias("xs"))
+    listed = chains(listed, "start_us", 2 * width, ties=("midi", "note_id"))
+    ordered = listed.groupBy("recording_id", "__chain").agg(F.array_sort(F.collect_list(F.struct("start_us", "midi", "note_id", "options"))).alias("xs"))
     # claims: the placed (attack, pitch, first claimant's start) so far; only those in reach of the note are looked at
     start = F.expr("named_struct('claims', cast(array() as array<struct<a:bigint,m:int,s:bigint>>), 'out', cast(array() as array<struct<note_id:bigint,to:bigint>>))")
 

@@ -179,3 +179,18 @@ def test_random_groups_equal_a_loop(spark):
             anchor, no = t, no + 1
         want[i] = no
     assert {r.note_id: r.group_no for r in folds.anchored_groups(table, "start_us", 33_000, "note_id").collect()} == want
+
+
+def test_folds_are_split_at_gaps(spark):
+    rows = [(0, i, i * 10_000 + i // 5 * 100_000) for i in range(400)] + [(1, i, i * 30_000) for i in range(50)] + [(2, i, None) for i in range(3)] + [(2, 9, 5)]
+    table = spark.createDataFrame(rows, "recording_id long, note_id long, start_us long")
+    sizes = folds.chains(table, "start_us", 25_000, ties=("note_id",)).groupBy("recording_id", "__chain").count()
+    assert {(r.recording_id, r["max(count)"]) for r in sizes.groupBy("recording_id").agg(F.max("count")).collect()} == {(0, 5), (1, 1), (2, 4)}
+    want, anchor, no, last = {}, None, 0, None
+    for rec, i, t in sorted(rows, key=lambda r: (r[0], r[2] is not None, r[2] or 0, r[1])):
+        if rec != last:
+            anchor, no, last = None, 0, rec
+        if anchor is None or t - anchor > 25_000:
+            anchor, no = t, no + 1
+        want[rec, i] = no
+    assert {(r.recording_id, r.note_id): r.group_no for r in folds.anchored_groups(table, "start_us", 25_000, "note_id").collect()} == want
