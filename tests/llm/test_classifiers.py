@@ -1,10 +1,13 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import mixing, quality, toxicity
+from cadenza.llm import mixing, quality, textkit, toxicity
 from tests.llm.helpers import documents, prose
 
 BAD = ["idiot", "moron", "scum"]
@@ -36,6 +39,88 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.9
 
 
+def brute_kneser_ney(rows):
+    """P_c(w|u) for the words of rows (text, toxic), by dictionaries: a function of (c, u, w)."""
+    pairs, vocabulary = [Counter(), Counter()], set()
+    for text, toxic in rows:
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        vocabulary |= set(found)
+        pairs[toxic].update(set(zip([""] + found, found)))
+    both = pairs[0] + pairs[1]
+    heads = [Counter(), Counter()]
+    for c in (0, 1):
+        for (u, _), n in pairs[c].items():
+            heads[c][u] += n
+    before = [Counter(w for _, w in p) for p in (*pairs, both)]
+    size = [len(p) for p in (*pairs, both)]
+    documents = [sum(p.values()) for p in pairs]
+    d, least = toxicity.SHARED_DISCOUNT, min(size[:2])
+
+    def shared(w):
+        return max(before[2][w] - d, 0) / size[2] + d * len(before[2]) / size[2] / (len(before[2]) + 1)
+
+    def own(c, w):
+        return max(before[c][w] - toxicity.DISCOUNT * size[c] / least - toxicity.EXPECTED * size[c] * before[2][w] / size[2], 0) / size[c]
+
+    back = [1 - sum(own(c, w) for w in vocabulary) for c in (0, 1)]
+
+    def pair(c, u, w):
+        if not heads[c][u]:
+            return 0.0
+        discount = toxicity.PAIR_DISCOUNT * documents[c] / min(documents) + toxicity.EXPECTED * heads[c][u] * both[u, w] / (heads[0][u] + heads[1][u])
+        return max(pairs[c][u, w] - discount, 0) / heads[c][u]
+
+    rest = [{u: 1 - sum(pair(c, u, w) for w in vocabulary) for u in vocabulary | {""}} for c in (0, 1)]
+    return lambda c, u, w: pair(c, u, w) + rest[c].get(u, 1.0) * (own(c, w) + back[c] * shared(w)), vocabulary
+
+
+def test_toxicity_equals_brute_kneser_ney(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        toxic = int(i % 3 == 0)
+        rows.append((" ".join(rng.choice("one two three four five six seven".split()) if rng.random() < 0.7 or not toxic else rng.choice(["you idiot", "scum"]) for _ in range(25)), toxic))
+    p, vocabulary = brute_kneser_ney(rows)
+    for c in (0, 1):
+        for u in [*vocabulary, "", "never"]:
+            assert sum(p(c, u, w) for w in [*vocabulary, "unknown"]) == pytest.approx(1, abs=1e-9)
+    table = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id bigint, text string, label int")
+    words, heads, pairs, *_ = toxicity.estimated(toxicity.counted(table))
+    hashed = {int(textkit.letter_words(pa.array([w]))[0][0] | np.uint64(1)): w for w in vocabulary} | {0: ""}
+    name = {np.uint64(h).view(np.int64).item(): w for h, w in hashed.items()}
+    got = pairs.collect()
+    assert len(got) >= 3 and heads.count() >= 2
+    for r in got:
+        for c in (0, 1):
+            assert r[f"p{c}"] == pytest.approx(p(c, name[r.u], name[r.w]), abs=1e-9)
+    for r in words.collect():
+        for c in (0, 1):
+            assert r[f"p{c}"] == pytest.approx(p(c, "never", name[r.w]), abs=1e-9)
+    # the texts' ratios, with all of the model in every task and with most of it joined
+    found, every = toxicity.entries(toxicity.counted(table))
+    texts = [t for t, _ in rows[:40]] + ["unknown words", "you idiot unknown", ""]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
+    want = []
+    for t in texts:
+        w = t.split()
+        want.append(sum(np.log(p(1, u, x)) - np.log(p(0, u, x)) for u, x in zip([""] + w, w)))
+    for most in (1 << 20, 2):
+        top, rest = toxicity.frequent(found, most)
+        rows_ = top.collect()
+        key = np.array([toxicity.keys(r.kind, np.array([r.u], np.int64).view(np.uint64), np.array([r.w], np.int64).view(np.uint64))[0] for r in rows_], np.uint64)
+        assert len(rows_) <= most and (rest is None) == (most > 2)
+        model = toxicity.Model(textkit.Table(key), np.append([r.term for r in rows_], 0.0), rest, every, 0.5)
+        sums = {r.id: r.total for r in toxicity.likelihoods(model, odd).collect()}
+        assert [sums[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-8)
+
+
+def test_toxicity_does_not_depend_on_what_tasks_hold(spark):
+    docs, labels = corpus(spark, 200)
+    all_, few = (toxicity.detect(docs, labels, toxicity.fit(docs, labels, most)).collect() for most in (1 << 20, 2))
+    few = {r.doc_id: r for r in few}
+    assert all(r.score == pytest.approx(few[r.doc_id].score, abs=1e-9) and r.predicted == few[r.doc_id].predicted for r in all_)
+
+
 def test_quality(spark):
     docs, labels = corpus(spark)
     got = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
