@@ -1,19 +1,25 @@
 """Operator 3, near-duplicate embeddings with a robust-pruned flat graph.
 
 Vectors with one label and dimension are clustered by centroids of a bounded
-sample.  A vector is indexed in the cell of its nearest centroid and asks in every
-cell that can hold a vector in range: x lies in the cell of c only if x.(h - c) <= 0
-for every other centroid h, and a vector y within the angle t of x has then
-y.(h - c) <= sin(t) |h - c|.  With h the nearest centroid of y, the cells that fail
-this are left out, so every linked pair meets, and it meets in each direction once.
-Each cell has a robust-pruned neighbour graph: greedy search from its medoids,
-expanded through all nodes in range, with cosine verified in double precision.
+sample into cells of about `CELL_ROWS`.  A vector is indexed in the cell of its nearest
+centroid and asks in every cell that can hold a vector in range: x lies in the cell of c
+only if x.(h - c) <= 0 for every other centroid h, and a vector y within the angle t
+of x has then y.(h - c) <= sin(t) |h - c|, with h the nearest centroid of y.  That bound
+holds for every x.  The difference of two vectors in range points anywhere in the d
+dimensions that the label's vectors fill, so its part along h - c is within `REACH`
+standard deviations of sin(t) / sqrt(d); cells beyond that are left out at first.
+
+In a cell, vectors stand in overlapping shards of about 400 (those of their two nearest
+local centroids).  Each shard builds robust-pruned neighbour lists, and the lists united
+are one flat graph of the cell.  Greedy search from its medoids, expanded through all
+nodes in range, answers the vectors that ask, with cosine verified in double precision.
 
 Cells and the vectors that ask in them are split by hash into parts of at most about
 `SHARD_CAP`, which meet in blocks.  Each block audits its recall on `AUDIT` of its
 queries by brute force; where that is below `LEAST_RECALL`, it is answered by brute
 force.  About `AUDIT_ROWS` vectors are then compared with all vectors of their label;
-if one label's recall is below `LEAST_RECALL`, all blocks are answered by brute force.
+if one label's recall is below `LEAST_RECALL`, every vector asks in all cells that the
+bound allows, and all blocks are answered by brute force, which loses no link.
 
 Exact copies (one label, equal components) are searched once and counted by their
 number.  Components join over the tasks' local ones (see graph.py).
@@ -40,12 +46,13 @@ from cadenza.llm.storage import saved
 
 U = np.uint64
 LEAST = 0.98
-#: Vectors that centroids are fitted on, at most; vectors a shard should have.
-SAMPLE_ROWS, SHARD_ROWS = 20_000, 400
+#: Vectors that centroids are fitted on, at most; vectors a cell should have, and sampled ones behind a centroid, at least.
+SAMPLE_ROWS, CELL_ROWS, SUPPORT = 20_000, 3000, 4
 SHARD_CAP = 4096
+#: Standard deviations of a link's part along the line of two centroids within which a cell is asked.
+REACH = 4.0
 #: Queries that a block audits; queries that are audited against their whole label; share of links to be found.
 AUDIT, AUDIT_ROWS, LEAST_RECALL = 32, 1024, 0.995
-DEGREE = 24
 
 
 def unit(column: pa.Array, rows: int) -> np.ndarray:
@@ -78,8 +85,27 @@ def sampled(rows: DataFrame, total: int, sample: int, seed: int) -> list:
     return rows.filter(part).select("label", "rep", "embedding").limit(sample).collect()  # the limit is never met but for chance
 
 
-def centroids(rows: DataFrame, sample: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> dict[tuple, tuple[int, np.ndarray]]:
-    """{(label, dimension): (number of its first shard, centroids)} from a sample by hash of rep."""
+def clustered(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """k unit centroids of unit vectors, in slices of bounded size."""
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)]
+    step = max(1, (1 << 22) // k)
+    for _ in range(rounds if k > 1 else 0):
+        own = np.concatenate([(x[a : a + step] @ c.T).argmax(axis=1) for a in range(0, len(x), step)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), c)
+    return c
+
+
+def dimensions(x: np.ndarray) -> float:
+    """How many dimensions the vectors fill: (sum of variances) ** 2 / sum of their squares, along the principal axes."""
+    v = np.linalg.eigvalsh(np.cov(x.T).reshape(x.shape[1], x.shape[1])) if len(x) > 1 else np.ones(1)
+    return float(v.sum() ** 2 / max((v**2).sum(), 1e-300)) or 1.0
+
+
+def centroids(rows: DataFrame, sample: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS) -> dict[tuple, tuple[int, np.ndarray, float]]:
+    """{(label, dimension): (number of its first cell, centroids, share of the bound to ask within)} from a sample by hash of rep."""
     total = rows.count()
     picked = sampled(rows, total, sample, 47)
     by: dict[tuple, list] = {}
@@ -89,28 +115,26 @@ def centroids(rows: DataFrame, sample: int = SAMPLE_ROWS, shard_rows: int = SHAR
     for key in sorted(by, key=str):
         x = np.array(by[key], float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        k = max(1, min(len(x), round(total * len(x) / max(1, len(picked)) / shard_rows)))
-        c = x[np.linspace(0, len(x) - 1, k).astype(int)]
-        for _ in range(8 if k > 1 else 0):
-            own = (x @ c.T).argmax(axis=1)
-            c = np.stack([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(k)])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        out[key] = (number, c)
+        k = max(1, min(len(x) // SUPPORT, round(total * len(x) / max(1, len(picked)) / cell_rows)))
+        out[key] = (number, clustered(x, k), min(1.0, REACH / max(1.0, dimensions(x)) ** 0.5))
         number += k
     return out
 
 
-def reached(x: np.ndarray, c: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centroid of each unit vector, and [rows, centroids] whether a cell can hold a vector in range."""
+def reached(x: np.ndarray, c: np.ndarray, least: float = LEAST, share: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centroid of each unit vector, and [rows, centroids] whether a cell can hold a vector in range (within that share of the bound)."""
     near = x @ c.T
     home = near.argmax(axis=1)
     square = (c**2).sum(axis=1)
     apart = np.sqrt(np.maximum(square[home][:, None] + square - 2 * c[home] @ c.T, 0))
-    return home, near[np.arange(len(x)), home][:, None] - near <= np.sqrt(1 - least**2) * apart + 1e-6  # for rounding
+    return home, near[np.arange(len(x)), home][:, None] - near <= share * np.sqrt(1 - least**2) * apart + 1e-6  # for rounding
+
 
+def assigned(rows: DataFrame, fitted: dict, least: float = LEAST, whole: bool = False) -> DataFrame:
+    """rep, copies, embedding, home (the cell that has it), asks array<bigint> (the cells it asks; with `whole`, all that the bound allows).
 
-def assigned(rows: DataFrame, fitted: dict, least: float = LEAST) -> DataFrame:
-    """rep, copies, embedding, home (the shard that has it), asks array<bigint> (the shards it asks). Labels that the sample missed have one shard each, by hash, below 0."""
+    Labels that the sample missed have one cell each, by hash, below 0.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(fitted)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -123,11 +147,11 @@ def assigned(rows: DataFrame, fitted: dict, least: float = LEAST) -> DataFrame:
             by.setdefault(key, []).append(i)
         for key, at in by.items():
             if key in shared.value:
-                base, c = shared.value[key]
+                base, c, share = shared.value[key]
                 x = unit(lists.take(pa.array(at)), len(at))
                 step = max(1, (1 << 22) // len(c))
                 for a in range(0, len(at), step):
-                    nearest, can = reached(x[a : a + step], c, least)
+                    nearest, can = reached(x[a : a + step], c, least, 1.0 if whole else share)
                     home[at[a : a + step]] = nearest + base
                     for i, row in zip(at[a : a + step], can):
                         asks[i] = (np.flatnonzero(row) + base).tolist()
@@ -172,8 +196,7 @@ def search(table: pa.Table, least: float = LEAST, audit: int = AUDIT, exact: boo
 
 def _by_graph(queries: np.ndarray, vectors: np.ndarray, step: int, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """(query, vector) pairs in range that searches in the graph of the vectors find, for each step of the queries."""
-    near = flat_graph.pruned(vectors, DEGREE)
-    neighbours, first = flat_graph.undirected([row[row >= 0] for row in near])
+    neighbours, first = flat_graph.united(vectors)
     starts = flat_graph.medoids(vectors)
     out = []
     for a in range(0, len(queries), step):
@@ -203,9 +226,10 @@ def blocks(rows: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
 def link(vectors: DataFrame, least: float = LEAST, cap: int = SHARD_CAP) -> tuple[DataFrame, DataFrame]:
     """(groups of equal vectors, their links: rep, links, low of a block)."""
     found = saved(groups(vectors))
-    rows = saved(assigned(found, centroids(found), least))
+    fitted = centroids(found)
 
     def searched(exact: bool) -> DataFrame:
+        rows = saved(assigned(found, fitted, least, whole=exact))
         return saved(blocks(rows, cap).groupBy("shard", "i", "j").applyInArrow(lambda t: search(t, least, exact=exact), "rep bigint, links bigint, low bigint"))
 
     links = searched(False)

@@ -1,4 +1,4 @@
-"""A robust-pruned neighbour graph of one shard, and searches in it, many at a time, in NumPy.
+"""A robust-pruned neighbour graph over overlapping shards of a block, and searches in it, many at a time, in NumPy.
 
 Vectors are unit rows of doubles; similarity is the dot product.
 """
@@ -8,8 +8,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def pruned(vectors: np.ndarray, degree: int = 24, candidates: int = 64, alpha: float = 1.2, rows: int = 1024) -> np.ndarray:
-    """[n, degree] neighbours of each vector by robust pruning of its nearest `candidates`, -1 where there are fewer.
+def pruned(vectors: np.ndarray, degree: int = 16, candidates: int = 48, alpha: float = 1.2) -> np.ndarray:
+    """[n, degree] neighbours of each vector of a shard by robust pruning of its nearest `candidates`, -1 where there are fewer.
 
     The nearest candidate left becomes a neighbour, and those that it is alpha times nearer to than the vector is go.
     """
@@ -18,35 +18,68 @@ def pruned(vectors: np.ndarray, degree: int = 24, candidates: int = 64, alpha: f
     out = np.full((n, degree), -1, np.int32)
     if k <= 0:
         return out
-    for a in range(0, n, rows):
-        sims = vectors[a : a + rows] @ vectors.T
-        m = len(sims)
-        sims[np.arange(m), np.arange(a, a + m)] = -np.inf
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
-        away = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, near, 1), 0))
-        alive = np.ones((m, k), bool)
-        for r in range(degree):
-            first = alive.argmax(axis=1)
-            some = np.flatnonzero(alive[np.arange(m), first])
-            if len(some) == 0:
-                break
-            chosen = near[some, first[some]]
-            out[a + some, r] = chosen
-            alive[some, first[some]] = False
-            between = np.einsum("ikd,id->ik", vectors[near[some]], vectors[chosen])
-            alive[some] &= ~(alpha * np.sqrt(np.maximum(2 - 2 * between, 0)) < away[some])
+    apart = 2 - 2 * (vectors @ vectors.T)  # squared distances
+    np.fill_diagonal(apart, np.inf)
+    near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+    away = np.take_along_axis(apart, near, 1)
+    order = np.argsort(away, axis=1, kind="stable")
+    near, away = np.take_along_axis(near, order, 1), np.take_along_axis(away, order, 1)
+    alive = np.ones((n, k), bool)
+    for r in range(degree):
+        first = alive.argmax(axis=1)
+        some = np.flatnonzero(alive[np.arange(n), first])
+        if len(some) == 0:
+            break
+        chosen = near[some, first[some]]
+        out[some, r] = chosen
+        alive[some, first[some]] = False
+        alive[some] &= ~(alpha**2 * apart[chosen[:, None], near[some]] < away[some])
     return out
 
 
-def undirected(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Adjacency lists with every edge in both directions: neighbours, and each node's first index (len + 1)."""
-    n = len(lists)
-    sizes = np.array([len(x) for x in lists], np.int64)
-    a = np.repeat(np.arange(n), sizes)
-    b = np.concatenate(lists).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+def shards(vectors: np.ndarray, rows: int = 384, overlap: int = 2) -> list[np.ndarray]:
+    """Row numbers of overlapping cluster shards: a vector is in those of its `overlap` nearest centroids.
+
+    A cluster with more than twice as many as `rows` is cut by similarity to its centroid.
+    """
+    n = len(vectors)
+    count = -(-n * overlap // rows)
+    if n <= rows:
+        return [np.arange(n)]
+    c = vectors[np.linspace(0, n - 1, count).astype(int)]
+    for _ in range(4):
+        own = (vectors @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, vectors)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c)
+    near = vectors @ c.T
+    nearest = np.argpartition(-near, min(overlap, count) - 1, axis=1)[:, :overlap]
+    out = []
+    for j in range(count):
+        mine = np.flatnonzero((nearest == j).any(axis=1))
+        mine = mine[np.argsort(-near[mine, j], kind="stable")]
+        out += np.array_split(mine, -(-len(mine) // (2 * rows))) if len(mine) else []
+    return out
+
+
+def united(vectors: np.ndarray, degree: int = 16, rows: int = 384, overlap: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """One graph of the lists of all overlapping shards, edges in both directions: neighbours, and each node's first index."""
+    lists: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+    for own in shards(vectors, rows, overlap):
+        found = pruned(vectors[own], degree)
+        at, col = np.nonzero(found >= 0)
+        lists.append(own[at])
+        ends.append(own[found[at, col]])
+    return undirected(len(vectors), np.concatenate(lists), np.concatenate(ends))
+
+
+def undirected(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency lists with every edge (a, b) in both directions, once: neighbours, and each node's first index (len + 1)."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
     key = np.unique(np.concatenate([a * n + b, b * n + a]))
-    return (key % max(n, 1)).astype(np.int64), np.searchsorted(key // max(n, 1), np.arange(n + 1))
+    return key % max(n, 1), np.searchsorted(key // max(n, 1), np.arange(n + 1))
 
 
 def medoids(vectors: np.ndarray, count: int = 8) -> np.ndarray:
@@ -73,7 +106,7 @@ def expand(pairs_q: np.ndarray, pairs_node: np.ndarray, neighbours: np.ndarray,
     return np.repeat(pairs_q, count), neighbours[at]
 
 
-def range_search(queries: np.ndarray, vectors: np.ndarray, neighbours: np.ndarray, first: np.ndarray, starts: np.ndarray, least: float, beam: int = 32, slack: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
+def range_search(queries: np.ndarray, vectors: np.ndarray, neighbours: np.ndarray, first: np.ndarray, starts: np.ndarray, least: float, beam: int = 16, slack: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) pairs with similarity >= least that a greedy search finds.
 
     Best-first search from the medoids keeps a beam of nodes; then every node in range, or `slack` short of it,

@@ -178,7 +178,7 @@ def test_embedding_clump_of_many_clusters(spark, monkeypatch):
     x = np.concatenate([x, rng.normal(size=(200, 16))])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     true = (unit @ unit.T >= 0.98).sum(axis=1) - 1
-    monkeypatch.setattr(embedding_dedup, "centroids", functools.partial(embedding_dedup.centroids, shard_rows=40))  # 20 of them
+    monkeypatch.setattr(embedding_dedup, "centroids", functools.partial(embedding_dedup.centroids, cell_rows=40))  # 20 of them
     table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
     found = np.array([got[i] for i in range(len(x))])
@@ -195,6 +195,40 @@ def test_embedding_cells_hold_every_link():
     assert can[q, home[n]].all() and 0 < can.mean() < 0.9
 
 
+def test_embedding_fifteen_cells_a_label(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(1200, 32))
+    x[600:900] = x[:300] + rng.normal(size=(300, 32)) * 0.17  # around the threshold
+    x[900:940] = x[5] + rng.normal(size=(40, 32)) * 0.1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    monkeypatch.setattr(embedding_dedup, "centroids", functools.partial(embedding_dedup.centroids, cell_rows=80))
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(None, x[0].tolist(), 1)], "vec_id bigint, embedding array<double>, label int")
+    found = embedding_dedup.groups(table)
+    (_, c, share), = embedding_dedup.centroids(found).values()
+    assert len(c) == 15 and share < 1
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert (links <= true).all() and links.sum() >= 0.99 * true.sum()
+    every = np.arange(0, len(x), 20)  # the stated queries against all rows
+    assert links[every].sum() >= 0.99 * true[every].sum()
+    assert got[None].n_links == 0 and got[None].component_id is None and got[None].kept
+
+
+def test_embedding_answers_by_the_bound_if_the_audit_fails(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    flat = np.zeros((400, 16))  # links run along two dimensions only, so the first guess leaves cells out
+    flat[:, :2] = rng.normal(size=(400, 2))
+    flat[:, 2:] = rng.normal(size=(400, 14)) * 1e-3
+    unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    monkeypatch.setattr(embedding_dedup, "centroids", functools.partial(embedding_dedup.centroids, cell_rows=40))
+    monkeypatch.setattr(embedding_dedup, "REACH", 0.01)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(flat)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
+    assert [got[i] for i in range(len(flat))] == true.tolist()
+
+
 def test_embedding_audit_looks_at_the_whole_label(spark):
     rows = [(i, [1.0, 0.01 * (i % 7), 0.001 * i], i % 2) for i in range(60)]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
@@ -213,8 +247,7 @@ def test_graph_recall():
     centers = rng.normal(size=(40, 24))
     x = np.concatenate([c + rng.normal(size=(20, 24)) * 0.05 for c in centers])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = flat_graph.pruned(x)
-    neighbours, first = flat_graph.undirected([r[r >= 0] for r in near])
+    neighbours, first = flat_graph.united(x)
     q, n = flat_graph.range_search(x, x, neighbours, first, flat_graph.medoids(x), 0.98)
     true_q, true_n = flat_graph.exact_search(x, x, 0.98)
     found = np.isin(true_q * len(x) + true_n, q * len(x) + n).mean()
