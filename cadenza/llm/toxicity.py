@@ -72,6 +72,7 @@ SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, llr doub
 #: A task's counts leave it whenever so many bigrams are gathered.
 FLUSH = 1 << 21
 WORD, HEAD, PAIR = 0, 1, 2
+SUMS = ["a0", "a1", "a", "h0", "h1"]
 
 
 @dataclass
@@ -144,24 +145,23 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, parts: int, part:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """kind, u, w, a0, a1, a: of a word its preceding words in each class and in both, of a head and of a pair their documents.
+    """kind, u, w, a0, a1, a, h0, h1: of a word w its preceding words in each class and in both, and the documents of what it precedes; of a pair its documents.
 
-    Bigrams meet once, by both words; from there the words' and the heads' sums go on
-    added up.  A pair that no class can hold beyond its discount ends here.
+    Bigrams meet once, by both words; from there the words' sums go on added up.  A
+    pair that no class can hold beyond its discount ends here.
     """
     pairs = rows.select("label", "text").mapInArrow(count, "u bigint, w bigint, n bigint, toxic bigint")
     pairs = pairs.groupBy("u", "w").agg(F.sum("n").alias("n"), F.sum("toxic").alias("n1")).withColumn("n0", F.col("n") - F.col("n1"))
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0)
 
-    def row(kind: int, u: Column, w: Column, a0: Column, a1: Column, a: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), u.alias("u"), w.alias("w"), a0.cast("bigint").alias("a0"), a1.cast("bigint").alias("a1"), a.cast("bigint").alias("a"))
+    def row(kind: int, u: Column, w: Column, *sums: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), u.cast("bigint").alias("u"), w.alias("w"), *(x.cast("bigint").alias(c) for c, x in zip(SUMS, sums)))
 
     n, n0, n1, u, w = (F.col(c) for c in ("n", "n0", "n1", "u", "w"))
-    word = row(WORD, zero, w, F.least(n0, F.lit(1)), F.least(n1, F.lit(1)), F.lit(1))
-    head = row(HEAD, u, zero, n0, n1, n)
-    both = F.array(word, head)
-    tagged = pairs.select(F.explode(F.when(n > PAIR_DISCOUNT, F.array_append(both, row(PAIR, u, w, n0, n1, n))).otherwise(both)).alias("x")).select("x.*")
-    return saved(tagged.groupBy("kind", "u", "w").agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"), F.sum("a").alias("a")))
+    word = row(WORD, zero, w, F.least(n0, F.lit(1)), F.least(n1, F.lit(1)), F.lit(1), zero, zero)
+    both = F.array(word, row(WORD, zero, u, zero, zero, zero, n0, n1))
+    tagged = pairs.select(F.explode(F.when(n > PAIR_DISCOUNT, F.array_append(both, row(PAIR, u, w, n0, n1, n, zero, zero))).otherwise(both)).alias("x")).select("x.*")
+    return saved(tagged.groupBy("kind", "u", "w").agg(*(F.sum(c).alias(c) for c in SUMS)))
 
 
 def over(count_: Column, discount: Column) -> Column:
@@ -170,19 +170,19 @@ def over(count_: Column, discount: Column) -> Column:
 
 def estimated(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, float] | None:
     """All words (w, a, p, p0, p1), heads with a pair of their own (u, a, b0, b1), such pairs (u, w, a, p0, p1), and b_0, b_1; None without both classes."""
-    totals = {r["kind"]: r for r in counts.filter(F.col("kind") != PAIR).groupBy("kind").agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"), F.sum("a").alias("a"), F.count("*").alias("types")).collect()}
-    if WORD not in totals or not totals[WORD]["a0"] or not totals[WORD]["a1"]:
+    every = counts.filter(F.col("kind") == WORD)
+    totals = every.agg(*(F.sum(c).alias(c) for c in SUMS), F.count_if(F.col("a") > 0).alias("types")).first()
+    if not totals["a0"] or not totals["a1"]:
         return None
-    n, types = totals[WORD]["a"], totals[WORD]["types"]
-    size = [totals[WORD]["a0"], totals[WORD]["a1"]]
-    documents = [totals[HEAD]["a0"], totals[HEAD]["a1"]]
+    n, types = totals["a"], totals["types"]
+    size, documents = [totals["a0"], totals["a1"]], [totals["h0"], totals["h1"]]
     shared = over(F.col("a"), F.lit(SHARED_DISCOUNT)) / n + SHARED_DISCOUNT * types / n / (types + 1)
-    words_ = counts.filter(F.col("kind") == WORD).withColumn("p", shared)
+    words_ = every.filter(F.col("a") > 0).withColumn("p", shared)
     for c in (0, 1):
         words_ = words_.withColumn(f"s{c}", over(F.col(f"a{c}"), DISCOUNT * size[c] / min(size) + EXPECTED * size[c] * F.col("a") / n) / size[c])
     b = [1 - x for x in words_.agg(F.sum("s0"), F.sum("s1")).first()]
     words_ = words_.select("w", "a", "p", *((F.col(f"s{c}") + b[c] * F.col("p")).alias(f"p{c}") for c in (0, 1)), ((F.col("s0") > 0) | (F.col("s1") > 0)).alias("own"))
-    heads = counts.filter(F.col("kind") == HEAD).select("u", *(F.col(x).alias(f"h{x[1:]}") for x in ("a0", "a1", "a")))
+    heads = every.select(F.col("w").alias("u"), "h0", "h1", (F.col("h0") + F.col("h1")).alias("h"))
     pairs = counts.filter(F.col("kind") == PAIR).select("u", "w", "a", "a0", "a1").join(heads, "u")
     for c in (0, 1):
         discount = PAIR_DISCOUNT * documents[c] / min(documents) + EXPECTED * F.col(f"h{c}") * F.col("a") / F.col("h")
