@@ -173,7 +173,7 @@ def bloom_antijoin(spark, sf_dir):
     return refine.drop_bloom(views.notes(spark, sf_dir)).select("note_id")
 
 
-_BARS = """times AS (SELECT DISTINCT recording_id, attack_us AS t_us FROM attacks WHERE attack_us % 7 = 0), pairs AS (
+_BARS = """times AS (SELECT DISTINCT recording_id, attack_us AS t_us FROM attacks), pairs AS (
   SELECT n.recording_id, t.t_us, n.midi, n.start_us, n.note_id, 600.0::DOUBLE - 320.0::DOUBLE*(start_us - t_us)/1e6 AS lead_y, 600.0::DOUBLE - 320.0::DOUBLE*(end_us - t_us)/1e6 AS trail_y
   FROM notes n JOIN times t ON n.recording_id = t.recording_id
 ), bars AS (
@@ -185,25 +185,10 @@ def _attack_times(notes: DataFrame) -> DataFrame:
     return views.attacks(notes).select("recording_id", F.col("attack_us").alias("t_us")).distinct()
 
 
-def _sampled(notes: DataFrame) -> DataFrame:
-    return _attack_times(notes).filter("t_us % 7 = 0")
-
-
-def _visible_bars(notes: DataFrame, times: DataFrame) -> DataFrame:
-    return matching.visible_bars(notes, times).withColumns({c: F.round(c, 6) for c in ("top", "bottom")})
-
-
 @query(f"WITH {NOTES}, {ATTACKS}, {_BARS} SELECT recording_id, t_us, midi, note_id, round(top, 6) AS top, round(bottom, 6) AS bottom FROM bars")
 def visible_bars(spark, sf_dir):
     notes = views.notes(spark, sf_dir)
-    return _visible_bars(notes, _sampled(notes))
-
-
-@query()
-def visible_bars_all(spark, sf_dir):
-    """At every attack: the SQL of visible_bars makes all pairs of notes and times of a recording, too many for whole tables."""
-    notes = views.notes(spark, sf_dir)
-    return _visible_bars(notes, _attack_times(notes))
+    return matching.visible_bars(notes, _attack_times(notes)).withColumns({c: F.round(c, 6) for c in ("top", "bottom")})
 
 
 _SEEN = """seen AS (SELECT recording_id, t_us, midi, greatest(0, top + (note_id*37)%80 - 40) AS top, bottom FROM bars WHERE note_id%11 <> 0
@@ -219,17 +204,7 @@ _SEEN = """seen AS (SELECT recording_id, t_us, midi, greatest(0, top + (note_id*
 def visual_diff(spark, sf_dir):
     """Predicted bars against the same bars shifted, thinned and joined by one lane that nothing predicts."""
     notes = views.notes(spark, sf_dir)
-    return _visual_diff(notes, _sampled(notes))
-
-
-@query()
-def visual_diff_all(spark, sf_dir):
-    """At every attack."""
-    notes = views.notes(spark, sf_dir)
-    return _visual_diff(notes, _attack_times(notes))
-
-
-def _visual_diff(notes: DataFrame, times: DataFrame) -> DataFrame:
+    times = _attack_times(notes)
     bars = matching.visible_bars(notes, times)
     shifted = F.greatest(F.lit(0.0), F.col("top") + (F.col("note_id") * 37) % 80 - 40)
     seen = bars.filter("note_id % 11 <> 0").select("recording_id", "t_us", "midi", shifted.alias("top"), "bottom")
@@ -350,7 +325,23 @@ def snap_tolerance(spark, sf_dir):
     return refine.snap_tolerance(views.attacks(views.notes(spark, sf_dir)))
 
 
-@query()
+# the tables' pitches lie within two octaves, which two hands always reach: no doubling goes
+_HANDS = f"""{_groups('start_us', 30000, 'start_us, midi, note_id')}, chords AS (
+  SELECT recording_id, group_no, list({{'midi': midi, 'note_id': note_id}} ORDER BY midi, note_id) AS xs, list(midi ORDER BY midi, note_id) AS ps FROM notes JOIN chain USING (recording_id, note_id) GROUP BY recording_id, group_no
+), ends AS (SELECT recording_id, quantile_cont(midi, 0.25) AS l, quantile_cont(midi, 0.75) AS r, min(midi) AS low, max(midi) AS high FROM notes GROUP BY recording_id), walk AS (
+  SELECT recording_id, 0::BIGINT AS group_no, CASE WHEN r - l < 2 THEN low ELSE l END::DOUBLE AS l, CASE WHEN r - l < 2 THEN high ELSE r END::DOUBLE AS r, NULL::BIGINT AS k, false AS wide FROM ends
+  UNION ALL
+  SELECT recording_id, group_no, coalesce(0.6::DOUBLE*l + 0.4::DOUBLE*best.low, l), coalesce(0.6::DOUBLE*r + 0.4::DOUBLE*best.high, r), best.k, best.wide
+  FROM (SELECT c.recording_id, c.group_no, w.l, w.r, list_sort(list_transform(range(0, len(ps) + 1), lambda k: {{
+      'wide': greatest(coalesce(ps[k] - ps[1], 0), coalesce(ps[len(ps)] - ps[k + 1], 0)) > 14,
+      'first': CASE WHEN greatest(coalesce(ps[k] - ps[1], 0), coalesce(ps[len(ps)] - ps[k + 1], 0)) > 14 THEN greatest(coalesce(ps[k] - ps[1], 0), coalesce(ps[len(ps)] - ps[k + 1], 0))::DOUBLE ELSE coalesce(abs(list_avg(ps[1:k]) - w.l), 0) + coalesce(abs(list_avg(ps[k + 1:]) - w.r), 0) END,
+      'moved': coalesce(abs(list_avg(ps[1:k]) - w.l), 0) + coalesce(abs(list_avg(ps[k + 1:]) - w.r), 0), 'k': k, 'low': list_avg(ps[1:k]), 'high': list_avg(ps[k + 1:])}}))[1] AS best
+    FROM walk w JOIN chords c ON c.recording_id = w.recording_id AND c.group_no = w.group_no + 1))"""
+
+
+@query(f"""WITH RECURSIVE {NOTES}, {_HANDS} SELECT xs[i].note_id AS note_id, CASE WHEN i <= k THEN 'left' ELSE 'right' END AS hand,
+  CASE WHEN wide THEN 0.3::DOUBLE WHEN k > 0 AND k < len(xs) THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS hand_confidence, wide AS hand_unreachable
+FROM (SELECT w.k, w.wide, c.xs, unnest(range(1, len(xs) + 1)) AS i FROM walk w JOIN chords c ON c.recording_id = w.recording_id AND c.group_no = w.group_no)""")
 def assign_hands_context(spark, sf_dir):
     return hands.by_context(views.notes(spark, sf_dir)).select("note_id", "hand", "hand_confidence", "hand_unreachable")
 
@@ -368,19 +359,44 @@ def hands_by_colour(spark, sf_dir):
     return hands.by_colour(views.notes(spark, sf_dir).withColumn("color_cluster", cluster)).select("note_id", "hand", "hand_confidence")
 
 
-_GRID = """ts AS (SELECT recording_id, list(start_us/1e6 ORDER BY start_us) AS ts FROM notes WHERE recording_id < 12 GROUP BY recording_id), tempi AS (SELECT k, 65 + k*0.2::DOUBLE*5 AS bpm FROM range(0, 106) r(k)),
-hits AS (SELECT recording_id, k, bpm, j, len(list_filter(ts, lambda t: abs((t - j*(60.0::DOUBLE/bpm/4)/64)/(60.0::DOUBLE/bpm/4) - round_even((t - j*(60.0::DOUBLE/bpm/4)/64)/(60.0::DOUBLE/bpm/4), 0))*(60.0::DOUBLE/bpm/4) <= 0.02::DOUBLE)) AS hits, len(ts) AS onsets FROM ts, tempi, range(0, 64) p(j))"""
+def _searched(name: str, source: str) -> str:
+    """The first best tempo and phase of each recording, of the tempi in source (recording_id, k, bpm)."""
+    step, at = "(60.0::DOUBLE/bpm/4)", "((t - j*(60.0::DOUBLE/bpm/4)/64)/(60.0::DOUBLE/bpm/4))"
+    return f"""{name}_hits AS (
+  SELECT recording_id, k, bpm, j, len(list_filter(ts, lambda t: abs({at} - round_even({at}, 0))*{step} <= 0.02::DOUBLE)) AS hits, len(ts) AS onsets FROM {source} JOIN ts USING (recording_id), range(0, 64) p(j)
+), {name} AS (SELECT recording_id, arg_max(bpm, (hits, -k, -j)) AS bpm, arg_max(j*(60.0::DOUBLE/bpm/4)/64, (hits, -k, -j)) AS phase, max(hits) AS hits, max(onsets) AS onsets FROM {name}_hits GROUP BY recording_id)"""
 
 
-@query(f"""WITH {NOTES}, {_GRID.replace(' WHERE recording_id < 12', '')} SELECT recording_id, arg_max(bpm, (hits, -k, -j)) AS bpm, max(hits) AS hits, max(onsets) AS onsets FROM hits GROUP BY recording_id""")
+def _folded(name: str, source: str) -> str:
+    """source (recording_id, bpm, phase, hits, onsets) with half the tempo where the odd sixteenths are nearly empty."""
+    at = "((t - s.phase)/(60.0::DOUBLE/s.bpm/4))"
+    on = f"abs({at} - round_even({at}, 0))*(60.0::DOUBLE/s.bpm/4) <= 0.025::DOUBLE"
+    return f"""{name}_half AS (
+  SELECT recording_id, 0 AS k, bpm/2 AS bpm FROM (SELECT s.recording_id, s.bpm, len(list_filter(ts, lambda t: {on} AND round_even({at}, 0) % 2 <> 0)) AS odd, len(list_filter(ts, lambda t: {on})) AS hit FROM {source} s JOIN ts USING (recording_id))
+  WHERE coalesce(odd/nullif(hit, 0), 1) < 0.2::DOUBLE AND bpm/2 >= 55
+), {_searched(name + "_new", name + "_half")}, {name} AS (
+  SELECT s.recording_id, coalesce(n.bpm, s.bpm) AS bpm, coalesce(n.phase, s.phase) AS phase, coalesce(n.hits, s.hits) AS hits, coalesce(n.onsets, s.onsets) AS onsets FROM {source} s LEFT JOIN {name}_new n USING (recording_id))"""
+
+
+_TS = "ts AS (SELECT recording_id, list(start_us/1e6 ORDER BY start_us) AS ts FROM notes GROUP BY recording_id)"
+_COARSE = f"""tempi AS (SELECT recording_id, k, 65 + k*0.2::DOUBLE AS bpm FROM ts, range(0, 526) r(k)), {_searched('coarse', 'tempi')}"""
+
+
+@query(f"""WITH {NOTES}, {_TS}, {_COARSE} SELECT recording_id, bpm, hits, onsets FROM coarse""")
 def tempo_grid_search(spark, sf_dir):
-    """The best of the whole tempi from 65 to 170."""
+    """The best of the tempi from 65 to 170."""
     arrays = tempo.onset_arrays(views.notes(spark, sf_dir))
-    tempi = F.transform(F.sequence(F.lit(0), F.lit(105)), lambda k: 65 + k * 0.2 * 5)
+    tempi = F.transform(F.sequence(F.lit(0), F.lit(525)), lambda k: 65 + k * 0.2)
     return tempo.grid_search(arrays.withColumn("tempi", tempi)).select("recording_id", "bpm", "hits", "onsets")
 
 
-@query()
+@query(f"""WITH {NOTES}, gaps AS (SELECT recording_id, start_us - lag(start_us) OVER (PARTITION BY recording_id ORDER BY start_us, midi, note_id) AS gap FROM notes),
+usable AS (SELECT recording_id FROM gaps GROUP BY recording_id HAVING count(*) >= 4 AND count(*) FILTER (WHERE gap > 40000 AND gap < 3000000) >= 3),
+ts AS (SELECT recording_id, list(start_us/1e6 ORDER BY start_us) AS ts FROM notes WHERE recording_id IN (SELECT recording_id FROM usable) GROUP BY recording_id), {_COARSE},
+near AS (SELECT recording_id, k, greatest(65::DOUBLE, bpm - 0.4::DOUBLE) + k*0.01::DOUBLE AS bpm, bpm AS middle FROM coarse, range(0, 81) r(k)),
+fines AS (SELECT recording_id, k, bpm FROM near WHERE bpm <= least(170::DOUBLE, middle + 0.4::DOUBLE) + 1e-9), {_searched('fine', 'fines')}, {_folded('once', 'fine')}, {_folded('twice', 'once')}
+SELECT r.recording_id, coalesce(bpm, 120) AS bpm, 60.0::DOUBLE/coalesce(bpm, 120) AS period, coalesce(phase, 0) AS phase, coalesce(greatest(0.2::DOUBLE, least(0.98::DOUBLE, hits/onsets)), 0.2::DOUBLE) AS confidence
+FROM (SELECT DISTINCT recording_id FROM notes) r LEFT JOIN twice t ON t.recording_id = r.recording_id""")
 def tempo_estimate(spark, sf_dir):
     return tempo.estimate(views.notes(spark, sf_dir))
 
@@ -389,7 +405,7 @@ def tempo_estimate(spark, sf_dir):
 SELECT recording_id, round(coalesce(count(*) FILTER (WHERE near AND odd) / nullif(count(*) FILTER (WHERE near), 0), 1), 9) AS share FROM h GROUP BY recording_id""")
 def odd_line_fold(spark, sf_dir):
     arrays = tempo.onset_arrays(views.notes(spark, sf_dir))
-    return arrays.select("recording_id", F.round(tempo.odd_share(F.col("ts"), F.lit(PERIOD), F.lit(PHASE)), 9).alias("share"))
+    return arrays.groupBy("recording_id").agg(F.round(tempo.odd_share(F.col("ts"), F.lit(PERIOD), F.lit(PHASE)), 9).alias("share"))
 
 
 def _snap_sql(x: str) -> str:
@@ -608,44 +624,19 @@ def renumbered_notes(spark, sf_dir):
     return refine.renumber(views.notes(spark, sf_dir)).select("note_id", "id")
 
 
-@query(f"""WITH {NOTES}, {ATTACKS}, t AS (SELECT DISTINCT recording_id, attack_us AS t_us FROM attacks WHERE attack_us % 11 = 0)
+@query(f"""WITH {NOTES}, {ATTACKS}, t AS (SELECT DISTINCT recording_id, attack_us AS t_us FROM attacks)
 SELECT t.recording_id, t.t_us, count(*) AS sounding, string_agg(CAST(midi AS VARCHAR), ';' ORDER BY midi, note_id) AS pitches FROM notes n JOIN t ON n.recording_id = t.recording_id AND start_us <= t_us AND t_us < end_us GROUP BY ALL""")
 def sounding_notes(spark, sf_dir):
     notes = views.notes(spark, sf_dir)
-    return _sounding(notes, _attack_times(notes).filter("t_us % 11 = 0"))
-
-
-@query()
-def sounding_notes_all(spark, sf_dir):
-    """At every attack."""
-    notes = views.notes(spark, sf_dir)
-    return _sounding(notes, _attack_times(notes))
-
-
-def _sounding(notes: DataFrame, times: DataFrame) -> DataFrame:
-    # a note is at most two seconds long, so it meets times in buckets of that length
-    width = 2_000_000
-    spread = notes.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(F.col("end_us") / width))))
-    rows = spread.join(times.withColumn("__b", F.floor(F.col("t_us") / width)), ["recording_id", "__b"]).filter(note_fn.sounding(F.col("t_us")))
+    rows = matching.sounding_at(notes, _attack_times(notes))
     return rows.groupBy("recording_id", "t_us").agg(F.count("*").alias("sounding"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("midi", "note_id"))), lambda x: x["midi"]), ";").alias("pitches"))
 
 
-@query(f"""WITH {NOTES}, p AS (SELECT DISTINCT recording_id, midi, start_us + (note_id*7)%100000 - 50000 AS t_us FROM notes WHERE note_id%5 = 0)
+@query(f"""WITH {NOTES}, p AS (SELECT DISTINCT recording_id, midi, start_us + (note_id*7)%100000 - 50000 AS t_us FROM notes)
 SELECT p.*, (SELECT arg_min(note_id, (start_us, note_id)) FROM notes n WHERE n.recording_id = p.recording_id AND n.midi = p.midi AND p.t_us >= start_us - 20000 AND p.t_us <= end_us + 20000) AS note_id FROM p""")
 def note_hit_test(spark, sf_dir):
     notes = views.notes(spark, sf_dir)
-    return matching.hit_test(notes, _points(notes.filter("note_id % 5 = 0")))
-
-
-@query()
-def note_hit_test_all(spark, sf_dir):
-    """A point of every note."""
-    notes = views.notes(spark, sf_dir)
-    return matching.hit_test(notes, _points(notes))
-
-
-def _points(notes: DataFrame) -> DataFrame:
-    return notes.select("recording_id", "midi", (F.col("start_us") + (F.col("note_id") * 7) % 100_000 - 50_000).alias("t_us")).distinct()
+    return matching.hit_test(notes, notes.select("recording_id", "midi", (F.col("start_us") + (F.col("note_id") * 7) % 100_000 - 50_000).alias("t_us")).distinct())
 
 
 @query("""WITH k AS (SELECT CAST(m AS INT) AS midi, m%12 IN (1,3,6,8,10) AS b FROM range(21, 109) r(m)), w AS (SELECT *, sum((NOT b)::INT) OVER (ORDER BY midi) AS n FROM k),

@@ -1,4 +1,4 @@
-"""Order-dependent folds over sorted arrays, in the JVM.
+"""Order-dependent folds: over sorted arrays in the JVM, or along sorted rows with a small state.
 
 A fold's rows are those of one key of one recording, or of one chain of near rows of
 a recording: gaps that no state of the fold reaches across split it before.
@@ -6,6 +6,9 @@ a recording: gaps that no state of the fold reaches across split it before.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +26,50 @@ def anchored_groups(rows: DataFrame, at: str, window_us: int, key: str, by: tupl
     A chain of near rows is not one group: distance counts from the anchor.  A gap of
     more than window_us begins a group whatever the anchor, so chains are folded apart.
     """
-    order = F.struct(F.col(at).alias("t"), *(F.col(t) for t in ties), F.col(key).alias("k"))
     near = chains(rows.select(*dict.fromkeys([*by, at, *ties, key])), at, window_us, by, (*ties, key))
-    sorted_ = near.groupBy(*by, "__chain").agg(F.array_sort(F.collect_list(order)).alias("xs"))
-    start = F.expr(f"named_struct('anchor', cast(null as bigint), 'no', 0L, 'out', cast(array() as array<struct<k:{dict(rows.dtypes)[key]},no:bigint>>))")
 
-    def step(acc: Column, x: Column) -> Column:
-        new = acc["anchor"].isNull() | (x["t"] - acc["anchor"] > window_us)
-        no = acc["no"] + F.when(new, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(F.when(new, x["t"]).otherwise(acc["anchor"]).alias("anchor"), no.alias("no"), F.array_append(acc["out"], F.struct(x["k"].alias("k"), no.alias("no"))).alias("out"))
+    def step(state, t):
+        anchor, no = state
+        anchor, t = (None if x is None or x != x else x for x in (anchor, t))
+        new = anchor is None or (t is not None and t - anchor > window_us)
+        state = (t, no + 1) if new else (anchor, no)
+        return state, (state[1],)
 
-    folded = sorted_.select(*by, "__chain", F.aggregate("xs", start, step).alias("f"))
+    found = carried(near, (*by, "__chain"), (at, *ties, key), (key,), (at,), lambda: (None, 0), step, "no bigint")
+    # groups of the chains before
+    sizes = found.groupBy(*by, "__chain").agg(F.max("no").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__chain").rowsBetween(Window.unboundedPreceding, -1)
-    folded = folded.withColumn("__before", F.coalesce(F.sum("f.no").over(before), F.lit(0)))
-    found = folded.select(*by, "__before", F.explode("f.out").alias("x")).select(*by, F.col("x.k").alias(key), (F.col("x.no") + F.col("__before")).alias("group_no"))
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    found = found.join(sizes, [*by, "__chain"]).select(*by, key, (F.col("no") + F.col("__before")).alias("group_no"))
     return rows.join(found, [*by, key])
 
 
+def carried(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], keep: tuple[str, ...], given: tuple[str, ...], start: Callable, step: Callable, out: str) -> DataFrame:
+    """by, keep and out of rows: step(state, *given) gives the next state and a row's values, from start() on for each key.
+
+    A task reads its keys sorted, a batch at a time, and carries only the state on: time
+    is linear in the rows of a key, and memory does not grow with them.
+    """
+    kinds = dict(rows.dtypes)
+    names = [*by, *keep, *(c.strip().split(" ")[0].strip("`") for c in out.split(","))]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*by, *keep)), out])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), None
+        for pdf in batches:
+            found = []
+            for row in zip(zip(*(pdf[c] for c in by)), zip(*(pdf[c] for c in given))):
+                if row[0] != current:
+                    current, state = row[0], start()
+                state, values = step(state, *row[1])
+                found.append(values)
+            columns = {c: pdf[c] for c in (*by, *keep)} | dict(zip(names[len(by) + len(keep) :], map(list, zip(*found))))
+            yield pd.DataFrame(columns, columns=names)
+
+    needed = dict.fromkeys([*by, *order, *keep, *given])
+    return rows.select(*needed).repartition(*by).sortWithinPartitions(*by, *order).select(*dict.fromkeys([*by, *keep, *given])).mapInPandas(run, schema)
+
+
 def spaced(values: Column, gap_us: int) -> Column:
     """The values of an ascending array that are at least gap_us behind the last one kept."""
     start = F.expr("cast(array() as array<bigint>)")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
-from cadenza.functions.note import bar
+from cadenza.functions.note import bar, sounding
 
 
 def nearest(left: DataFrame, right: DataFrame, at: str, other: str, by: str = "recording_id", name: str = "nearest_us") -> DataFrame:
@@ -128,6 +128,14 @@ def hit_test(notes: DataFrame, points: DataFrame, slack_us: int = 20_000) -> Dat
     return points.join(hits.select("recording_id", "midi", "t_us", F.col("x.note_id").alias("note_id")), ["recording_id", "midi", "t_us"], "left")
 
 
+def sounding_at(notes: DataFrame, times: DataFrame) -> DataFrame:
+    """Every note of the recording that sounds at a time (recording_id, t_us); they meet in time buckets of two seconds."""
+    width = 2_000_000
+    spread = notes.filter("end_us > start_us").withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(F.col("end_us") / width))))
+    moments = times.select("recording_id", "t_us", F.floor(F.col("t_us") / width).alias("__bucket"))
+    return spread.join(moments, ["recording_id", "__bucket"]).filter(sounding(F.col("t_us"))).drop("__bucket")
+
+
 def nearest_lane(points: DataFrame, lanes: DataFrame, prefer_black: Column | None = None) -> DataFrame:
     """points (x) with midi and confidence: the lane whose centre is nearest, distances of the other colour counting 1.6 times.
 

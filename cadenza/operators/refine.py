@@ -214,9 +214,21 @@ def _neighbours(notes: DataFrame, value: str, config: Config) -> tuple[DataFrame
 
 
 def _without(notes: DataFrame, other: DataFrame, condition: Column) -> DataFrame:
-    n, o = notes.alias("n"), other.alias("o")
-    same = (F.col("n.recording_id") == F.col("o.recording_id")) & (F.col("n.midi") == F.col("o.midi"))
-    return n.join(o, same & condition, "left_anti")
+    """notes without those with a neighbour on their pitch that meets the condition.
+
+    Both stand in every time bucket that they reach into, so a note meets what is near
+    it and not all of its pitch.
+    """
+    width = 2_000_000
+
+    def bucketed(rows: DataFrame, start: str, end: str) -> DataFrame:
+        return rows.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width))))
+
+    n = bucketed(notes, "start_us", "end_us").alias("n")
+    o = bucketed(other, "o_start", "o_end").alias("o")
+    same = (F.col("n.recording_id") == F.col("o.recording_id")) & (F.col("n.midi") == F.col("o.midi")) & (F.col("n.__bucket") == F.col("o.__bucket"))
+    gone = n.join(o, same & condition, "left_semi").select("recording_id", "note_id").distinct()
+    return notes.join(gone, ["recording_id", "note_id"], "left_anti")
 
 
 def drop_glow_bleed(notes: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,64 @@ def test_tracked_grid(spark):
     assert all(abs(s - 1) < 0.05 for s in steps)
 
 
+def test_tempo_hits_equal_counting_each_phase(spark):
+    rng = random.Random(6)
+    onsets = [round(rng.choice([0.25, 0.125, 0.01]) * rng.randrange(400) + rng.choice([0, 0.02, -0.02, rng.random()]), 6) for _ in range(60)]
+    tempi = [65.0, 75.0, 100.0, 120.0, 150.0, 169.8]
+    best = None
+    for k, bpm in enumerate(tempi):
+        step = 60.0 / bpm / 4
+        for j in range(64):
+            g = [(t - j * step / 64) / step for t in onsets]
+            hits = sum(abs(x - round(x)) * step <= 0.02 for x in g)
+            if best is None or hits > best[0]:
+                best = (hits, bpm, j * step / 64)
+    rows = notes(spark, [(60, t, t + 0.1) for t in onsets])
+    for most in (8192, 7):  # in one row, and in parts whose counts add up
+        arrays = tempo.onset_arrays(rows, most)
+        assert arrays.count() == (1 if most > 60 else 9)
+        row = tempo.grid_search(arrays.withColumn("tempi", F.array(*map(F.lit, tempi)))).first()
+        assert (row.hits, row.bpm, row.onsets) == (best[0], best[1], 60) and abs(row.phase - best[2]) < 1e-9
+    whole, parts = (tempo.estimate(rows).first(), tempo.estimate(rows, most=7).first())
+    assert whole == parts
+
+
+def test_tracked_grid_follows_a_slowing_performance(spark):
+    """Against the same rule over arrays, and against the beats that were played."""
+    t, times_ = 0.5, []
+    for i in range(160):
+        times_.append(round(t, 6))
+        t += 0.5 * (1 + 0.0009 * i) / 2
+    rows = notes(spark, [(60 + i % 5, a, a + 0.1) for i, a in enumerate(times_)])
+    found = tempo.estimate(rows)
+    grid = drift.beat_map(rows, found)
+    beats = [r.beat for r in drift.beats_on(rows, grid, found).orderBy("start_us").collect()]
+    steps = [b - a for a, b in zip(beats, beats[1:])]
+    assert all(abs(s - steps[0]) < 0.08 for s in steps) and abs(sum(steps) / len(steps) - steps[0]) < 0.05
+    axis = grid.orderBy("ts").toPandas()
+    assert np.allclose(np.diff(axis.ts), 0.01) and (np.diff(axis.phi) > 0).all()
+    assert abs(axis.ts.iloc[0] - (times_[0] - 2)) < 1e-9 and len(axis) == len(np.arange(times_[0] - 2, times_[-1] + 10, 0.01))
+    # the windows' tempi on straight lines, summed up by the trapezium rule, less the windows' mean turns
+    local = drift.local_periods(drift.windows(rows), found).orderBy("i").toPandas()
+    centres = times_[0] + 1.5 * local.i.to_numpy()
+    rate = 4 / np.interp(axis.ts, centres, local.period)
+    phi = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2 * 0.01)])
+    own = [np.interp([x for x in times_ if abs(x - c) <= 3], axis.ts, phi) for c in centres]
+    turn = np.unwrap([np.angle(np.exp(2j * np.pi * x).mean()) for x in own]) / (2 * np.pi)
+    want = phi - np.interp(axis.ts, centres, turn)
+    shift = want - axis.phi.to_numpy()
+    assert np.abs(shift - np.rint(shift[0])).max() < 1e-6
+
+
+def test_short_recordings_have_no_tracked_grid(spark):
+    rows = notes(spark, [(60, i * 0.2, i * 0.2 + 0.1) for i in range(20)])
+    found = tempo.estimate(rows)
+    assert drift.beat_map(rows, found).count() == 0
+    beats = drift.beats_on(rows, drift.beat_map(rows, found), found).collect()
+    row = found.first()
+    assert all(abs(r.beat - (r.start_us / 1e6 - row.phase) / row.period) < 1e-9 for r in beats)
+
+
 def test_keys(spark):
     c_major = notes(spark, [(60 + p, i, i + (2 if p in (0, 7) else 1)) for i, p in enumerate((0, 2, 4, 5, 7, 9, 11, 0, 7))])
     assert tuple(key.detect_key(c_major).select("tonic_pc", "mode", "fifths").first()) == (0, "major", 0)
@@ -140,6 +200,60 @@ def test_hands(spark):
     assert {r.hand for r in one.collect()} == {None}
 
 
+def test_hands_equal_a_loop(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        at = i * 0.2
+        rows += [(rng.randrange(30, 100), round(at + rng.random() * 0.02, 6), at + 0.1) for _ in range(rng.choice([1, 1, 2, 3, 5, 6]))]
+        if i % 4 == 0:
+            rows += [(p, at, at + 0.1) for p in (rng.randrange(30, 40), *(48 + 12 * k for k in range(rng.choice([2, 4]))))]
+    table = notes(spark, rows)
+    got = {r.note_id: (r.hand, r.hand_confidence, r.hand_unreachable) for r in hands.by_context(table).collect()}
+
+    def width(ps, k):
+        return max(ps[k - 1] - ps[0] if k else 0, ps[-1] - ps[k] if k < len(ps) else 0)
+
+    want, groups = {}, []
+    for r in table.orderBy("start_us", "midi", "note_id").collect():
+        if not groups or r.start_us - groups[-1][0].start_us > 30_000:
+            groups.append([])
+        groups[-1].append(r)
+    every = [r[0] for r in rows]
+    place = [float(np.percentile(every, 25)), float(np.percentile(every, 75))]
+    for group in groups:
+        notes_ = sorted((r.midi, r.note_id) for r in group)
+        while True:
+            ps = [m for m, _ in notes_]
+            twice = [i for i, p in enumerate(ps) if sum((q - p) % 12 == 0 for q in ps) > 1]
+            if len(ps) <= 2 or not twice or min(width(ps, k) for k in range(len(ps) + 1)) <= 14:
+                break
+            less = {i: ps[:i] + ps[i + 1 :] for i in twice}
+            del notes_[min(twice, key=lambda i: min(width(less[i], k) for k in range(len(ps))))]
+        score = []
+        for k in range(len(ps) + 1):
+            means = [np.mean(side) if side else None for side in (ps[:k], ps[k:])]
+            cost = sum(abs(m - p) for m, p in zip(means, place) if m is not None)
+            wide = width(ps, k) > 14
+            score.append((wide, width(ps, k) if wide else cost, cost, k, means))
+        wide, _, _, k, means = min(score, key=lambda x: x[:4])
+        place = [p if m is None else 0.6 * p + 0.4 * m for m, p in zip(means, place)]
+        for i, (_, n) in enumerate(notes_):
+            want[n] = ("left" if i < k else "right", 0.3 if wide else 0.7 if 0 < k < len(ps) else 0.6, wide)
+    assert got == want and len(got) < len(rows) and any(w for _, _, w in got.values())
+
+
+def test_groups_of_a_dense_recording_take_linear_time(spark):
+    def seconds(n):
+        table = spark.range(n).select(F.lit(0).cast("bigint").alias("recording_id"), F.col("id").alias("note_id"), (F.col("id") * 9_000).alias("start_us"))
+        began = time.monotonic()
+        assert folds.anchored_groups(table, "start_us", 33_000, "note_id").agg(F.max("group_no")).first()[0] == n // 4
+        return time.monotonic() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 12 * seconds(20_000) + 5
+
+
 def test_spaced(spark):
     row = spark.range(1).select(folds.spaced(F.array(*(F.lit(x).cast("bigint") for x in (0, 50, 100, 160, 205))), 100).alias("x")).first()
     assert row.x == [0, 100, 205]
