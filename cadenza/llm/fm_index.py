@@ -37,11 +37,11 @@ class WaveletMatrix:
         return self._walk(symbol, at) - self.base[symbol]
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffixes in the order of their first `depth` words at least (a power of two is reached), and the ranks at each power."""
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first `depth` words at least (a power of two is reached)."""
     n = len(text)
     rank = text.astype(np.int64)
-    ranks, width = {1: rank}, 1
+    width = 1
     order = np.argsort(rank, kind="stable")
     while width < depth:
         tail = np.zeros(n, np.int64)
@@ -52,8 +52,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np
         fresh = np.zeros(n, np.int64)
         fresh[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         rank, width = fresh, 2 * width
-        ranks[width] = rank
-    return order, ranks
+    return order.astype(np.int32)
 
 
 class FMIndex:
@@ -63,7 +62,7 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.order, self.ranks = suffix_order(text, depth)
+        self.order = suffix_order(text, depth)
         symbols = int(text.max(initial=0)) + 1
         self.matrix = WaveletMatrix(text[self.order - 1], symbols)  # of the first suffix: the last word, a separator
         counts = np.bincount(text, minlength=symbols)

@@ -1,7 +1,8 @@
 """Operator 1, language ID by cross-parsing entropy.
 
 For each labelled language a suffix automaton is built over a bounded sample of
-its text.  A document is parsed greedily against each automaton: the longest
+its text: pieces, each piece of all its labelled text with the same probability, so
+that long texts teach throughout.  A document is parsed greedily against each automaton: the longest
 match with the language's text from the current position is one phrase, and the
 next phrase starts behind it (a byte that the language's text lacks ends a phrase).  The phrases, times log2 of the length of the
 language's text and divided by the length of the document, estimate the cross
@@ -14,7 +15,8 @@ automata in step, one NumPy gather a byte and language.
 Defined cases: a null text, an empty one and one without a letter give `und`
 with score 0 and null bits; equal estimates give the language that sorts first;
 rows with a null lang teach nothing; without any labelled row every text is
-`und`.  Repeated rows are scored one by one.  Other columns are not looked at.
+`und`; very long texts are parsed whole; an empty table gives no rows.  Repeated rows
+are scored one by one.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import textkit
 
-#: Labelled rows that teach a language, at most, and characters from each of them.
-SAMPLE_ROWS, PIECE_CHARS = 96, 256
-#: Languages at most, so that the sample stays bounded.
-MAX_LANGUAGES = 512
+#: Labelled rows that teach a language, at most, characters of a piece of one, and pieces of all languages together.
+SAMPLE_ROWS, PIECE_CHARS, ALL_PIECES = 96, 256, 1 << 15
 BLOCK = 1024
+#: Bits a byte of a text behind its first phrase above which it is in no learned language: languages' own texts cost
+#: 2 to 3, letters at random log2 26 = 4.7.
+MAX_BITS = 4.0
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, bits double"
 
@@ -159,12 +162,12 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
 
 
-def predict(model: Model, column: pa.Array, block: int = BLOCK) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Language, score 0 to 1, and bits a byte of each text."""
+def predict(model: Model, column: pa.Array, block: int = BLOCK) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score 0 to 1, bits a byte of each text, and bits a byte behind its first phrase (which costs a short text most of all)."""
     data, offsets = normalise(*textkit.flat(column))
     n, langs = np.diff(offsets), len(model.languages)
     good = has_letter(column) & (n > 0) & (langs > 0)
-    bits = np.full(len(n), np.nan)
+    bits, behind = np.full(len(n), np.nan), np.full(len(n), np.nan)
     score = np.zeros(len(n))
     names = np.full(len(n), "und", object)
     if good.any():
@@ -179,8 +182,9 @@ def predict(model: Model, column: pa.Array, block: int = BLOCK) -> tuple[pa.Arra
             other = 2 * low
         score[good] = (other / (low + other))[good]
         bits[good] = low[good]
+        behind[good] = (low - model.log_size[best] / np.maximum(n, 1))[good]
         names[good] = np.array(model.languages, object)[best[good]]
-    return pa.array(names, pa.string()), score, bits
+    return pa.array(names, pa.string()), score, bits, behind
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -189,17 +193,22 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def sample_pieces(labelled: DataFrame, label: str, rows: int, chars: int) -> dict[str, list[str]]:
-    """`rows` rows a label at most, `chars` characters from each, both picked by hashes of doc_id: {label: pieces}."""
+    """`rows` rows a label at most, `chars` characters from each, both picked by hashes of doc_id: {label: pieces}.
+
+    A row is picked in proportion to its pieces (a race of exponential waiting times),
+    so each piece is as likely as any other.  Where labels are so many that `rows` of
+    each would be more than `ALL_PIECES`, each gets its share of these, one at least.
+    """
     labelled = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    marks = labelled.select("doc_id", label)
-    names = [r[0] for r in marks.select(label).distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels in {label}")
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
+    pieces = F.greatest(F.lit(1), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / chars))
+    marks = labelled.select("doc_id", label, pieces.alias("__pieces"))
+    rows = max(1, min(rows, ALL_PIECES // max(1, marks.select(label).distinct().count())))
+    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    order = Window.partitionBy(label).orderBy(-F.log(uniform) / F.col("__pieces"), "doc_id")
     picked = marks.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows).select("doc_id", label).distinct()
     room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
     piece = F.substring(F.col("text"), (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(13)), room)).cast("int"), F.lit(chars))
-    # at most MAX_LANGUAGES * rows ids are broadcast, and as many pieces of bounded length come back
+    # at most ALL_PIECES ids (or one a label) are broadcast, and as many pieces of bounded length come back
     pieces = labelled.select("doc_id", label, "text").join(F.broadcast(picked), ["doc_id", label]).filter("text is not null").groupBy("doc_id", label).agg(F.min(piece).alias("__piece"))
     texts: dict[str, list[str]] = {}
     for r in sorted(pieces.collect()):
@@ -218,20 +227,20 @@ def identify(docs: DataFrame, model: Model | None = None, block: int = BLOCK) ->
     shared = spark.sparkContext.broadcast(model or fit(docs))
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
-        lang, confidence, bits = predict(shared.value, part.column(1), block)
+        lang, confidence, bits, _ = predict(shared.value, part.column(1), block)
         return pa.RecordBatch.from_arrays([part.column(0), part.column(2), lang, pa.array(confidence), pa.array(bits, mask=np.isnan(bits))], ["doc_id", "held_out", "lang_pred", "score", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
     return rows.mapInArrow(textkit.mapper(score, 1, 2 << 20), SCHEMA)
 
 
-def keep_identified(docs: DataFrame, max_bits: float, model: Model | None = None) -> DataFrame:
-    """The rows of docs, with its own columns, whose text has a language: not und, and at most max_bits bits a byte."""
+def keep_identified(docs: DataFrame, max_bits: float = MAX_BITS, model: Model | None = None) -> DataFrame:
+    """The rows of docs, with its own columns, whose text is in a learned language: not und, and at most max_bits bits a byte behind its first phrase."""
     text = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, bits = predict(shared.value, part.column(text))
-        return part.filter(pa.array(bits <= max_bits))  # und has none
+        _, _, _, behind = predict(shared.value, part.column(text))
+        return part.filter(pa.array(behind <= max_bits))  # und has none
 
     return docs.mapInArrow(textkit.mapper(run, text, 2 << 20), docs.schema)

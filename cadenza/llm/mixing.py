@@ -18,12 +18,14 @@ Tokens are white-space words.  Defined cases: null and empty texts have 0 tokens
 the prior as posterior, and count for nothing in the totals; a domain with no
 tokens is left out of the fit; rows with a null label teach nothing; without any
 label there is one domain `all`; repeated rows are fitted one by one; an empty
-table gives no rows.  Weights are scaled to sum to 1; a domain without a weight
+table gives no rows; very long texts count whole; of equal posteriors the domain that
+sorts first is named.  Weights are scaled to sum to 1; a domain without a weight
 gets 0 (the default is equal weights).  Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +41,8 @@ U = np.uint64
 BITS = 16
 #: Labelled rows a domain, at most, and characters from each.
 SAMPLE_ROWS, PIECE_CHARS = 256, 1024
-#: Words after which more text doesn't make a posterior sharper.
-EFFECTIVE_WORDS = 16
+#: Words of one text are not independent: n of them count as n * EVIDENCE_WORDS / (n + EVIDENCE_WORDS).
+EVIDENCE_WORDS = 16
 STEPS, TOLERANCE = 100, 1e-6
 
 
@@ -66,7 +68,7 @@ def posteriors(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes, own = textkit.letter_words(column)
     at = (hashes >> U(64 - BITS)).astype(np.int64)
     n = np.diff(own)
-    scale = np.minimum(n, EFFECTIVE_WORDS) / np.maximum(n, 1)
+    scale = EVIDENCE_WORDS / (n + EVIDENCE_WORDS)
     logit = np.stack([textkit.row_sums(model.log_p[k][at], own) * scale for k in range(len(model.domains))], axis=1)
     logit -= logit.max(axis=1, keepdims=True)
     p = np.exp(logit)
@@ -132,7 +134,10 @@ def mix(docs: DataFrame, labelled: DataFrame | None = None, label: str = "lang",
     """doc_id, n_tokens, domain (the likeliest), posterior, rate, copies (the rate rounded up or down by a hash of doc_id) of every row."""
     model = model or fit(labelled if labelled is not None else docs, label)
     members = saved(memberships(docs, model))  # read once an iteration
-    history, _, _ = solve(members, model.domains, weights, budget)
+    history, reached, wanted = solve(members, model.domains, weights, budget)
+    apart = max(abs(a - b) for a, b in zip(reached, wanted))
+    if apart > 1e-3 * max(1.0, sum(wanted)):
+        warnings.warn(f"no rates meet the targets: {dict(zip(model.domains, reached))} instead of {dict(zip(model.domains, wanted))}", stacklevel=2)
     names = F.array(*(F.lit(d) for d in model.domains))
     best = F.array_position("posterior", F.array_max("posterior"))
     done = members.select("doc_id", "n_tokens", F.element_at(names, best.cast("int")).alias("domain"), "posterior", F.round(rate(history), 9).alias("rate"))

@@ -13,7 +13,7 @@ text is then scored in one pass over the table by gathers and sums per row.
 Defined cases: null and empty texts score as the share of label 1; repeated label
 rows of a document count once, as their largest label; null labels and ids teach
 nothing; without any label every score is 0.5; repeated documents are scored one
-by one.  Other columns are not looked at.
+by one; very long texts are scored whole; an empty table gives no rows.  Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -26,8 +26,8 @@ several, of at most `RUN` windows each, where a text loops).
 Defined cases: a null text has no words; an empty kept text has the digest of the
 empty string; texts of fewer than 13 words lose nothing; a row with a null doc_id
 neither loses nor takes words; rows with one doc_id are taken for one text and are
-never smaller than each other; an empty table gives no rows.  Other columns are
-not looked at.
+never smaller than each other; texts that loop, of any length, are cut into bounded
+segments; an empty table gives no rows.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -49,8 +49,10 @@ U = np.uint64
 WINDOW, PIECE = 13, 5
 #: Windows of a segment, at most: a longer run (a text that loops) travels as several, so that sizes fit 16 bits.
 RUN = 1024
-#: Rows of answers or intervals that are broadcast to the texts, at most; more are joined by a shuffle.
-BROADCAST_ROWS = 300_000
+#: Bytes of intervals that are broadcast to the texts, at most; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of text for each shard: with two shards a task, what a task reads does not grow with the corpus.
+SHARD_BYTES = 4 << 20
 #: Text that a task looks at at a time; equal parts inside it are combined.
 SLICE = 2 << 20
 
@@ -353,17 +355,17 @@ def search(word: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray)
     return np.stack([seg, offset], axis=1), flags
 
 
-def shard_count(spark) -> int:
-    """Two shards for each partition of a shuffle: a task takes its shards one by one."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shard_count(docs: DataFrame, each: int = SHARD_BYTES) -> int:
+    """Shards that the table's text needs, an even number: a task takes two, one after the other."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 2 * max(1, -(-size // (2 * each)))
 
 
 def intervals(docs: DataFrame) -> DataFrame:
     """doc_id, starts, ends (arrays of word positions, ends exclusive) of the words that go."""
-    spark = docs.sparkSession
-    shards = shard_count(spark)
+    shards = shard_count(docs)
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    tasks = max(1, shards // 2)
+    tasks = shards // 2
     asked = rows.mapInArrow(ask(shards), "shard int, keys binary, docs binary, known binary")
     # packed rows go to a shard and, packed again, to the documents: a row a shard and task, not a row a word or document
     answers = asked.repartition(tasks, "shard").mapInArrow(answer(shards), "shard int, docs binary, keys binary")
@@ -404,11 +406,14 @@ def kept_bytes(column: pa.Array, starts: pa.Array, ends: pa.Array) -> tuple[np.n
 
 
 def with_intervals(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the columns __starts and __ends; found is broadcast if it is small, else joined by a shuffle."""
-    found = saved(found.toDF("__id", "__starts", "__ends"))
-    if found.count() <= BROADCAST_ROWS:
+    """The columns of docs, then starts and ends; found is broadcast if it is small, else joined by a shuffle."""
+    names = [f"__{i}" for i in range(len(docs.columns))]  # whatever columns docs has
+    found = saved(found)
+    size = found.agg(F.sum(64 + 16 * F.size("starts"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    return docs.join(found, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
+    rows = docs.toDF(*names).join(found, F.col(names[docs.columns.index("doc_id")]).cast("bigint") == F.col("doc_id"), "left")
+    return rows.select(*names, "starts", "ends")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -419,7 +424,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(removed), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = with_intervals(plain, intervals(docs)).select("doc_id", "text", "__starts", "__ends")
+    rows = with_intervals(plain, intervals(docs))
     return rows.mapInArrow(textkit.mapper(run), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
@@ -442,5 +447,5 @@ def strip(docs: DataFrame) -> DataFrame:
             columns[chars] = pc.if_else(pa.array(lost), pc.utf8_length(new).cast(columns[chars].type), columns[chars])
         return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(~lost | (n > removed)))
 
-    rows = with_intervals(docs, intervals(docs)).select(*names, "__starts", "__ends")
+    rows = with_intervals(docs, intervals(docs))
     return rows.mapInArrow(textkit.mapper(run, text), docs.schema)

@@ -18,7 +18,8 @@ clipped to the text; a null replacement is an empty one and null numbers are 0;
 edits of a document apply in the order of `seq` (then start, length,
 replacement), each to what the one before has left; a document without a safe
 place is one leaf; repeated rows are counted one by one; special tokens in a text
-are ordinary text.
+are ordinary text; very long texts are counted whole; a null doc_id is kept, and gets
+no edits of a table; an empty table gives no rows.  Other columns are not looked at.
 """
 
 from __future__ import annotations

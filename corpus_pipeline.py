@@ -18,40 +18,52 @@ from cadenza.llm import decontamination, language_id, mixing, near_dedup, substr
 from cadenza.llm.queries import small_batches
 from cadenza.llm.storage import saved, shared_folder
 
-#: Bits a byte above which no learned language explains a text.
-MAX_BITS = 9.0
 #: Ids that are broadcast to the documents, at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids; documents are shuffled only if the ids are many."""
-    ids = saved(ids.select(F.col("doc_id").alias("__gone")))
+    gone = "gone_" + "_".join(docs.columns)  # a name that docs doesn't have
+    ids = saved(ids.select(F.col("doc_id").alias(gone)))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    return docs.join(ids, F.col("doc_id").cast("bigint") == F.col(gone), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach."""
+    """Documents in a language that the labelled ones teach.
+
+    Texts go that are null, empty or without a letter, and those that cost more than
+    language_id.MAX_BITS in the best language (random letters, shouted junk, keys);
+    rows with a null doc_id stay if their text does.
+    """
     small_batches(spark)
-    return language_id.keep_identified(docs, MAX_BITS)
+    return language_id.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Null and empty texts and rows with a null doc_id are no duplicates and stay; rows
+    with one doc_id stay or go together.
+    """
     small_batches(spark)
     return without(docs, near_dedup.classes(docs).filter("not kept"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document with a smaller doc_id has."""
+    """Documents without the passages that a document with a smaller doc_id has.
+
+    A document that loses every word goes; null and empty texts lose nothing and stay,
+    as do rows with a null doc_id.
+    """
     small_batches(spark)
     return substring_dedup.strip(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item; null and empty texts hold none, rows with a null doc_id are not searched."""
     small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, decontamination.contaminated(docs, items).select("doc_id").distinct())

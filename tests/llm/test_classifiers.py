@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -141,6 +142,46 @@ def test_cases(spark, operator):
     assert len(none) == 120 and len({r.score for r in none}) == 1
 
 
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(2)
+    size = 8
+    rows = []
+    for _ in range(60):
+        index = sorted(rng.sample(range(size), 3)) + [size]
+        rows.append((np.array(index), np.array([rng.random() * 3 for _ in index[:-1]] + [1.0]), float(rng.random() < 0.5)))
+    got, bias = quality.ftrl(rows, bits=3, epochs=2)
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        l1, l2 = (0.0, 0.0) if i == size else (quality.L1, quality.L2)
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + l2)
+
+    for _ in range(2):
+        for index, value, label in rows:
+            w = [weight(i) for i in index]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, value))))
+            for i, a, b in zip(index, w, value):
+                g = (p - label) * b
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - sigma * a
+                n[i] += g * g
+    assert [*got, bias] == pytest.approx([weight(i) for i in range(size + 1)], abs=1e-12) and np.abs(got).max() > 0
+
+
+def test_quality_scores_are_sparse_dot_products():
+    texts = ["one two two", "", "one ONE x", prose(1, 500)]
+    single, double, first = quality.features(pa.array(texts))
+    rng = np.random.default_rng(0)
+    model = quality.Model(rng.normal(size=1 << quality.BITS), 0.3, 0.25)
+    got = quality.score_texts(model, pa.array(texts))
+    for d, text in enumerate(texts):
+        both = [*single[first[d] : first[d + 1]], *(x for x in double[first[d] : first[d + 1]] if x >= 0)]
+        logit = 0.3 + sum(quality.SCALE * n / len(both) * model.weights[i] for i, n in Counter(both).items())
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-logit)) if text else 0.25)
+
+
 def test_mixing_meets_targets(spark):
     docs = documents(spark, [(i, prose(i, 50 + i % 40, "en" if i % 3 else "fr"), "en" if i % 3 else "fr") for i in range(150)] + [(900, None), (901, ""), (None, "th er")])
     docs = docs.withColumn("rate", F.lit("clash")).withColumn("posterior", F.lit(1))
@@ -154,6 +195,36 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_is_nonnegative_least_squares(spark):
+    """Against coordinate descent over the same documents, where the targets can't be met."""
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([2, 2, 2], 40)
+    n = rng.integers(1, 50, 40)
+    table = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(40)], "doc_id bigint, n_tokens bigint, posterior array<double>")
+    weights = {"a": 0.96, "b": 0.02, "c": 0.02}
+    _, now, target = mixing.solve(table, ["a", "b", "c"], weights, steps=400)
+    base = (n[:, None] * p).sum(axis=0)
+    a = n[:, None] * p  # tokens of each domain at rate 1
+    r = np.ones(40)
+    for _ in range(4000):
+        for i in range(40):
+            rest = r @ a - r[i] * a[i] - target
+            r[i] = max(0.0, -(rest * a[i] / base).sum() / (a[i] ** 2 / base).sum())
+    best = (((r @ a) - target) ** 2 / base).sum()
+    assert best > 1  # the targets are out of reach
+    assert ((np.array(now) - target) ** 2 / base).sum() == pytest.approx(best, rel=1e-3)
+
+
+def test_mixing_cases(spark):
+    docs = documents(spark, [(i, prose(i, 40), "en") for i in range(20)] + [(50, prose(9, 60000)), (51, prose(3, 40, "fr"), "fr"), (52, None), (None, "th er")])
+    rows = {r.doc_id: r for r in mixing.mix(docs, label="lang", weights={"en": 1.0}).collect()}
+    assert rows[50].n_tokens == 60000 and rows[52].n_tokens == 0 and None in rows
+    one = mixing.mix(documents(spark, [(1, "a b"), (2, "a b")])).collect()
+    assert {r.domain for r in one} == {"all"} and {r.rate for r in one} == {1.0}
+    tie = mixing.mix(documents(spark, [(1, "same text", "x"), (2, "same text", "a")])).collect()
+    assert {r.domain for r in tie} == {"a"}
+
+
 def test_mixing_with_soft_members_is_least_squares(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([1, 1, 1], 60)

@@ -40,7 +40,8 @@ def test_trees_as_tables(spark):
     assert len(out) == 5
     for r in out:
         assert r.tokens[1] == len(ENCODE(r.text)) and r.chars[1] == len(r.text)
-    assert [r.text for r in out if r.doc_id == 1][0].startswith("start new words") or True
+    first, old = [r.text for r in out if r.doc_id == 1][0], prose(1, 300)
+    assert first == ("start " + old)[:5] + "new words" + ("start " + old)[8:]
     assert token_counts.build_trees(docs.limit(0)).count() == 0
 
 
@@ -83,6 +84,22 @@ def test_contamination_equals_brute_force(spark):
     assert {(r.item_id, r.doc_id) for r in blocks.collect()} == set(want)
 
 
+def test_every_text_of_an_item_is_found(spark):
+    texts = [prose(600 + i, 20) for i in range(3)]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2]), (1, texts[0])], "item_id bigint, text string")
+    docs = documents(spark, [(i, f"{prose(700 + i, 30)} {t}") for i, t in enumerate(texts)])
+    for block in (50_000, 2):
+        got = {(r.item_id, r.doc_id) for r in decontamination.contaminated(docs, items, block=block).collect()}
+        assert got == {(1, 0), (1, 1), (2, 2)}
+
+
+def test_counts_of_odd_tables(spark):
+    none = F.array().cast(token_counts.EDIT)
+    docs = documents(spark, [(None, "one two"), (1, None)]).withColumn("n_tokens", F.lit("clash")).withColumn("edits", F.lit(1))
+    assert sorted((r.doc_id or 0, r.n_tokens, r.edited_tokens) for r in token_counts.count_with_edits(docs, none).collect()) == [(0, 2, 2), (1, 0, 0)]
+    assert token_counts.count_with_edits(docs.limit(0), none).count() == 0
+
+
 def test_no_items_or_documents(spark):
     items = spark.createDataFrame([(1, prose(1, 20))], "item_id bigint, text string")
     assert decontamination.contaminated(documents(spark, []), items).count() == 0

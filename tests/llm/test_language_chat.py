@@ -67,12 +67,31 @@ def test_held_out_accuracy(spark):
 
 
 def test_rejects(spark):
-    docs = documents(spark, [(i, prose(i, 40), "en") for i in range(40)] + [(50, "$$ 12"), (51, None)])
-    kept = language_id.keep_identified(docs, 9.0)
+    rng = np.random.default_rng(4)
+    noise = " ".join("".join(rng.choice(list("bcdfgjkmpqvwxyz"), 7)) for _ in range(60))
+    docs = documents(spark, [(i, prose(i, 40), "en") for i in range(40)] + [(50, "$$ 12"), (51, None), (52, noise), (53, "")])
+    kept = language_id.keep_identified(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(range(40))
 
 
+def test_many_languages_share_the_pieces(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ALL_PIECES", 12)
+    docs = documents(spark, [(i, prose(i, 400), f"l{i % 5}") for i in range(60)] + [(100 + i, prose(i, 3), "l0") for i in range(40)])
+    pieces = language_id.sample_pieces(docs, "lang", 96, 64)
+    assert {k: len(v) for k, v in pieces.items()} == {f"l{k}": 2 for k in range(5)}
+    monkeypatch.setattr(language_id, "ALL_PIECES", 1000)
+    own = language_id.sample_pieces(docs, "lang", 10, 64)["l0"]
+    assert sum(len(p) == 64 for p in own) >= 9  # short texts teach little more than they hold
+
+
+def test_chat_of_very_long_texts(spark):
+    text = "### x </turn> " * 60_000
+    table = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    row = chat_format.digests(chat_format.format_conversations(table)).first()
+    assert row.loss_chars == len(text) and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_chat_round_trip(spark):
     hard = ["### Assistant: </turn> ok", "<\\/turn>####x#\\###", "</part>", "a: b", "", None, "\\", "#", "é😀", "</turn>\n### user: x", "%3A%25:", "#\\#\\\\#"]
     rows = [(k, i, role, t) for k, role in enumerate(["user", "assistant", "sy:%s#\\##"]) for i, t in enumerate(hard)]
