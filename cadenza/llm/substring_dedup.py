@@ -52,7 +52,7 @@ RUN = 1024
 #: Bytes of intervals that are broadcast to the texts, at most; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text for each shard: with two shards a task, what a task reads does not grow with the corpus.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 #: Text that a task looks at at a time; equal parts inside it are combined.
 SLICE = 2 << 20
 
