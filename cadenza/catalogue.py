@@ -457,12 +457,66 @@ def score_resolution(spark, sf_dir):
     return notation.resolution(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE))
 
 
-@query()
+_PLACES = """beats AS (SELECT *, start_us/1e6/0.5 AS sb, end_us/1e6/0.5 AS eb FROM notes), fit AS (
+  SELECT recording_id, count(*) AS n, avg(CASE WHEN abs(sb - round_even(sb*8, 0)/8) <= 0.04 THEN 1.0 ELSE 0 END) AS c8, avg(CASE WHEN abs(sb - round_even(sb*4, 0)/4) <= 0.04 THEN 1.0 ELSE 0 END) AS c4 FROM beats GROUP BY recording_id
+), grid AS (SELECT recording_id, CASE WHEN n >= 16 AND c8 >= c4 + 0.08 THEN 8 ELSE 4 END AS sub, CASE WHEN n >= 16 AND c8 >= c4 + 0.08 THEN 24 ELSE 12 END AS divisions FROM fit),
+thirds AS (SELECT recording_id, CAST(floor(sb) AS BIGINT) AS beat FROM (SELECT recording_id, sb, sb - floor(sb) AS f FROM beats) GROUP BY recording_id, CAST(floor(sb) AS BIGINT)
+  HAVING count(*) >= 2 AND avg(abs(f*3 - round_even(f*3, 0))) <= 0.12 AND avg(abs(f*3 - round_even(f*3, 0))) + 0.06 < avg(abs(f*4 - round_even(f*4, 0)))),
+three AS (SELECT * FROM thirds WHERE recording_id IN (SELECT recording_id FROM notes GROUP BY recording_id HAVING count(*) >= 8)),
+raw AS (SELECT b.*, sub, divisions,
+    CAST(round_even((floor(sb) + round_even((sb - floor(sb))*CASE WHEN t.beat IS NULL THEN sub ELSE 3 END, 0)/CASE WHEN t.beat IS NULL THEN sub ELSE 3 END)*divisions, 0) AS BIGINT) AS sd,
+    CAST(round_even((floor(eb) + round_even((eb - floor(eb))*CASE WHEN u.beat IS NULL THEN sub ELSE 3 END, 0)/CASE WHEN u.beat IS NULL THEN sub ELSE 3 END)*divisions, 0) AS BIGINT) AS ed
+  FROM beats b JOIN grid USING (recording_id) LEFT JOIN three t ON t.recording_id = b.recording_id AND t.beat = floor(sb) LEFT JOIN three u ON u.recording_id = b.recording_id AND u.beat = floor(eb)),
+shifted AS (SELECT *, CAST(floor(min(sd) OVER (PARTITION BY recording_id)/(divisions*4)) AS BIGINT)*divisions*4 AS first FROM raw),
+places AS (SELECT recording_id, note_id, midi, start_us, sub, divisions, divisions*4 AS per, first // divisions AS first_beat, sd - first AS start_div, ed - first AS end_div, CASE WHEN hand = 'right' THEN 1 ELSE 2 END AS staff FROM shifted),
+sizes AS (SELECT recording_id, any_value(divisions) AS divisions, any_value(per) AS per, any_value(first_beat) AS first_beat, greatest(1, CAST(ceil(max(end_div/per)) AS INT), CAST(floor(max(start_div/per)) AS INT) + 1) AS n FROM places GROUP BY recording_id),
+bars AS (SELECT recording_id, divisions, per, first_beat, CAST(unnest(range(1, n + 1)) AS INT) AS measure FROM sizes), staves AS (SELECT *, s.staff FROM bars, (VALUES (1), (2)) s(staff))"""
+_VALUES = "CASE WHEN divisions = 24 THEN [144, 96, 72, 48, 36, 24, 18, 12, 9, 6, 3] ELSE [72, 48, 36, 24, 18, 12, 9, 6, 3] END"
+_TYPES = """names AS (SELECT d.divisions, v.k, CAST(d.divisions*4*(CASE WHEN dots = 1 THEN 1.5 ELSE 1 END)/(1 << k) AS DOUBLE) AS value, (['whole', 'half', 'quarter', 'eighth', '16th', '32nd'])[k + 1] AS type, dots
+  FROM (VALUES (12), (24)) d(divisions), range(0, 6) v(k), (VALUES (0), (1)) o(dots)), lengths AS (SELECT divisions, CAST(value AS INT) AS value, type, dots FROM names WHERE value = floor(value) AND (k < 5 OR divisions = 24))"""
+
+
+@query(f"WITH {NOTES}, {_PLACES}, {_TYPES} SELECT s.recording_id, value, type, dots FROM sizes s JOIN lengths l ON l.divisions = s.divisions")
+def clean_values(spark, sf_dir):
+    return notation.clean_values(notation.score_positions(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE)))
+
+
+@query(f"""WITH RECURSIVE {NOTES}, {_PLACES}, {_TYPES}, ordered AS (
+  SELECT *, start_div // per + 1 AS measure, start_div % per AS pos, row_number() OVER (PARTITION BY recording_id, staff, start_div // per ORDER BY start_us, midi, note_id) AS k FROM places
+), put AS (
+  SELECT recording_id, staff, measure, 0::BIGINT AS k, []::STRUCT(p BIGINT, m INT)[] AS taken, NULL::BIGINT AS pos, NULL::INT AS midi, NULL::BIGINT AS dur FROM (SELECT DISTINCT recording_id, staff, measure FROM ordered)
+  UNION ALL
+  SELECT recording_id, staff, measure, k, list_append(taken, {{'p': spot, 'm': midi}}), spot, midi, dur FROM (
+    SELECT o.recording_id, o.staff, o.measure, o.k, u.taken, o.midi, o.end_div - o.start_div AS dur,
+      coalesce(list_filter(range(o.pos, o.per, o.divisions // o.sub), lambda p: len(list_filter(u.taken, lambda t: t.p = p AND abs(t.m - o.midi) <= 2)) = 0)[1], range(o.pos, o.per, o.divisions // o.sub)[-1]) AS spot
+    FROM put u JOIN ordered o ON o.recording_id = u.recording_id AND o.staff = u.staff AND o.measure = u.measure AND o.k = u.k + 1)
+), chords AS (SELECT recording_id, staff, measure, pos, min(dur) AS dur, string_agg(CAST(midi AS VARCHAR), ';' ORDER BY midi) AS pitches FROM put WHERE k > 0 GROUP BY ALL),
+spaced AS (SELECT c.*, divisions, per, first_beat, coalesce(lead(pos) OVER (PARTITION BY c.recording_id, c.staff, c.measure ORDER BY pos), per) - pos AS space FROM chords c JOIN sizes USING (recording_id)),
+kept AS (SELECT *, greatest(1, least(dur, space)) AS d, EXISTS (SELECT 1 FROM three t WHERE t.recording_id = s.recording_id AND t.beat = ((measure - 1)*per + pos) // divisions + first_beat) AS three FROM spaced s),
+held AS (SELECT *, CASE WHEN space > d AND space - d < greatest(2, divisions // 2) THEN space ELSE d END AS h, list_concat({_VALUES}, CASE WHEN three THEN list_filter([divisions // 3, divisions // 3*2], lambda v: NOT list_contains({_VALUES}, v)) ELSE [] END) AS options FROM kept),
+clean AS (SELECT *, coalesce(list_sort(list_transform(list_filter(options, lambda v: v <= space), lambda v, i: {{'away': abs(v - h), 'i': i, 'v': v}}))[1].v, greatest(1, least(h, space))) AS length FROM held),
+parts AS (
+  SELECT recording_id, staff, measure, pos, length AS dur, pitches FROM clean UNION ALL SELECT recording_id, staff, measure, pos + length, space - length, '' FROM clean WHERE length < space
+  UNION ALL SELECT s.recording_id, s.staff, s.measure, 0, coalesce(min(pos), any_value(per)), '' FROM staves s LEFT JOIN chords c ON c.recording_id = s.recording_id AND c.staff = s.staff AND c.measure = s.measure GROUP BY s.recording_id, s.staff, s.measure HAVING coalesce(min(pos), 1) > 0
+), marked AS (SELECT p.*, divisions, pos // divisions AS beat, dur IN (divisions // 3, divisions // 3*2) AND EXISTS (SELECT 1 FROM three t WHERE t.recording_id = p.recording_id AND t.beat = ((measure - 1)*per + pos) // divisions + first_beat) AS triplet FROM parts p JOIN sizes USING (recording_id)),
+runs AS (SELECT *, triplet AND NOT coalesce(lag(triplet) OVER w AND lag(beat) OVER w = beat, false) AS begins, triplet AND NOT coalesce(lead(triplet) OVER w AND lead(beat) OVER w = beat, false) AS ends FROM marked WINDOW w AS (PARTITION BY recording_id, staff, measure ORDER BY pos)),
+cuts AS (
+  SELECT recording_id, staff, measure, divisions, pos AS spot, pos + dur AS until, NULL::BIGINT AS pos, NULL::BIGINT AS dur FROM runs WHERE pitches = '' AND NOT triplet
+  UNION ALL
+  SELECT recording_id, staff, measure, divisions, spot + v, until, spot, v FROM (SELECT *, coalesce(list_filter({_VALUES}, lambda v: v <= until - spot AND spot % v = 0)[1], list_filter({_VALUES}, lambda v: v <= until - spot)[1], until - spot) AS v FROM cuts WHERE spot < until)
+), pieces AS (
+  SELECT recording_id, staff, measure, divisions, pos, dur, pitches, triplet, begins, ends FROM runs WHERE pitches <> '' OR triplet UNION ALL SELECT recording_id, staff, measure, divisions, pos, dur, '', false, false, false FROM cuts WHERE pos IS NOT NULL)
+SELECT p.recording_id, staff, measure, p.divisions, CAST(pos AS INT) AS pos, CAST(dur AS INT) AS dur, pitches, triplet, begins, ends,
+  coalesce((SELECT type FROM lengths l WHERE l.divisions = p.divisions AND l.value = CASE WHEN triplet THEN dur*3//2 ELSE dur END), (SELECT arg_max(type, value) FROM lengths l WHERE l.divisions = p.divisions AND l.value <= CASE WHEN triplet THEN dur*3//2 ELSE dur END), '16th') AS type,
+  CASE WHEN triplet THEN 0 ELSE coalesce((SELECT dots FROM lengths l WHERE l.divisions = p.divisions AND l.value = dur), 0) END AS dots FROM pieces p""")
 def score_layout(spark, sf_dir):
-    return sinks.chord_layout(notation.score_positions(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE))).withColumn("pitches", F.array_join("pitches", ";"))
+    notes = views.notes(spark, sf_dir)
+    positions = notation.score_positions(notes, F.lit(PERIOD), F.lit(PHASE))
+    return notation.chord_layout(positions, notation.triplet_beats(notes, F.lit(PERIOD), F.lit(PHASE))).withColumn("pitches", F.array_join("pitches", ";"))
 
 
-@query()
+@query(f"""WITH {NOTES}, {_PLACES} SELECT s.recording_id, s.measure, s.staff, count(note_id) AS notes FROM staves s
+LEFT JOIN places p ON p.recording_id = s.recording_id AND p.staff = s.staff AND p.start_div // p.per + 1 = s.measure GROUP BY ALL""")
 def score_measures(spark, sf_dir):
     return notation.measures(notation.score_positions(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE)))
 

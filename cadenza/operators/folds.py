@@ -13,6 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows by hash of some columns in all of the session's shuffle partitions.
+
+    Adaptive execution joins small partitions by their bytes; in front of work that
+    costs much a byte it would leave one task with all of a small table.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def chains(rows: DataFrame, at: str, gap_us: int, by: tuple[str, ...] = ("recording_id",), ties: tuple[str, ...] = (), name: str = "__chain") -> DataFrame:
     """rows with the number of their chain (0, 1, ...): a new one begins where `at` is more than gap_us behind the row before."""
     w = Window.partitionBy(*by).orderBy(at, *ties)
@@ -67,7 +76,7 @@ def carried(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], keep:
             yield pd.DataFrame(columns, columns=names)
 
     needed = dict.fromkeys([*by, *order, *keep, *given])
-    return rows.select(*needed).repartition(*by).sortWithinPartitions(*by, *order).select(*dict.fromkeys([*by, *keep, *given])).mapInPandas(run, schema)
+    return rows.select(*needed).transform(lambda r: spread(r, *by)).sortWithinPartitions(*by, *order).select(*dict.fromkeys([*by, *keep, *given])).mapInPandas(run, schema)
 
 
 def spaced(values: Column, gap_us: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
 from cadenza.functions.grid import beat_at
+from cadenza.operators.folds import spread
 
 
 def triplet_beats(notes: DataFrame, period: Column, phase: Column, sub: int = 4) -> DataFrame:
@@ -39,7 +40,10 @@ def resolution(notes: DataFrame, period: Column, phase: Column) -> DataFrame:
 
 
 def score_positions(notes: DataFrame, period: Column, phase: Column, beats_per_measure: int = 4) -> DataFrame:
-    """notes with staff, start_div, end_div, divisions, triplet: places on the printed grid, from the first note's measure on."""
+    """notes with staff, start_div, end_div, divisions, triplet, first_beat: places on the printed grid, from the first note's measure on.
+
+    triplet says whether a note's beat is one, first_beat which beat is the score's 0.
+    """
     grid = resolution(notes, period, phase)
     thirds = triplet_beats(notes, period, phase).withColumn("__three", F.lit(True))
     rows = notes.join(grid, "recording_id")
@@ -49,17 +53,162 @@ def score_positions(notes: DataFrame, period: Column, phase: Column, beats_per_m
         sub = F.when(F.col("__three"), 3).otherwise(F.col("sub"))
         place = F.rint((F.col("beat") + F.rint((F.col("__b") - F.col("beat")) * sub) / sub) * F.col("divisions")).cast("bigint")
         rows = rows.withColumn(f"{end}_div", place)
-        rows = rows.withColumnRenamed("__three", "triplet").drop("__b", "beat") if end == "start" else rows.drop("__b", "beat", "__three")
+        rows = rows.drop("__b", "beat", "__three")
     measure = F.col("divisions") * beats_per_measure
     first = F.floor(F.min("start_div").over(Window.partitionBy("recording_id")) / measure) * measure
-    rows = rows.withColumn("__first", first)
-    return rows.withColumns({"start_div": F.col("start_div") - F.col("__first"), "end_div": F.col("end_div") - F.col("__first"), "triplet": F.coalesce("triplet", F.lit(False)), "staff": F.when(F.col("hand") == "right", 1).otherwise(2)}).drop("__first")
+    rows = rows.withColumn("__first", first).withColumn("first_beat", (F.col("__first") / F.col("divisions")).cast("bigint"))
+    rows = rows.withColumns({"start_div": F.col("start_div") - F.col("__first"), "end_div": F.col("end_div") - F.col("__first"), "staff": F.when(F.col("hand") == "right", 1).otherwise(2)}).drop("__first")
+    # a note rounded up to the next beat counts with that beat
+    here = F.floor(F.col("start_div") / F.col("divisions")).cast("bigint") + F.col("first_beat")
+    rows = rows.withColumn("beat", here).join(thirds, ["recording_id", "beat"], "left")
+    return rows.withColumn("triplet", F.coalesce("__three", F.lit(False))).drop("beat", "__three")
+
+
+# fixed values: note types from the whole note on, each half as long as the one before
+TYPES = ["whole", "half", "quarter", "eighth", "16th", "32nd"]
+
+
+def readable(divisions: Column) -> Column:
+    """(value, type, dots) of the notes a player reads, longest first: each type and its dotted form, where they are whole numbers of divisions.
+
+    32nds are read where a quarter has 24 divisions or more.
+    """
+    plain = [F.struct(F.floor(divisions * 4 / 2**k).cast("int").alias("value"), F.lit(name).alias("type"), F.lit(0).alias("dots")) for k, name in enumerate(TYPES)]
+    dotted = [F.struct(F.floor(divisions * 6 / 2**k).cast("int").alias("value"), F.lit(name).alias("type"), F.lit(1).alias("dots")) for k, name in enumerate(TYPES)]
+    whole = [(v, divisions * 4 % 2**k == 0) for k, v in enumerate(plain)] + [(v, divisions * 4 % 2 ** (k + 1) == 0) for k, v in enumerate(dotted)]
+    fine = [(v, good & ((divisions >= 24) | F.lit(i % len(TYPES) < len(TYPES) - 1))) for i, (v, good) in enumerate(whole)]
+    return F.reverse(F.array_sort(F.filter(F.array(*(F.when(good, v) for v, good in fine)), lambda v: v.isNotNull())))
+
+
+def clean_length(dur: Column, space: Column, values: Column) -> Column:
+    """The one of values nearest to dur that fits the space, the first of equals."""
+    near = F.transform(F.filter(values, lambda v: (v > 0) & (v <= space)), lambda v, i: F.struct(F.abs(v - dur).alias("away"), i.alias("i"), v.alias("value")))
+    return F.coalesce(F.array_min(near)["value"], F.greatest(F.lit(1), F.least(dur, space)).cast("int"))
+
+
+def printed(dur: Column, names: Column, triplet: Column) -> Column:
+    """(type, dots) of a length: of what it is exactly, else of the longest that fits; a triplet's is that of the straight note half as long again."""
+    value = F.when(triplet, F.floor(dur * 3 / 2)).otherwise(dur)
+    first = F.get(F.filter(names, lambda v: v["value"] <= value), F.lit(0))  # the exact one, if there is one
+    return F.transform(F.array(first), lambda v: F.struct(F.coalesce(v["type"], F.lit("16th")).alias("type"), F.when(~triplet & (v["value"] == value), v["dots"]).otherwise(0).alias("dots")))[0]
+
+
+def clean_values(positions: DataFrame) -> DataFrame:
+    """recording_id, value, type, dots: the lengths a recording's score prints."""
+    rows = positions.select("recording_id", "divisions").distinct()
+    return rows.select("recording_id", F.explode(readable(F.col("divisions"))).alias("v")).select("recording_id", "v.*")
+
+
+def placed(positions: DataFrame, beats_per_measure: int = 4) -> DataFrame:
+    """positions with measure and pos: notes in time order, a step's neighbour of a note that stands at the same place goes to the next free place of the grid.
+
+    Notes of at most two semitones apart that rounding brought together are a run, not
+    a chord.  A measure of a staff is one fold.
+    """
+    per = F.col("divisions") * beats_per_measure
+    rows = positions.withColumn("measure", (F.floor(F.col("start_div") / per) + 1).cast("int")).withColumn("__pos", (F.col("start_div") % per).cast("int"))
+    note = F.struct("start_us", "midi", "note_id", F.col("__pos").alias("pos"))
+    own = spread(rows, "recording_id", "staff", "measure").groupBy("recording_id", "staff", "measure", "divisions", "sub").agg(F.array_sort(F.collect_list(note)).alias("xs"))
+    step, size = F.floor(F.col("divisions") / F.col("sub")).cast("int"), per.cast("int")
+    start = F.expr("cast(array() as array<struct<pos:int,midi:int,note_id:bigint>>)")
+
+    def put(acc: Column, x: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(0), F.floor((F.col("size") - 1 - x["pos"]) / F.col("step")).cast("int")), lambda k: x["pos"] + k * F.col("step"))
+        free = F.get(F.filter(places, lambda p: ~F.exists(acc, lambda o: (o["pos"] == p) & (F.abs(o["midi"] - x["midi"]) <= 2))), F.lit(0))
+        pos = F.coalesce(free, F.element_at(places, -1))
+        return F.array_append(acc, F.struct(pos.alias("pos"), x["midi"].alias("midi"), x["note_id"].alias("note_id")))
+
+    found = own.withColumns({"step": step, "size": size}).select("recording_id", "staff", "measure", F.explode(F.aggregate("xs", start, put)).alias("x"))
+    return rows.drop("__pos").join(found.select("recording_id", "staff", "measure", F.col("x.note_id").alias("note_id"), F.col("x.pos").alias("pos")), ["recording_id", "staff", "measure", "note_id"])
+
+
+def chord_layout(positions: DataFrame, thirds: DataFrame, beats_per_measure: int = 4) -> DataFrame:
+    """recording_id, staff, measure, divisions, pos, dur, pitches, type, dots, triplet, begins, ends: chords and rests (no pitches) that fill every measure of either staff.
+
+    Notes at one place are a chord.  It lasts as its shortest note, until the next place
+    at the latest; a gap of less than an eighth behind it belongs to it; then its length
+    becomes a readable one, and what is left is rest.  Straight rests are cut at places
+    that fit their lengths.  thirds (triplet_beats()) says where a length of one or two
+    thirds of a beat is part of a triplet; begins and ends mark a triplet's first and
+    last place.
+    """
+    per = (F.col("divisions") * beats_per_measure).cast("int")
+    sizes = positions.groupBy("recording_id", "divisions", "first_beat").agg(F.greatest(F.lit(1), F.ceil(F.max(F.col("end_div") / per)), F.floor(F.max(F.col("start_div") / per)) + 1).cast("int").alias("n"))
+    grid = sizes.select("recording_id", "divisions", "first_beat", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("measure")).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("staff"))
+    beats = thirds.join(sizes.select("recording_id", "first_beat"), "recording_id").withColumn("__out", F.col("beat") - F.col("first_beat"))
+    beats = beats.groupBy("recording_id", (F.floor(F.col("__out") / beats_per_measure) + 1).cast("int").alias("measure")).agg(F.collect_set(F.pmod("__out", F.lit(beats_per_measure)).cast("int")).alias("thirds"))
+
+    def in_third(pos: Column) -> Column:
+        return F.coalesce(F.array_contains("thirds", F.floor(pos / F.col("divisions")).cast("int")), F.lit(False))
+
+    chords = placed(positions, beats_per_measure).groupBy("recording_id", "staff", "measure", "pos").agg(F.min(F.col("end_div") - F.col("start_div")).alias("dur"), F.array_sort(F.collect_list("midi")).alias("pitches"))
+    own = chords.groupBy("recording_id", "staff", "measure").agg(F.array_sort(F.collect_list(F.struct("pos", "dur", "pitches"))).alias("chords"))
+    rows = grid.join(own, ["recording_id", "staff", "measure"], "left").join(beats, ["recording_id", "measure"], "left").withColumn("size", per)
+    third = F.floor(F.col("divisions") / 3).cast("int")
+    rows = spread(rows, "recording_id", "measure").withColumns({"chords": F.coalesce("chords", F.expr("cast(array() as array<struct<pos:int,dur:bigint,pitches:array<int>>>)")), "names": readable(F.col("divisions")), "third": third})
+    # a triplet beat's one and two thirds are readable too
+    rows = rows.withColumn("values", F.transform("names", lambda v: v["value"])).withColumn("more", F.array_union("values", F.array(F.col("third"), F.col("third") * 2)))
+    nothing = F.expr("cast(array() as array<int>)")
+
+    def item(pos: Column, dur: Column, pitches: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), dur.cast("int").alias("dur"), pitches.alias("pitches"))
+
+    def place(c: Column, i: Column) -> Column:
+        space = F.coalesce(F.get("chords", i + 1)["pos"], F.col("size")) - c["pos"]
+        dur = F.greatest(F.lit(1), F.least(c["dur"], space))
+        legato = F.when((space > dur) & (space - dur < F.greatest(F.lit(2), F.floor(F.col("divisions") / 2))), space).otherwise(dur)
+        clean = clean_length(legato, space, F.when(in_third(c["pos"]), F.col("more")).otherwise(F.col("values")))
+        lengths = F.struct(c["pos"].alias("pos"), clean.alias("dur"), space.alias("space"), c["pitches"].alias("pitches"))
+        return lengths
+
+    def with_rest(c: Column) -> Column:
+        return F.filter(F.array(item(c["pos"], c["dur"], c["pitches"]), item(c["pos"] + c["dur"], c["space"] - c["dur"], nothing)), lambda x: x["dur"] > 0)
+
+    first = F.coalesce(F.get("chords", F.lit(0))["pos"], F.col("size"))
+    lead = F.filter(F.array(item(F.lit(0), first, nothing)), lambda r: r["dur"] > 0)
+    rows = rows.withColumn("spaced", F.transform("chords", place)).withColumn("plain", F.concat(lead, F.flatten(F.transform("spaced", with_rest))))
+    # a third of a beat in a triplet beat, and whether it is its beat's first and last in a row
+
+    def flagged(s: Column) -> Column:
+        triplet = in_third(s["pos"]) & ((s["dur"] == F.col("third")) | (s["dur"] == 2 * F.col("third")))
+        return F.struct(s["pos"].alias("pos"), s["dur"].alias("dur"), s["pitches"].alias("pitches"), triplet.alias("triplet"))
+
+    rows = rows.withColumn("segments", F.transform("plain", flagged))
+
+    def beside(s: Column, other: Column) -> Column:
+        return other["triplet"] & (F.floor(s["pos"] / F.col("divisions")) == F.floor(other["pos"] / F.col("divisions")))
+
+    def cut(s: Column) -> Column:
+        """Places where a straight rest is cut: each piece the longest that its place is a multiple of, else the longest that fits."""
+        end = s["pos"] + s["dur"]
+
+        def one_more(acc: Column, _: Column) -> Column:
+            at = F.element_at(acc, -1)
+            fits = F.filter("values", lambda v: v <= end - at)
+            v = F.coalesce(F.get(F.filter("values", lambda v: (v <= end - at) & (at % v == 0)), F.lit(0)), F.get(fits, F.lit(0)), end - at)
+            return F.when(at < end, F.array_append(acc, at + v)).otherwise(acc)
+
+        # at most one piece of each type leads to a place that fits a longer one, and one leads down again
+        return F.aggregate(F.sequence(F.lit(1), F.lit(2 * len(TYPES))), F.array(s["pos"]), one_more)
+
+    def marked(s: Column, i: Column) -> Column:
+        triplet = s["triplet"]
+        begins = triplet & ~F.coalesce((i > 0) & beside(s, F.get("segments", F.greatest(i - 1, F.lit(0)))), F.lit(False))
+        ends = triplet & ~F.coalesce(beside(s, F.get("segments", i + 1)), F.lit(False))
+        straight = (F.size(s["pitches"]) == 0) & ~triplet
+        cuts = F.when(straight, cut(s)).otherwise(F.array(s["pos"], s["pos"] + s["dur"]))
+        pieces = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda p, k: item(p, F.get(cuts, k + 1) - p, s["pitches"]))
+        return F.transform(pieces, lambda p: F.struct(p["pos"].alias("pos"), p["dur"].alias("dur"), p["pitches"].alias("pitches"), triplet.alias("triplet"), begins.alias("begins"), ends.alias("ends")))
+
+    rows = rows.select("recording_id", "staff", "measure", "divisions", "names", F.explode(F.flatten(F.transform("segments", marked))).alias("x")).select("recording_id", "staff", "measure", "divisions", "names", "x.*")
+    name = printed(F.col("dur"), F.col("names"), F.col("triplet"))
+    return rows.withColumn("__n", name).select("recording_id", "staff", "measure", "divisions", "pos", "dur", "pitches", "__n.type", "__n.dots", "triplet", "begins", "ends")
 
 
 def measures(positions: DataFrame, beats_per_measure: int = 4) -> DataFrame:
-    """recording_id, measure (from 1), staff, notes: every measure of either staff, up to the last end."""
+    """recording_id, measure (from 1), staff, notes: every measure of either staff, up to the last end and start."""
     per = F.col("divisions") * beats_per_measure
-    sizes = positions.groupBy("recording_id").agg(F.greatest(F.lit(1), F.ceil(F.max(F.col("end_div") / per))).cast("int").alias("n"))
+    sizes = positions.groupBy("recording_id").agg(F.greatest(F.lit(1), F.ceil(F.max(F.col("end_div") / per)), F.floor(F.max(F.col("start_div") / per)) + 1).cast("int").alias("n"))
     grid = sizes.select("recording_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("measure")).select("recording_id", "measure", F.explode(F.array(F.lit(1), F.lit(2))).alias("staff"))
     own = positions.groupBy("recording_id", (F.floor(F.col("start_div") / per) + 1).cast("int").alias("measure"), "staff").agg(F.count("*").alias("notes"))
     return grid.join(own, ["recording_id", "measure", "staff"], "left").na.fill(0, ["notes"])

@@ -12,7 +12,7 @@ from cadenza.config import DEFAULT, Config
 from cadenza.functions.note import overall_confidence
 from cadenza.functions.pitch import midi_to_name
 from cadenza.operators.key import detect_key, spell
-from cadenza.operators.notation import midi_events, score_positions
+from cadenza.operators.notation import chord_layout, midi_events, score_positions, triplet_beats
 
 
 def csv_columns(notes: DataFrame) -> DataFrame:
@@ -75,70 +75,46 @@ def midi_files(notes: DataFrame, bpm: Column, config: Config = DEFAULT) -> DataF
     return rows.groupBy("recording_id").applyInPandas(build, "recording_id bigint, file binary")
 
 
-def chord_layout(positions: DataFrame, beats_per_measure: int = 4) -> DataFrame:
-    """recording_id, staff, measure, pos, dur, pitches: chords and rests (no pitches) that fill every measure of either staff.
+def musicxml(notes: DataFrame, period: Column, phase: Column, beats_per_measure: int = 4) -> DataFrame:
+    """recording_id, document: a two-staff score.
 
-    Notes at one position are a chord; a chord lasts until its longest note ends, the
-    next position or the measure's end, whichever is first.
+    Every note, measure and score is text made by column expressions; a document is one
+    value, so a recording's measures meet in one row at the end.
     """
-    per = F.col("divisions") * beats_per_measure
-    rows = positions.withColumn("measure", (F.floor(F.col("start_div") / per) + 1).cast("int")).withColumn("pos", (F.col("start_div") % per).cast("int"))
-    chords = rows.groupBy("recording_id", "divisions", "staff", "measure", "pos").agg(F.max(F.greatest(F.lit(1), F.col("end_div") - F.col("start_div"))).alias("long"), F.array_sort(F.collect_set("midi")).alias("pitches"))
-    chord = F.struct("pos", "long", "pitches")
-    own = chords.groupBy("recording_id", "staff", "measure").agg(F.array_sort(F.collect_list(chord)).alias("chords"))
-    last = positions.groupBy("recording_id", "divisions").agg(F.greatest(F.lit(1), F.ceil(F.max(F.col("end_div") / per))).cast("int").alias("n"))
-    grid = last.select("recording_id", "divisions", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("measure")).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("staff"))
-    rows = grid.join(own, ["recording_id", "staff", "measure"], "left").withColumn("size", per.cast("int"))
-    chords_ = F.coalesce("chords", F.expr("cast(array() as array<struct<pos:int,long:bigint,pitches:array<int>>>)"))
-    kind = "array<struct<pos:int,dur:int,pitches:array<int>>>"
-
-    def item(pos: Column, dur: Column, pitches: Column) -> Column:
-        return F.struct(pos.cast("int").alias("pos"), dur.cast("int").alias("dur"), pitches.alias("pitches"))
-
-    rows = rows.withColumn("chords", chords_)
-    nothing = F.expr("cast(array() as array<int>)")
-    # each chord, with the rest in front of the first and the one behind each
-    first = F.coalesce(F.try_element_at("chords", F.lit(1))["pos"], F.col("size"))
-    lead = F.when(first > 0, F.array(item(F.lit(0), first, nothing))).otherwise(F.expr(f"cast(array() as {kind})"))
-
-    def place(c: Column, i: Column) -> Column:
-        until = F.coalesce(F.get("chords", i + 1)["pos"], F.col("size"))
-        dur = F.least(c["long"], until - c["pos"]).cast("int")
-        rest = until - c["pos"] - dur
-        sound = item(c["pos"], dur, c["pitches"])
-        return F.when(rest > 0, F.array(sound, item(c["pos"] + dur, rest, nothing))).otherwise(F.array(sound))
-
-    return rows.select("recording_id", "staff", "measure", "divisions", F.explode(F.concat(lead, F.flatten(F.transform("chords", place)))).alias("x")).select("recording_id", "staff", "measure", "divisions", "x.*")
-
-
-# fixed values: note types by their length in quarters
-TYPES = [(4.0, "whole"), (2.0, "half"), (1.0, "quarter"), (0.5, "eighth"), (0.25, "16th"), (0.125, "32nd")]
-
-
-def musicxml(notes: DataFrame, period: Column, phase: Column, beats_per_measure: int = 4) -> DataFrame:
-    """recording_id, document: a two-staff score. A document is one value, so a recording is one group; layout and spelling are columns before it."""
     positions = score_positions(notes, period, phase, beats_per_measure)
-    layout = chord_layout(positions, beats_per_measure)
-    keys = detect_key(notes)
-    pitched = layout.withColumn("midi", F.explode_outer("pitches"))
-    spelled = spell(pitched, keys).join(keys.select("recording_id", "fifths"), "recording_id")
-
-    def element(pdf: pd.DataFrame) -> pd.DataFrame:
-        divisions, out, place = int(pdf["divisions"].iloc[0]), [], (0, 0, -1)
-        out.append('<?xml version="1.0" encoding="UTF-8"?><score-partwise version="3.1"><part-list><score-part id="P1"><part-name>Piano</part-name></score-part></part-list><part id="P1">')
-        rows = pdf.sort_values(["measure", "staff", "pos", "midi"])
-        for measure, staff, pos, dur, midi, step, alter, octave in zip(*(rows[c].tolist() for c in ("measure", "staff", "pos", "dur", "midi", "step", "alter", "octave"))):
-            if measure != place[0]:
-                out.append(("</measure>" if place[0] else "") + f'<measure number="{measure}">')
-                if measure == 1:
-                    out.append(f'<attributes><divisions>{divisions}</divisions><key><fifths>{int(pdf["fifths"].iloc[0])}</fifths></key><time><beats>{beats_per_measure}</beats><beat-type>4</beat-type></time><staves>2</staves></attributes>')
-            if staff == 2 and place[:2] != (measure, 2):
-                out.append(f"<backup><duration>{divisions * beats_per_measure}</duration></backup>")
-            kind = next((name for length, name in TYPES if dur / divisions >= length), TYPES[-1][1])
-            what = "<rest/>" if pd.isna(midi) else ("<chord/>" if place == (measure, staff, pos) else "") + f"<pitch><step>{step}</step><alter>{int(alter)}</alter><octave>{int(octave)}</octave></pitch>"
-            out.append(f"<note>{what}<duration>{dur}</duration><voice>{staff}</voice><type>{kind}</type><staff>{staff}</staff></note>")
-            place = (measure, staff, pos)
-        out.append("</measure></part></score-partwise>")
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "document": ["".join(out)]})
-
-    return spelled.groupBy("recording_id").applyInPandas(element, "recording_id bigint, document string")
+    layout = chord_layout(positions, triplet_beats(notes, period, phase), beats_per_measure)
+    keys = detect_key(notes).select("recording_id", "tonic_pc", "mode", "fifths")
+    rows = layout.select("*", F.posexplode_outer("pitches").alias("i", "midi"))
+    rows = spell(rows, keys)
+
+    def tag(name: str, *inner: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>"), *(x.cast("string") for x in inner), F.lit(f"</{name}>"))
+
+    def when(condition: Column, text: Column) -> Column:
+        return F.when(condition, text).otherwise("")
+
+    pitch = tag("pitch", tag("step", F.col("step")), when(F.col("alter") != 0, tag("alter", F.col("alter"))), tag("octave", F.col("octave")))
+    head = F.when(F.col("midi").isNull(), F.lit("<rest/>")).otherwise(F.concat(when(F.col("i") > 0, F.lit("<chord/>")), pitch))
+    third = F.lit("<time-modification><actual-notes>3</actual-notes><normal-notes>2</normal-notes><normal-type>eighth</normal-type></time-modification>")
+    lead = F.coalesce(F.col("i"), F.lit(0)) == 0
+    brackets = tag("notations", when(F.col("begins"), F.lit('<tuplet type="start" bracket="yes"/>')), when(F.col("ends"), F.lit('<tuplet type="stop"/>')))
+    note = tag("note", head, tag("duration", F.col("dur")), tag("voice", F.col("staff")), tag("type", F.col("type")), F.repeat(F.lit("<dot/>"), F.col("dots")), when(F.col("triplet"), third), tag("staff", F.col("staff")), when(lead & (F.col("begins") | F.col("ends")), brackets))
+    rows = rows.withColumn("xml", note)
+    staves = rows.groupBy("recording_id", "divisions", "measure").agg(F.array_sort(F.collect_list(F.struct("staff", "pos", "i", "xml"))).alias("xs"))
+
+    def staff(k: int) -> Column:
+        return F.array_join(F.transform(F.filter("xs", lambda x: x["staff"] == k), lambda x: x["xml"]), "")
+
+    back = tag("backup", tag("duration", F.col("divisions") * beats_per_measure))
+    staves = staves.select("recording_id", "divisions", "measure", F.concat(staff(1), back, staff(2)).alias("xml"))
+    scores = staves.groupBy("recording_id", "divisions").agg(F.array_sort(F.collect_list(F.struct("measure", "xml"))).alias("xs"))
+    scores = scores.join(keys, "recording_id").join(notes.groupBy("recording_id").agg(F.max(60 / period).alias("bpm")), "recording_id")
+    clefs = F.lit('<staves>2</staves><clef number="1"><sign>G</sign><line>2</line></clef><clef number="2"><sign>F</sign><line>4</line></clef>')
+    key = tag("key", tag("fifths", F.col("fifths")), tag("mode", F.col("mode")))
+    time = tag("time", tag("beats", F.lit(beats_per_measure)), tag("beat-type", F.lit(4)))
+    pace = F.rint("bpm").cast("int").cast("string")
+    tempo = F.concat(F.lit('<direction placement="above"><direction-type><metronome><beat-unit>quarter</beat-unit><per-minute>'), pace, F.lit('</per-minute></metronome></direction-type><sound tempo="'), pace, F.lit('"/></direction>'))
+    opening = F.concat(tag("attributes", tag("divisions", F.col("divisions")), key, time, clefs), tempo)
+    measures = F.transform("xs", lambda x: F.concat(F.lit('<measure number="'), x["measure"].cast("string"), F.lit('">'), F.when(x["measure"] == 1, opening).otherwise(""), x["xml"], F.lit("</measure>")))
+    before = '<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE score-partwise PUBLIC "-//Recordare//DTD MusicXML 3.1 Partwise//EN" "http://www.musicxml.org/dtds/partwise.dtd"><score-partwise version="3.1"><part-list><score-part id="P1"><part-name>Piano</part-name></score-part></part-list><part id="P1">'
+    return scores.select("recording_id", F.concat(F.lit(before), F.array_join(measures, ""), F.lit("</part></score-partwise>")).alias("document"))

@@ -104,7 +104,8 @@ def test_clicks_are_heard(spark):
 
 def test_every_measure_is_full(spark):
     rows = notes(spark, [(48, 0, 2), (60, 0, 0.5), (64, 0, 0.5), (67, 0.5, 0.9), (72, 0.75, 1.5), (50, 2, 4)], hand=["left", "right", "right", "right", "right", "left"])
-    layout = sinks.chord_layout(notation.score_positions(rows, F.lit(0.5), F.lit(0.0))).groupBy("measure", "staff", "divisions").agg(F.sum("dur").alias("d")).collect()
+    positions, thirds = notation.score_positions(rows, F.lit(0.5), F.lit(0.0)), notation.triplet_beats(rows, F.lit(0.5), F.lit(0.0))
+    layout = notation.chord_layout(positions, thirds).groupBy("measure", "staff", "divisions").agg(F.sum("dur").alias("d")).collect()
     assert len(layout) == 4 and all(r.d == r.divisions * 4 for r in layout)
     score = ET.fromstring(sinks.musicxml(rows, F.lit(0.5), F.lit(0.0)).first().document.split("?>", 1)[1])
     for measure in score.iter("measure"):
