@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from cadenza.functions import note as note_fn
 from cadenza.functions import pitch
 from cadenza.operators import bars, hands, key, lanes, matching, notation, refine, tempo, verify
-from cadenza.sources import sinks, views
+from cadenza.plans import analysis
+from cadenza.sources import pieces, sinks, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -706,4 +707,10 @@ def bar_notes(spark, sf_dir):
     """Bars that fall through the lanes of the signal: a lit frame is a bar's lower end, eight frames above the line."""
     lane = views.lane_signal(spark, sf_dir)
     runs = lane.filter("lit >= 0").select("recording_id", "midi", "frame", "t_us", (F.col("frame") % 8 * 40.0).alias("y_top"), (F.col("frame") % 8 * 40.0 + 40 * F.col("fill")).alias("y_bottom"))
-    return bars.bar_notes(runs, 320.0, 2400.0)
+    return bars.bar_notes(runs, 320.0, 2400.0).withColumn("issues", F.array_join("issues", ";"))
+
+
+@query()
+def ground_truth(spark, sf_dir):
+    """The demo piece, drawn at 60 and 30 frames a second, read back by both detectors and scored."""
+    return analysis.ground_truth(spark, pieces.as_table(spark, pieces.demo_piece()), 9.6)

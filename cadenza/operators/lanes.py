@@ -146,7 +146,7 @@ def dedupe(events: DataFrame, gap_us: int = DEFAULT.restrike_us) -> DataFrame:
 
 
 def lane_notes(lane: DataFrame, attacks: DataFrame | None = None, frame_us: int = 16_667, config: Config = DEFAULT) -> DataFrame:
-    """recording_id, midi, start_us, end_us, color_cluster, peak_fill, detection_confidence, restrike: the notes of lit keys.
+    """recording_id, midi, start_us, end_us, color_cluster, peak_fill, restrike, and detection, pitch, timing and duration confidence: the notes of lit keys.
 
     Islands with sub-frame ends, split at troughs and at tripwire edges (those near
     an attack, where there are attacks), with hits closer than a restrike joined.
@@ -179,7 +179,13 @@ def lane_notes(lane: DataFrame, attacks: DataFrame | None = None, frame_us: int
 
     kind = "array<struct<s:bigint,e:bigint,color_cluster:int,peak_fill:double,sure:double,again:boolean>>"
     joined = hits.select(*LANE, F.explode(F.aggregate("xs", F.expr(f"cast(array() as {kind})"), join)).alias("x"))
-    return joined.select(*LANE, F.col("x.s").alias("start_us"), F.col("x.e").alias("end_us"), "x.color_cluster", "x.peak_fill", F.col("x.sure").alias("detection_confidence"), F.col("x.again").alias("restrike"))
+    return joined.select(*LANE, F.col("x.s").alias("start_us"), F.col("x.e").alias("end_us"), "x.color_cluster", "x.peak_fill", F.col("x.sure").alias("detection_confidence"), F.lit(1.0).alias("pitch_confidence"), F.lit(0.7).alias("timing_confidence"), F.lit(0.8).alias("duration_confidence"), F.col("x.again").alias("restrike"))
+
+
+def attach_lanes(notes: DataFrame, layout: DataFrame) -> DataFrame:
+    """notes with lane_x, the centre of their pitch's lane, null where the layout has none; layout is one keyboard of at most 128 rows."""
+    lanes_ = layout.groupBy("midi").agg(F.min("center").alias("lane_x"))
+    return notes.drop("lane_x").join(F.broadcast(lanes_), "midi", "left").select(*(c for c in notes.columns if c != "lane_x"), "lane_x")
 
 
 def fall_speed(edges: DataFrame, strike: float, band: float = 0.02) -> DataFrame:

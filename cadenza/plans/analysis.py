@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
-from cadenza.operators import hands, key, matching, refine, tempo, verify
+from cadenza.operators import bars, hands, key, lanes, matching, notation, refine, tempo, verify, vision
+from cadenza.sources import frames
 
 
 @dataclass
@@ -62,3 +64,28 @@ def analyse(notes: DataFrame, attacks: DataFrame | None = None, truth: DataFrame
         report=verify.report(rows, config=config),
         accuracy=matching.accuracy(rows, truth, config) if truth is not None else None,
     )
+
+
+def ground_truth(spark: SparkSession, truth: DataFrame, seconds: float, rates: tuple[int, ...] = (60, 30), width: int = 640, height: int = 160, speed: float = 160.0) -> DataFrame:
+    """fps, detector and the accuracy of each: known notes (one recording) drawn as frames, read by lit keys and by falling bars, and scored.
+
+    Notes of both detectors stand in one table of recordings (twice the frame rate's
+    place, and one more for bars), so one comparison scores all.
+    """
+    layout = notation.even_lanes(spark, float(width))
+    found, names = None, []
+    for i, fps in enumerate(rates):
+        frame_us = round(1e6 / fps)
+        pictures = frames.render(spark, truth, layout, seconds, fps, width, height, speed)
+        clusters = _kept(vision.hue_peaks(vision.hue_histogram(pictures)))
+        lit = lanes.lane_notes(vision.key_lights(pictures, layout, clusters), frame_us=frame_us)
+        falling = bars.bar_notes(bars.lane_runs(pictures, layout), height * (1 - frames.KEYS_SHARE), speed, frame_us=frame_us)
+        for j, (name, rows) in enumerate((("key_lights", lit), ("bars", falling))):
+            rows = rows.select(F.lit(2 * i + j).cast("bigint").alias("recording_id"), "midi", "start_us", "end_us")
+            found = rows if found is None else found.unionByName(rows)
+            names.append((2 * i + j, fps, name))
+    order = Window.partitionBy("recording_id").orderBy("start_us", "midi", "end_us")
+    found = _kept(found.withColumn("note_id", F.row_number().over(order).cast("bigint")))
+    runs = spark.createDataFrame(names, "recording_id bigint, fps int, detector string")
+    wanted = truth.drop("recording_id").crossJoin(F.broadcast(runs.select("recording_id")))  # the piece once a run, four in all
+    return runs.join(matching.accuracy(found, wanted), "recording_id").drop("recording_id")

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "recording_id bigint, frame int, t_us bigint, width int, height int, pixels binary"
-# fixed values: the drawing's colours and proportions
-LEFT, RIGHT, BACK = (46, 158, 232), (196, 86, 134), 12
+# the drawing's colours and proportions
+LEFT, RIGHT, BACK = (40, 150, 225), (90, 200, 80), 12
 WHITE_KEY, BLACK_KEY = 235, 22
 KEYS_SHARE, BLACK_SHARE = 0.25, 0.62
 
