@@ -26,6 +26,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later job reads, by the file system that it is on."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def compact(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
     """A saved df in as many partitions as its rows need, without a shuffle, and its number of rows.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import decontamination, language_id, mixing, near_dedup, substring_dedup
 from cadenza.llm.queries import small_batches
-from cadenza.llm.storage import saved, shared_folder
+from cadenza.llm.storage import removed, saved, shared_folder
 
 #: Ids that are broadcast to the documents, at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -86,7 +86,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over the documents; each stage's rows are written to the shared folder and read again, and go once the next stage's are there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     place = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES):
@@ -94,4 +94,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{place}/{k}")
             docs = spark.read.parquet(f"{place}/{k}")
+            if k:
+                removed(spark, f"{place}/{k - 1}")  # nothing reads it any more
     return docs
