@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import note as note_fn
 from cadenza.functions import pitch
-from cadenza.operators import bars, hands, key, lanes, matching, notation, refine, tempo, verify
+from cadenza.operators import bars, hands, key, lanes, matching, notation, refine, tempo, verify, vision
 from cadenza.plans import analysis
 from cadenza.sources import pieces, sinks, views
 
@@ -314,7 +314,20 @@ def consolidate_durations(spark, sf_dir):
     return refine.consolidate_durations(views.notes(spark, sf_dir)).select("note_id", "end_us", "duration_confidence", "moved")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NOTES}, {ATTACKS}, gaps AS (SELECT recording_id, attack_us - lag(attack_us) OVER (PARTITION BY recording_id ORDER BY attack_us) AS gap FROM attacks),
+reach AS (SELECT recording_id, CAST(CASE WHEN count(*) >= 3 THEN greatest(60000, least(110000, floor(0.45::DOUBLE * median(gap)))) ELSE 90000 END AS BIGINT) AS tol FROM gaps GROUP BY recording_id),
+near AS (SELECT n.note_id, list_sort(list(DISTINCT {{'d': abs(attack_us - start_us), 'a': attack_us}})) AS options FROM notes n JOIN reach r ON r.recording_id = n.recording_id
+  JOIN attacks a ON a.recording_id = n.recording_id AND attack_us >= start_us - tol AND attack_us < start_us + tol GROUP BY n.note_id),
+turn AS (SELECT n.*, options, row_number() OVER (PARTITION BY recording_id ORDER BY start_us, midi, n.note_id) AS k FROM notes n JOIN near USING (note_id)),
+walk AS (
+  SELECT recording_id, 0::BIGINT AS k, []::STRUCT(a BIGINT, m INT, s BIGINT)[] AS claims, NULL::BIGINT AS note_id, NULL::BIGINT AS pick FROM (SELECT DISTINCT recording_id FROM turn)
+  UNION ALL
+  SELECT recording_id, k, CASE WHEN pick IS NULL THEN live ELSE list_append(live, {{'a': pick, 'm': midi, 's': coalesce(list_min(list_transform(list_filter(live, lambda c: c.a = pick), lambda c: c.s)), start_us)}}) END, note_id, pick FROM (
+    SELECT *, list_filter(options, lambda o: len(list_filter(live, lambda c: c.a = o.a AND (abs(c.m - midi) <= 2 OR abs(start_us - c.s) > 45000))) = 0)[1].a AS pick FROM (
+      SELECT t.*, list_filter(w.claims, lambda c: c.a >= t.start_us - 110000) AS live FROM walk w JOIN turn t ON t.recording_id = w.recording_id AND t.k = w.k + 1)))
+SELECT n.note_id, CASE WHEN moved THEN pick ELSE start_us END AS start_us, CASE WHEN moved THEN pick + greatest(0, end_us - start_us) ELSE end_us END AS end_us,
+  CASE WHEN moved THEN least(1, greatest(timing_confidence, 0.9)) ELSE timing_confidence END AS timing_confidence, moved AS snapped
+FROM (SELECT n.*, pick, coalesce(abs(pick - start_us) > 100, false) AS moved FROM notes n LEFT JOIN walk w ON w.note_id = n.note_id) n""")
 def snap_onsets(spark, sf_dir):
     notes = views.notes(spark, sf_dir)
     return refine.snap_onsets(notes, views.attacks(notes)).select("note_id", "start_us", "end_us", "timing_confidence", "snapped")
@@ -522,11 +535,15 @@ def score_measures(spark, sf_dir):
     return notation.measures(notation.score_positions(views.notes(spark, sf_dir), F.lit(PERIOD), F.lit(PHASE)))
 
 
-@query(f"""WITH {NOTES}, e AS (
+_EVENTS = """e AS (
   SELECT recording_id, note_id, midi, CASE WHEN hand = 'left' THEN 0 ELSE 1 END AS channel, CAST(round_even(start_us/500000.0::DOUBLE*960, 0) AS BIGINT) AS tick, 1 AS prio, 80 AS velocity FROM notes
-  UNION ALL SELECT recording_id, note_id, midi, CASE WHEN hand = 'left' THEN 0 ELSE 1 END, CAST(round_even(end_us/500000.0::DOUBLE*960, 0) AS BIGINT), 0, 0 FROM notes)
-SELECT recording_id, row_number() OVER w AS seq, tick, greatest(0, tick - coalesce(lag(tick) OVER w, 0)) AS delta, CASE WHEN prio = 1 THEN 'on' ELSE 'off' END AS kind, channel, midi, velocity
-FROM e WINDOW w AS (PARTITION BY recording_id ORDER BY tick, prio, midi, note_id)""")
+  UNION ALL SELECT recording_id, note_id, midi, CASE WHEN hand = 'left' THEN 0 ELSE 1 END, CAST(round_even(end_us/500000.0::DOUBLE*960, 0) AS BIGINT), 0, 0 FROM notes
+), events AS (
+  SELECT recording_id, row_number() OVER w AS seq, tick, greatest(0, tick - coalesce(lag(tick) OVER w, 0)) AS delta, CASE WHEN prio = 1 THEN 'on' ELSE 'off' END AS kind, channel, midi, velocity
+  FROM e WINDOW w AS (PARTITION BY recording_id ORDER BY tick, prio, midi, note_id))"""
+
+
+@query(f"WITH {NOTES}, {_EVENTS} SELECT * FROM events")
 def midi_events(spark, sf_dir):
     return notation.midi_events(views.notes(spark, sf_dir), F.lit(BPM))
 
@@ -539,9 +556,13 @@ def csv_rows(spark, sf_dir):
     return sinks.csv_columns(views.notes(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {NOTES}, {_EVENTS}, bytes AS (SELECT recording_id, seq, CASE WHEN delta < 128 THEN '' WHEN delta < 16384 THEN printf('%02X', 128 + (delta >> 7)) WHEN delta < 2097152 THEN printf('%02X%02X', 128 + (delta >> 14), 128 + ((delta >> 7) & 127))
+    ELSE printf('%02X%02X%02X', 128 + (delta >> 21), 128 + ((delta >> 14) & 127), 128 + ((delta >> 7) & 127)) END || printf('%02X%02X%02X%02X', delta & 127, CASE WHEN kind = 'on' THEN 144 ELSE 128 END + channel, midi, velocity) AS x FROM events),
+tracks AS (SELECT recording_id, '00FF510307A120' || '00FF580404021808' || string_agg(x, '' ORDER BY seq) || '00FF2F00' AS track FROM bytes GROUP BY recording_id)
+SELECT recording_id, '4D546864000000060000000103C04D54726B' || printf('%08X', length(track)//2) || track AS file FROM tracks""")
 def midi_files(spark, sf_dir):
-    return sinks.midi_files(views.notes(spark, sf_dir), F.lit(BPM))
+    """The files' bytes in hexadecimal digits."""
+    return sinks.midi_files(views.notes(spark, sf_dir), F.lit(BPM)).select("recording_id", F.hex("file").alias("file"))
 
 
 @query()
@@ -687,6 +708,36 @@ def sounding_notes(spark, sf_dir):
     return rows.groupBy("recording_id", "t_us").agg(F.count("*").alias("sounding"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("midi", "note_id"))), lambda x: x["midi"]), ";").alias("pitches"))
 
 
+@query(f"""WITH {NOTES}, v AS (SELECT recording_id, min(start_us) AS a, max(end_us) AS z FROM notes GROUP BY recording_id),
+lines AS (SELECT recording_id, a, z, unnest(range(CAST(floor(a/1e6/0.5) AS BIGINT), CAST(ceil(z/1e6/0.5) AS BIGINT) + 1)) AS beat FROM v)
+SELECT recording_id, beat, beat*500000 AS t_us, beat % 4 = 0 AS measure FROM lines WHERE beat*500000 >= a AND beat*500000 < z""")
+def ruler(spark, sf_dir):
+    """The grid lines of every recording from its first onset to its last end."""
+    spans = views.notes(spark, sf_dir).groupBy("recording_id").agg(F.min("start_us").alias("from_us"), F.max("end_us").alias("to_us"))
+    return notation.beat_lines(spans, spans.select("recording_id", F.lit(PERIOD).alias("period"), F.lit(PHASE).alias("phase")))
+
+
+@query(f"""WITH {NOTES}, {LANE} SELECT note_id, greatest(0, coalesce((SELECT max(fill) FROM lane l WHERE l.recording_id = n.recording_id AND l.midi = n.midi AND l.t_us >= n.start_us - 1000000 AND l.t_us <= n.start_us - 50000), 0)) AS roll_support FROM notes n""")
+def roll_support(spark, sf_dir):
+    lane = views.lane_signal(spark, sf_dir).withColumn("roll", F.col("fill"))
+    return refine.roll_support(views.notes(spark, sf_dir), lane).select("note_id", "roll_support")
+
+
+@query(f"""WITH {LANE}, f AS (SELECT recording_id, frame, max(lit) AS lit FROM lane GROUP BY recording_id, frame)
+SELECT recording_id, count(*) FILTER (WHERE lit >= 0) AS lit_frames, count(*) FILTER (WHERE lit >= 0) >= greatest(2, floor(count(*)*0.25)) AS applicable FROM f GROUP BY recording_id""")
+def key_lights_applicable(spark, sf_dir):
+    return vision.applicable(views.lane_signal(spark, sf_dir))
+
+
+@query(f"""WITH {NOTES}, {ATTACKS}, moves AS (SELECT recording_id, attack_us AS now, lag(attack_us) OVER (PARTITION BY recording_id ORDER BY attack_us) AS before FROM (SELECT DISTINCT * FROM attacks))
+SELECT m.recording_id, now AS t_us, note_id FROM moves m JOIN notes n ON n.recording_id = m.recording_id AND n.start_us > m.before AND n.start_us <= m.now""")
+def playback_triggers(spark, sf_dir):
+    """The notes that start as playback goes from attack to attack."""
+    notes = views.notes(spark, sf_dir)
+    times = _attack_times(notes).withColumn("before_us", F.lag("t_us").over(Window.partitionBy("recording_id").orderBy("t_us")))
+    return matching.triggered_at(notes, times).select("recording_id", "t_us", "note_id")
+
+
 @query(f"""WITH {NOTES}, p AS (SELECT DISTINCT recording_id, midi, start_us + (note_id*7)%100000 - 50000 AS t_us FROM notes)
 SELECT p.*, (SELECT arg_min(note_id, (start_us, note_id)) FROM notes n WHERE n.recording_id = p.recording_id AND n.midi = p.midi AND p.t_us >= start_us - 20000 AND p.t_us <= end_us + 20000) AS note_id FROM p""")
 def note_hit_test(spark, sf_dir):

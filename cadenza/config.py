@@ -67,3 +67,26 @@ class Config:
 
 
 DEFAULT = Config()
+
+
+@dataclass(frozen=True)
+class Preset:
+    """How wide frames are read (None: as they are), and of how many observations one is kept for verification."""
+
+    name: str
+    width: int | None
+    stride: int
+
+    def scaled(self, native: int) -> tuple[int, float]:
+        """The width that frames of a native width are read at, and its share of it; nothing is scaled up."""
+        width = native if self.width is None else min(self.width, native)
+        return width, width / native
+
+
+# fixed values: name, width, stride
+PRESETS = {p.name: p for p in (Preset("fast", 854, 8), Preset("balanced", 1280, 4), Preset("maximum", None, 2))}
+
+
+def preset(name: str) -> Preset:
+    """A preset by name; balanced for names that aren't known."""
+    return PRESETS.get(name, PRESETS["balanced"])

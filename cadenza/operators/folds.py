@@ -72,7 +72,7 @@ def carried(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], keep:
                     current, state = row[0], start()
                 state, values = step(state, *row[1])
                 found.append(values)
-            columns = {c: pdf[c] for c in (*by, *keep)} | dict(zip(names[len(by) + len(keep) :], map(list, zip(*found))))
+            columns = {c: pdf[c] for c in (*by, *keep)} | {c: pd.Series(list(x), index=pdf.index, dtype=object) for c, x in zip(names[len(by) + len(keep) :], zip(*found))}
             yield pd.DataFrame(columns, columns=names)
 
     needed = dict.fromkeys([*by, *order, *keep, *given])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
 from cadenza.functions.note import bar, sounding
+from cadenza.operators.folds import carried
 
 
 def nearest(left: DataFrame, right: DataFrame, at: str, other: str, by: str = "recording_id", name: str = "nearest_us") -> DataFrame:
@@ -76,25 +77,31 @@ def compare_lanes(predicted: DataFrame, detected: DataFrame, config: Config = DE
 
 
 def greedy_truth(notes: DataFrame, truth: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """note_id, truth_id, recording_id, midi, errors: notes in the order of their start each take the nearest unused truth.
+    """recording_id, midi, note_id, truth_id, onset_us, duration_us: notes in the order of their start each take the nearest unused truth.
 
-    Pitches don't compete, so a pitch of a recording is one ordered fold; it stays
-    in the JVM, over as many rows as one key has notes.
+    Notes meet the truths in reach in time buckets, and each pitch of a recording is
+    gone along in order, with the used truths in reach carried on.
     """
     tolerance = config.truth_tol_us
-    mine = notes.groupBy("recording_id", "midi").agg(F.array_sort(F.collect_list(F.struct("start_us", "note_id", "end_us"))).alias("ns"))
-    theirs = truth.groupBy("recording_id", "midi").agg(F.array_sort(F.collect_list(F.struct("start_us", "truth_id", "end_us"))).alias("ts"))
-    start = F.struct(F.col("ts").alias("free"), F.expr("cast(array() as array<struct<note_id:bigint,truth_id:bigint,onset_us:bigint,duration_us:bigint>>)").alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        near = F.filter(acc["free"], lambda t: F.abs(t["start_us"] - n["start_us"]) < tolerance)
-        ranked = F.array_min(F.transform(near, lambda t: F.struct(F.abs(t["start_us"] - n["start_us"]).alias("d"), t.alias("t"))))
-        t = ranked["t"]
-        row = F.struct(n["note_id"].alias("note_id"), t["truth_id"].alias("truth_id"), ranked["d"].alias("onset_us"),
-                       F.abs((t["end_us"] - t["start_us"]) - F.greatest(F.lit(0), n["end_us"] - n["start_us"])).alias("duration_us"))
-        return F.when(ranked.isNull(), acc).otherwise(F.struct(F.filter(acc["free"], lambda x: x["truth_id"] != t["truth_id"]).alias("free"), F.array_append(acc["out"], row).alias("out")))
-
-    return mine.join(theirs, ["recording_id", "midi"]).select("recording_id", "midi", F.explode(F.aggregate("ns", start, step, lambda acc: acc["out"])).alias("m")).select("recording_id", "midi", "m.*")
+    bucket = F.floor(F.col("start_us") / tolerance)
+    mine = notes.select("recording_id", "midi", "note_id", "start_us", "end_us", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b"))
+    theirs = truth.select("recording_id", "midi", "truth_id", F.col("start_us").alias("t_start"), F.col("end_us").alias("t_end"), bucket.alias("__b"))
+    away = F.abs(F.col("t_start") - F.col("start_us"))
+    near = mine.join(theirs, ["recording_id", "midi", "__b"]).filter(away < tolerance)
+    option = F.struct(away.alias("away"), "t_start", "truth_id", "t_end")
+    listed = near.groupBy("recording_id", "midi", "note_id", "start_us", "end_us").agg(F.array_sort(F.collect_list(option)).alias("options"))
+
+    def step(used, start_us, end_us, options):
+        used = {t: at for t, at in used.items() if at > start_us - tolerance}
+        o = next((o for o in options if o["truth_id"] not in used), None)
+        if o is None:
+            return used, (None, None, None)
+        used[o["truth_id"]] = o["t_start"]
+        return used, (o["truth_id"], o["away"], abs(o["t_end"] - o["t_start"] - max(0, end_us - start_us)))
+
+    kinds = "truth_id bigint, onset_us bigint, duration_us bigint"
+    found = carried(listed, ("recording_id", "midi"), ("start_us", "note_id", "end_us"), ("note_id",), ("start_us", "end_us", "options"), dict, step, kinds)
+    return found.filter(F.col("truth_id").isNotNull())
 
 
 def accuracy(notes: DataFrame, truth: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -136,6 +143,18 @@ def sounding_at(notes: DataFrame, times: DataFrame) -> DataFrame:
     return spread.join(moments, ["recording_id", "__bucket"]).filter(sounding(F.col("t_us"))).drop("__bucket")
 
 
+def triggered_at(notes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Each note with the move (recording_id, before_us, t_us) of playback that starts it: the next t_us at or behind its start.
+
+    One sort of both sides together, so no pairs are made; the moves of a recording follow each other.
+    """
+    mine = notes.select("recording_id", "note_id", F.col("start_us").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast("struct<before_us:bigint,t_us:bigint>").alias("__m"))
+    theirs = moves.select("recording_id", F.lit(None).cast("bigint").alias("note_id"), F.col("t_us").alias("__t"), F.lit(1).alias("__side"), F.struct("before_us", "t_us").alias("__m"))
+    ahead = Window.partitionBy("recording_id").orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
+    both = mine.unionByName(theirs).withColumn("__m", F.first("__m", ignorenulls=True).over(ahead)).filter(F.col("note_id").isNotNull())
+    return both.filter(F.col("__t") > F.col("__m.before_us")).select("recording_id", "note_id", "__m.*")
+
+
 def nearest_lane(points: DataFrame, lanes: DataFrame, prefer_black: Column | None = None) -> DataFrame:
     """points (x) with midi and confidence: the lane whose centre is nearest, distances of the other colour counting 1.6 times.
 

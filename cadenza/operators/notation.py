@@ -214,10 +214,26 @@ def measures(positions: DataFrame, beats_per_measure: int = 4) -> DataFrame:
     return grid.join(own, ["recording_id", "measure", "staff"], "left").na.fill(0, ["notes"])
 
 
-def midi_events(notes: DataFrame, bpm: Column, config: Config = DEFAULT) -> DataFrame:
-    """recording_id, seq, tick, delta, kind (off before on), channel, midi, velocity: a recording's event stream.
+def beat_lines(views: DataFrame, tempo: DataFrame, beats_per_measure: int = 4) -> DataFrame:
+    """recording_id, beat, t_us, measure: the grid lines of each view (recording_id, from_us, to_us, the end outside); measure marks a measure's first beat.
+
+    tempo: recording_id, period and phase in seconds.
+    """
+    rows = views.join(tempo.select("recording_id", "period", "phase"), "recording_id")
+    first = F.floor((F.col("from_us") / 1e6 - F.col("phase")) / F.col("period"))
+    last = F.ceil((F.col("to_us") / 1e6 - F.col("phase")) / F.col("period"))
+    rows = rows.filter(F.col("to_us") > F.col("from_us")).withColumn("beat", F.explode(F.sequence(first, last)))
+    rows = rows.withColumn("t_us", F.rint((F.col("phase") + F.col("beat") * F.col("period")) * 1e6).cast("bigint"))
+    seen = rows.filter((F.col("t_us") >= F.col("from_us")) & (F.col("t_us") < F.col("to_us")))
+    return seen.select("recording_id", "beat", "t_us", (F.pmod("beat", F.lit(beats_per_measure)) == 0).alias("measure"))
+
+
+def midi_events(notes: DataFrame, bpm: Column, config: Config = DEFAULT, pedals: DataFrame | None = None) -> DataFrame:
+    """recording_id, seq, tick, delta, kind (off before on before pedal), channel, midi, velocity: a recording's event stream.
 
     Left is channel 0, all other hands channel 1; pitches outside 0..127 have no events.
+    pedals (recording_id, t_us, down) are events of controller 64 on channel 1, with 127 or 0,
+    at the tempo of their recording's notes.
     """
     beat = 60_000_000 / bpm
 
@@ -229,9 +245,15 @@ def midi_events(notes: DataFrame, bpm: Column, config: Config = DEFAULT) -> Data
     on = F.struct(tick(F.col("start_us")).alias("tick"), F.lit(1).alias("prio"), velocity.alias("velocity"))
     off = F.struct(tick(F.col("end_us")).alias("tick"), F.lit(0).alias("prio"), F.lit(0).alias("velocity"))
     rows = notes.filter(F.col("midi").between(0, 127)).select("recording_id", "note_id", "midi", channel.alias("channel"), F.explode(F.array(on, off)).alias("e")).select("*", "e.*")
-    line = Window.partitionBy("recording_id").orderBy("tick", "prio", "midi", "note_id")
+    rows = rows.select("recording_id", "note_id", "midi", "channel", "tick", "prio", "velocity")
+    if pedals is not None:
+        pace = notes.groupBy("recording_id").agg(F.max(beat).alias("__beat"))
+        at = F.rint(F.col("t_us") / F.col("__beat") * config.ppq).cast("bigint")
+        value = F.when(F.col("down"), 127).otherwise(0)
+        rows = rows.unionByName(pedals.join(pace, "recording_id").select("recording_id", F.lit(None).cast("bigint").alias("note_id"), F.lit(64).alias("midi"), F.lit(1).alias("channel"), at.alias("tick"), F.lit(2).alias("prio"), value.alias("velocity")))
+    line = Window.partitionBy("recording_id").orderBy("tick", "prio", "midi", "note_id", "velocity")
     return rows.select("recording_id", F.row_number().over(line).alias("seq"), "tick", F.greatest(F.lit(0), F.col("tick") - F.coalesce(F.lag("tick").over(line), F.lit(0))).alias("delta"),
-                       F.when(F.col("prio") == 1, "on").otherwise("off").alias("kind"), "channel", "midi", "velocity")
+                       F.when(F.col("prio") == 1, "on").when(F.col("prio") == 0, "off").otherwise("pedal").alias("kind"), "channel", "midi", "velocity")
 
 
 def even_lanes(spark, width: float = 1280.0, low: int = 21, high: int = 108) -> DataFrame:
@@ -245,3 +267,10 @@ def even_lanes(spark, width: float = 1280.0, low: int = 21, high: int = 108) ->
     count = sum(m % 12 not in (1, 3, 6, 8, 10) for m in range(low, high + 1))
     key = F.lit(width / count)
     return keys.select("midi", F.when(F.col("is_black"), (white - base) * key).otherwise((white - base + 0.5) * key).alias("center"), F.when(F.col("is_black"), key * 0.58 / 2).otherwise(key / 2).alias("half_width"), "is_black")
+
+
+def manual_lanes(spark, left: float, right: float, first: int, last: int) -> DataFrame:
+    """midi, center, half_width, is_black, confidence: a user's layout from the left of one key to the right of another."""
+    keys = even_lanes(spark, right - left, first, last)
+    wide = F.when(F.col("is_black"), F.col("half_width") * 2).otherwise(F.col("half_width"))
+    return keys.select("midi", (F.col("center") + left).alias("center"), wide.alias("half_width"), "is_black", F.lit(1.0).alias("confidence"))

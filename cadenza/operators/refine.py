@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
-from cadenza.operators.folds import anchored_groups, chains
+from cadenza.operators.folds import anchored_groups, carried, chains
 from cadenza.operators.matching import nearest
 
 
@@ -164,9 +164,9 @@ def snap_onsets(notes: DataFrame, attacks: DataFrame, config: Config = DEFAULT)
 
     A note takes the nearest attack in reach that has no pitch within two semitones
     and whose first note was struck within 45 ms of it.  What an attack holds crosses
-    pitches, so a chain of notes is one fold: candidate lists are joined first by time
-    buckets, the fold sees only notes that have a candidate, and a gap that no
-    attack's reach spans from both sides splits a recording.
+    pitches, so claims in reach are carried along a chain of notes: candidate lists are
+    joined first by time buckets, only notes that have a candidate are looked at, and a
+    gap that no attack's reach spans from both sides splits a recording.
     """
     reach = attacks.join(snap_tolerance(attacks, config), "recording_id")
     width = config.snap_high_us
@@ -178,24 +178,20 @@ def snap_onsets(notes: DataFrame, attacks: DataFrame, config: Config = DEFAULT)
         F.array_sort(F.collect_set(F.struct(F.abs(F.col("attack_us") - F.col("start_us")).alias("d"), "attack_us"))).alias("options"),
     )
     listed = chains(listed, "start_us", 2 * width, ties=("midi", "note_id"))
-    ordered = listed.groupBy("recording_id", "__chain").agg(F.array_sort(F.collect_list(F.struct("start_us", "midi", "note_id", "options"))).alias("xs"))
-    # claims: the placed (attack, pitch, first claimant's start) so far; only those in reach of the note are looked at
-    start = F.expr("named_struct('claims', cast(array() as array<struct<a:bigint,m:int,s:bigint>>), 'out', cast(array() as array<struct<note_id:bigint,to:bigint>>))")
 
-    def step(acc: Column, n: Column) -> Column:
-        live = F.filter(acc["claims"], lambda c: c["a"] >= n["start_us"] - width)
+    def step(claims, start_us, midi, options):
+        live = [c for c in claims if c[0] >= start_us - width]  # placed (attack, pitch, first claimant's start), those in reach
 
-        def free(o: Column) -> Column:
-            clash = F.exists(live, lambda c: (c["a"] == o["attack_us"]) & ((F.abs(c["m"] - n["midi"]) <= config.semitone_guard) | (F.abs(n["start_us"] - c["s"]) > config.together_us)))
-            return ~clash
+        def free(attack: int) -> bool:
+            return not any(a == attack and (abs(m - midi) <= config.semitone_guard or abs(start_us - s) > config.together_us) for a, m, s in live)
 
-        pick = F.get(F.filter(n["options"], free), F.lit(0))["attack_us"]
-        first = F.array_min(F.transform(F.filter(live, lambda c: c["a"] == pick), lambda c: c["s"]))
-        claim = F.struct(pick.alias("a"), n["midi"].alias("m"), F.coalesce(first, n["start_us"]).alias("s"))
-        row = F.struct(n["note_id"].alias("note_id"), pick.alias("to"))
-        return F.when(pick.isNull(), acc).otherwise(F.struct(F.array_append(live, claim).alias("claims"), F.array_append(acc["out"], row).alias("out")))
+        pick = next((o["attack_us"] for o in options if free(o["attack_us"])), None)
+        if pick is not None:
+            live.append((pick, midi, min((s for a, _, s in live if a == pick), default=start_us)))
+        return live, (pick,)
 
-    moves = ordered.select("recording_id", F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("m")).select("recording_id", "m.note_id", F.col("m.to").alias("__to"))
+    moves = carried(listed, ("recording_id", "__chain"), ("start_us", "midi", "note_id"), ("note_id",), ("start_us", "midi", "options"), list, step, "to bigint")
+    moves = moves.select("recording_id", "note_id", F.col("to").alias("__to"))
     rows = notes.join(moves, ["recording_id", "note_id"], "left")
     went = F.coalesce(F.abs(F.col("__to") - F.col("start_us")) > config.still_us, F.lit(False))
     return rows.withColumn("snapped", went).withColumns({

@@ -33,14 +33,23 @@ def write_csv(notes: DataFrame, path: str) -> None:
     rows.write.partitionBy("recording_id").option("header", True).csv(path)
 
 
-def json_documents(notes: DataFrame, report: DataFrame | None = None) -> DataFrame:
-    """recording_id, document: {"notes": [...], "report": {...}} with notes in time order."""
+def json_documents(notes: DataFrame, report: DataFrame | None = None, tempo: DataFrame | None = None, quantized: DataFrame | None = None, accuracy: DataFrame | None = None) -> DataFrame:
+    """recording_id, document: {"notes": [...], "quantized": [...], "report": {...}, "tempo": {...}, "ground_truth": {...}}, as far as they are given.
+
+    Notes stand in time order, quantized ones in the order of their beats.
+    """
     note = F.struct("start_us", "midi", "note_id", "end_us", "hand", F.round(overall_confidence(), 4).alias("overall_confidence"))
     rows = notes.groupBy("recording_id").agg(F.array_sort(F.collect_list(note)).alias("notes"))
-    if report is None:
-        return rows.select("recording_id", F.to_json(F.struct("notes")).alias("document"))
-    stats = report.select("recording_id", F.struct(*(c for c in report.columns if c != "recording_id")).alias("report"))
-    return rows.join(stats, "recording_id", "left").select("recording_id", F.to_json(F.struct("notes", "report")).alias("document"))
+    names = ["notes"]
+    if quantized is not None:
+        one = F.struct("beat", "midi", "note_id", "end_beat", "quantized_s", "error_ms", "ambiguous")
+        rows = rows.join(quantized.groupBy("recording_id").agg(F.array_sort(F.collect_list(one)).alias("quantized")), "recording_id", "left")
+        names.append("quantized")
+    for name, part in (("report", report), ("tempo", tempo), ("ground_truth", accuracy)):
+        if part is not None:
+            rows = rows.join(part.select("recording_id", F.struct(*(c for c in part.columns if c != "recording_id")).alias(name)), "recording_id", "left")
+            names.append(name)
+    return rows.select("recording_id", F.to_json(F.struct(*names)).alias("document"))
 
 
 def read_documents(documents: DataFrame) -> DataFrame:
@@ -59,16 +68,18 @@ def _varint(n: int) -> bytes:
     return out
 
 
-def midi_files(notes: DataFrame, bpm: Column, config: Config = DEFAULT) -> DataFrame:
-    """recording_id, file: a format 0 MIDI file with the tempo and the event stream. A file is one value, so a recording is one group."""
-    rows = midi_events(notes.withColumn("__bpm", bpm), F.col("__bpm"), config).join(notes.groupBy("recording_id").agg(F.max(bpm).alias("bpm")), "recording_id")
+def midi_files(notes: DataFrame, bpm: Column, config: Config = DEFAULT, pedals: DataFrame | None = None, beats_per_measure: int = 4) -> DataFrame:
+    """recording_id, file: a format 0 MIDI file with the tempo, the time signature and the event stream. A file is one value, so a recording is one group."""
+    rows = midi_events(notes.withColumn("__bpm", bpm), F.col("__bpm"), config, pedals).join(notes.groupBy("recording_id").agg(F.max(bpm).alias("bpm")), "recording_id")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        track = b"\x00\xff\x51\x03" + int(round(60_000_000 / pdf["bpm"].iloc[0])).to_bytes(3, "big")
+        head = b"\x00\xff\x51\x03" + int(round(60_000_000 / pdf["bpm"].iloc[0])).to_bytes(3, "big")
+        parts = [head, b"\x00\xff\x58\x04", bytes([beats_per_measure, 2, 24, 8])]
+        status = {"on": 0x90, "off": 0x80, "pedal": 0xB0}
         for delta, kind, channel, midi, velocity in pdf[["delta", "kind", "channel", "midi", "velocity"]].itertuples(index=False):
-            track += _varint(int(delta)) + bytes([(0x90 if kind == "on" else 0x80) | int(channel), int(midi), int(velocity)])
-        track += b"\x00\xff\x2f\x00"
+            parts += [_varint(int(delta)), bytes([status[kind] | int(channel), int(midi), int(velocity)])]
+        track = b"".join([*parts, b"\x00\xff\x2f\x00"])
         data = b"MThd" + struct.pack(">IHHH", 6, 0, 1, config.ppq) + b"MTrk" + struct.pack(">I", len(track)) + track
         return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "file": [data]})
 

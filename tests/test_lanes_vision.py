@@ -1,11 +1,13 @@
 import io
+import json
 import struct
 import xml.etree.ElementTree as ET
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from cadenza.operators import bars, lanes, matching, notation, vision
+from cadenza import catalogue, config
+from cadenza.operators import bars, lanes, matching, notation, tempo, vision
 from cadenza.sources import frames, pieces, sinks, views
 from cadenza.streaming import lanes as stream
 from tests.test_refine import SF, notes
@@ -65,10 +67,114 @@ def test_rendered_piece_is_read_back(spark):
     found = lanes.lane_notes(vision.key_lights(pictures, layout, colours))
     found = found.withColumn("note_id", F.monotonically_increasing_id())
     row = matching.accuracy(found, truth).first()
-    assert (row.recall, row.precision) == (1.0, 1.0) and row.mean_onset_error_ms < 20 and row.mean_duration_error_ms < 40
+    assert (row.recall, row.precision) == (1.0, 1.0) and row.mean_onset_error_ms < 20 and row.mean_duration_error_ms < 25
     assert vision.sampled(pictures, 40).count() == 40
 
 
+def test_ground_truth_of_the_demo_piece(spark):
+    rows = {(r.fps, r.detector): r for r in catalogue.QUERIES["ground_truth"](spark, SF).collect()}
+    assert set(rows) == {(f, d) for f in (60, 30) for d in ("key_lights", "bars")}
+    for (fps, _), r in rows.items():
+        assert r.recall == 1.0 and r.precision >= 0.97 and r.f1 >= 0.98
+        assert r.mean_onset_error_ms < (20 if fps == 60 else 35)
+        assert r.mean_duration_error_ms < (25 if fps == 60 else 35)
+
+
+def test_restrikes_of_bars_stay_distinct(spark):
+    layout = notation.even_lanes(spark, 640.0)
+    truth = pieces.as_table(spark, [(64, 0.6 + i * 0.3, 0.6 + i * 0.3 + (0.28 if i % 2 else 0.2), "right", 95) for i in range(5)])
+    runs = bars.lane_runs(frames.render(spark, truth, layout, 2.4, 60, 640, 160, 160.0), layout)
+    found = bars.bar_notes(runs, 120.0, 160.0)
+    assert found.filter("midi = 64").count() == 5
+    held = lanes.attach_lanes(found, layout).collect()
+    assert all(r.lane_x is not None and r.timing_confidence >= 0.4 and r.pitch_confidence == 1.0 for r in held)
+    assert [r.lane_x for r in lanes.attach_lanes(found.limit(1).withColumn("midi", F.lit(5)), layout).collect()] == [None]
+
+
+def test_temporal_median_and_footage(spark):
+    rng = np.random.default_rng(0)
+    stack = rng.integers(0, 255, (7, 40, 24, 3), dtype=np.uint8)
+    rows = [(0, i, i, 24, 40, bytearray(x.tobytes())) for i, x in enumerate(stack)]
+    dark = np.full((40, 24, 3), 12, np.uint8)
+    rows += [(1, i, i, 24, 40, bytearray(dark.tobytes())) for i in range(4)]
+    median = vision.temporal_median(spark.createDataFrame(rows, frames.SCHEMA))
+    got = {r.recording_id: np.frombuffer(bytes(r.pixels), np.uint8).reshape(40, 24, 3) for r in median.collect()}
+    assert (got[0] == np.median(stack, axis=0).astype(np.uint8)).all() and (got[1] == dark).all()
+    assert {r.recording_id: r.composited for r in vision.composited(median).collect()} == {0: True, 1: False}
+
+
+def test_geometry_of_a_rendered_keyboard(spark):
+    layout = notation.even_lanes(spark, 1040.0)
+    truth = pieces.as_table(spark, [(60 + i, 0.1 + 0.1 * i, 0.15 + 0.1 * i, "right", 90) for i in range(13)])
+    pictures = vision.sampled(frames.render(spark, truth, layout, 1.6, 20, 1040, 200), 20)
+    blank = spark.createDataFrame([(1, 0, 0, 104, 20, bytearray(104 * 20 * 3))], frames.SCHEMA)
+    found = vision.geometry(vision.temporal_median(pictures.unionByName(blank)))
+    want = {r.midi: r for r in layout.collect()}
+    got = {r.midi: r for r in found.filter("recording_id = 0").collect()}
+    assert set(got) == set(range(21, 109)) and all(r.confidence > 0.9 for r in got.values())
+    assert all(abs(r.center - want[m].center) < 3 and r.is_black == want[m].is_black for m, r in got.items())
+    even = found.filter("recording_id = 1").collect()
+    assert len(even) == 88 and {r.confidence for r in even} == {0.35}
+
+
+def test_manual_layout(spark):
+    rows = {r.midi: r for r in notation.manual_lanes(spark, 100.0, 240.0, 60, 71).collect()}
+    assert len(rows) == 12 and (rows[60].center, rows[61].center, rows[62].center) == (110.0, 120.0, 130.0)
+    assert (rows[60].half_width, round(rows[61].half_width, 6), rows[60].confidence) == (10.0, 11.6, 1.0)
+
+
+def test_separators_are_made_regular():
+    marked = np.array([0.0, 60, 90, 120, 150, 180, 210, 241, 300, 330, 420, 480])
+    assert vision.regular(marked, 60.0).tolist() == [0, 60, 120, 180, 241, 300, 360, 420, 480]
+    clean = np.arange(0, 600, 60.0)
+    assert (vision.regular(clean, 60.0) == clean).all()
+
+
+def test_presets():
+    assert (config.preset("fast").scaled(1920), config.preset("maximum").scaled(1920), config.preset("other").scaled(640)) == ((854, 854 / 1920), (1920, 1.0), (640, 1.0))
+    assert [config.preset(n).stride for n in ("fast", "balanced", "maximum")] == [8, 4, 2]
+
+
+def test_beat_lines(spark):
+    view = spark.createDataFrame([(0, 900_000, 2_600_000), (1, 5, 5)], "recording_id long, from_us long, to_us long")
+    beats = spark.createDataFrame([(0, 0.5, 0.1), (1, 0.5, 0.0)], "recording_id long, period double, phase double")
+    assert [(r.beat, r.t_us, r.measure) for r in notation.beat_lines(view, beats).orderBy("beat").collect()] == [(2, 1_100_000, False), (3, 1_600_000, False), (4, 2_100_000, True)]
+
+
+def test_pedals_come_behind_notes(spark):
+    rows = notes(spark, [(60, 0, 1.0)], hand=["left"])
+    pedals = spark.createDataFrame([(0, 0, True), (0, 1_000_000, False)], "recording_id long, t_us long, down boolean")
+    events = [(r.tick, r.kind, r.channel, r.midi, r.velocity) for r in notation.midi_events(rows, F.lit(120.0), pedals=pedals).orderBy("seq").collect()]
+    assert events == [(0, "on", 0, 60, 80), (0, "pedal", 1, 64, 127), (1920, "off", 0, 60, 0), (1920, "pedal", 1, 64, 0)]
+    data = bytes(sinks.midi_files(rows, F.lit(120.0), pedals=pedals).first().file)
+    assert data.count(b"\xb1\x40\x7f") == 1 and data.count(b"\xff\x58\x04\x04\x02\x18\x08") == 1
+
+
+def test_whole_document(spark):
+    rows = notes(spark, [(60, 0, 1.0), (64, 0.5, 1.0)])
+    beats = spark.createDataFrame([(0, 120.0, 0.5, 0.0)], "recording_id long, bpm double, period double, phase double")
+    quantized = tempo.quantize(rows, F.lit(0.5), F.lit(0.0))
+    document = json.loads(sinks.json_documents(rows, tempo=beats, quantized=quantized).first().document)
+    assert [n["midi"] for n in document["notes"]] == [60, 64] and document["tempo"]["bpm"] == 120.0 and [q["beat"] for q in document["quantized"]] == [0.0, 1.0]
+
+
+def test_printed_lengths_are_true(spark):
+    """Every type and dot is worth its duration, and triplets are bracketed."""
+    third = 0.5 / 3
+    rows = [(60 + 3 * i, i * third, (i + 1) * third) for i in range(3)] + [(72 + i, 0.5 + 0.125 * i, 0.5 + 0.125 * i + 0.06) for i in range(4)] + [(60, 1.0, 1.7), (61, 1.01, 1.6), (48, 1.75, 2.0)]
+    table = notes(spark, rows, hand=["right"] * len(rows))
+    positions, thirds = notation.score_positions(table, F.lit(0.5), F.lit(0.0)), notation.triplet_beats(table, F.lit(0.5), F.lit(0.0))
+    layout = notation.chord_layout(positions, thirds).orderBy("measure", "staff", "pos").collect()
+    worth = {"whole": 4, "half": 2, "quarter": 1, "eighth": 0.5, "16th": 0.25, "32nd": 0.125}
+    for r in layout:
+        assert r.dur == r.divisions * worth[r.type] * (1.5 if r.dots else 1) * (2 / 3 if r.triplet else 1), r
+    upper = [r for r in layout if r.staff == 1]
+    assert [(r.triplet, r.begins, r.ends) for r in upper[:3]] == [(True, True, False), (True, False, False), (True, False, True)]
+    assert [r.pitches for r in upper if r.pos >= 24 and r.pitches][:2] == [[60], [61]]  # a step's neighbour is no chord
+    score = ET.fromstring(sinks.musicxml(table, F.lit(0.5), F.lit(0.0)).first().document.split("partwise.dtd\">", 1)[1])
+    assert len(list(score.iter("time-modification"))) == 3 and len(list(score.iter("tuplet"))) == 2
+
+
 def test_keyboard_band_and_separators():
     gray = np.full((300, 520), 20.0)
     gray[150:281] = 230
@@ -107,7 +213,7 @@ def test_every_measure_is_full(spark):
     positions, thirds = notation.score_positions(rows, F.lit(0.5), F.lit(0.0)), notation.triplet_beats(rows, F.lit(0.5), F.lit(0.0))
     layout = notation.chord_layout(positions, thirds).groupBy("measure", "staff", "divisions").agg(F.sum("dur").alias("d")).collect()
     assert len(layout) == 4 and all(r.d == r.divisions * 4 for r in layout)
-    score = ET.fromstring(sinks.musicxml(rows, F.lit(0.5), F.lit(0.0)).first().document.split("?>", 1)[1])
+    score = ET.fromstring(sinks.musicxml(rows, F.lit(0.5), F.lit(0.0)).first().document.split("partwise.dtd\">", 1)[1])
     for measure in score.iter("measure"):
         for staff in ("1", "2"):
             total = sum(int(n.find("duration").text) for n in measure.iter("note") if n.find("staff").text == staff and n.find("chord") is None)
@@ -135,7 +241,7 @@ def test_falling_bars_are_read_back(spark):
     runs = bars.lane_runs(frames.render(spark, truth, layout, 1.8, 60, 1040, 400, 320.0), layout)
     found = bars.bar_notes(runs, 300.0, 320.0).withColumn("note_id", F.monotonically_increasing_id())
     row = matching.accuracy(found, truth).first()
-    assert (row.recall, row.precision) == (1.0, 1.0) and row.mean_onset_error_ms < 20 and row.mean_duration_error_ms < 40
+    assert (row.recall, row.precision) == (1.0, 1.0) and row.mean_onset_error_ms < 20 and row.mean_duration_error_ms < 25
 
 
 def test_notches(spark):
