@@ -87,8 +87,7 @@ def test_toxicity_equals_brute_kneser_ney(spark):
             assert sum(p(c, u, w) for w in [*vocabulary, "unknown"]) == pytest.approx(1, abs=1e-9)
     table = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id bigint, text string, label int")
     words, heads, pairs, *_ = toxicity.estimated(toxicity.counted(table))
-    hashed = {int(textkit.letter_words(pa.array([w]))[0][0] | np.uint64(1)): w for w in vocabulary} | {0: ""}
-    name = {np.uint64(h).view(np.int64).item(): w for h, w in hashed.items()}
+    name = {int(toxicity.words(pa.array([w]))[0][0]): w for w in vocabulary} | {0: ""}
     got = pairs.collect()
     assert len(got) >= 3 and heads.count() >= 2
     for r in got:
