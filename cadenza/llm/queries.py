@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat_format, decontamination, embedding_dedup, language_id, mixing, near_dedup, quality, substring_dedup, token_counts, toxicity
+from cadenza.llm import ball_trees, chat_format, decontamination, embedding_dedup, language_id, line_labels, mixing, near_dedup, product_codes, quality, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,6 +147,75 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), label="lang")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_trees.with_inertia(*ball_trees.cluster(table(spark, sf_dir, "embeddings")))
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_FLOOR_MEAN = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _integers(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _op11_sql(rounds: int = 3) -> str:
+    near = "SELECT r, k, d FROM (SELECT v.r, c.k, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT) AS d FROM kept v, {c} c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1"
+    steps = []
+    for t in range(rounds):
+        steps.append(f"""a{t} AS MATERIALIZED ({near.format(c=f"c{t}")}),
+m{t} AS MATERIALIZED (
+  SELECT k, list({_FLOOR_MEAN} ORDER BY i) AS x FROM (
+    SELECT k, i, CAST(sum(v.x[i]) AS BIGINT) AS s, count(*) AS n FROM a{t} JOIN kept v USING (r), range(1, 65) AS g(i) GROUP BY k, i) GROUP BY k),
+c{t + 1} AS MATERIALIZED (SELECT k, coalesce(m.x, c.x) AS x FROM c{t} c LEFT JOIN m{t} m USING (k))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, {_integers(64)} AS x FROM embeddings WHERE {_FINITE} AND len(embedding) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM kept WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 16)
+), {", ".join(steps)},
+last AS MATERIALIZED ({near.format(c=f"c{rounds}")})
+SELECT vec_id, CAST(k AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM last JOIN kept USING (r) JOIN c{rounds} c USING (k)
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books, _ = product_codes.compress(table(spark, sf_dir, "embeddings"))
+    return product_codes.with_label_error(rows).select("vec_id", "code", "error", "label_error", F.lit(product_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    near = "SELECT r, p, k, d FROM (SELECT v.r, v.p, c.k, CAST(list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT) AS d FROM parts v JOIN {c} c USING (p)) QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, k) = 1"
+    steps = []
+    for t in range(rounds):
+        steps.append(f"""a{t} AS MATERIALIZED ({near.format(c=f"c{t}")}),
+m{t} AS MATERIALIZED (
+  SELECT p, k, list({_FLOOR_MEAN} ORDER BY i) AS x FROM (
+    SELECT p, k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT p, k, unnest(v.x) AS x, unnest(range(1, len(v.x) + 1)) AS i FROM a{t} JOIN parts v USING (r, p)) GROUP BY p, k, i) GROUP BY p, k),
+c{t + 1} AS MATERIALIZED (SELECT p, k, coalesce(m.x, c.x) AS x FROM c{t} c LEFT JOIN m{t} m USING (p, k))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, {_integers(4096)} AS x FROM embeddings WHERE {_FINITE}
+), parts AS MATERIALIZED (
+  SELECT r, p, x[p * len(x) // 8 + 1:(p + 1) * len(x) // 8] AS x FROM kept, range(8) AS g(p)
+), c0 AS MATERIALIZED (SELECT p, r - 1 AS k, x FROM parts WHERE r <= 16),
+{", ".join(steps)},
+last AS MATERIALIZED ({near.format(c=f"c{rounds}")}),
+coded AS MATERIALIZED (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (r)
+"""
+
+
+def op13_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_labels.judge(docs, line_labels.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -158,10 +227,15 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_line_labels": op13_line_labels,
 }
 
 ORACLE: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op3_embedding_dedup": OP3_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_centroid_clustering": _op11_sql(),
+    "op12_vector_codes": _op12_sql(),
 }
