@@ -16,7 +16,8 @@ string, one for each assistant text.
 
 Defined cases: a null text is an empty one, and so is a null role; rows with the
 same turn are ordered by role, then text (a null turn comes first); rows with a
-null conv_id are one conversation; an empty table gives no rows.  Other columns
+null conv_id are one conversation; an empty table gives no rows; time is linear in the turns of a
+conversation.  Other columns
 are not looked at.  A conversation is one value by contract, so its rows meet in
 one task however long it is.
 """
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 HEADER, END, PART = "### ", "</turn>\n", "</part>"
 ASSISTANT = "assistant"
+#: Pieces that one fold sums, and code points of a chunk that spans are read from; the result is the same with any.
+PREFIX_BLOCK, CHUNK = 256, 4096
 
 
 def escape(text: Column) -> Column:
@@ -70,6 +73,27 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         F.when(i == F.size(m["texts"]) - 1, F.lit(len(END))).otherwise(F.lit(len(PART))).alias("after"),
         (m["role"] == ASSISTANT).alias("loss"),
     ))))
+    return (
+        merged.select("conv_id", escaped.alias("escaped"))
+        .select("conv_id", F.array_join(blocks, "").alias("formatted"), pieces.alias("pieces"))
+        .select("conv_id", "formatted", parts("pieces", PREFIX_BLOCK).alias("parts"))
+        .select("conv_id", "formatted", F.transform("parts", walked).alias("walked"))
+        .select("conv_id", "formatted", "walked", block_starts("walked").alias("starts"))
+        .select("conv_id", "formatted", F.flatten(F.transform("walked", lambda w, i: F.transform(w["spans"], lambda s: F.struct((s["start"] + F.get("starts", i)).alias("start"), (s["end"] + F.get("starts", i)).alias("end"))))).alias("loss_spans"))
+    )
+
+
+def parts(column: str, size: int) -> Column:
+    """An array cut into arrays of `size` elements (the last one smaller)."""
+    n = F.floor((F.size(column) + size - 1) / size)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.slice(column, (i * size + 1).cast("int"), F.lit(size)))).otherwise(F.array())
+
+
+def walked(pieces: Column) -> Column:
+    """The length of some pieces and the loss spans in them, counted from their start.
+
+    An array that grows by one element is copied as a whole, so a fold works on PREFIX_BLOCK pieces at most.
+    """
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))
 
     def walk(acc: Column, p: Column) -> Column:
@@ -78,11 +102,13 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         span = F.struct(begin.alias("start"), end.alias("end"))
         return F.struct((end + p["after"]).alias("at"), F.when(p["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return (
-        merged.select("conv_id", escaped.alias("escaped"))
-        .select("conv_id", F.array_join(blocks, "").alias("formatted"), pieces.alias("pieces"))
-        .select("conv_id", "formatted", F.aggregate("pieces", start, walk, lambda acc: acc["spans"]).alias("loss_spans"))
-    )
+    return F.aggregate(pieces, start, walk)
+
+
+def block_starts(column: str) -> Column:
+    """Where each of the walked parts starts: running sums of their lengths."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<bigint>)").alias("starts"))
+    return F.aggregate(column, start, lambda acc, w: F.struct((acc["at"] + w["at"]).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")), lambda acc: acc["starts"])
 
 
 def merged_turns(gathered: DataFrame) -> DataFrame:
@@ -106,8 +132,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
         body = F.substring(block, head + 2, F.length(block))
         return F.transform(F.split(body, PART, -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), loss.alias("loss_texts"))
+    def under(span: Column) -> Column:
+        low, high = F.floor(span["start"] / CHUNK), F.floor((F.greatest(span["end"], span["start"] + 1) - 1) / CHUNK)
+        # the size stands here so that the optimizer sees two uses of the chunks and doesn't cut them anew for each span
+        near = F.array_join(F.slice("chunks", (low + 1).cast("int"), F.least(high + 1, F.size("chunks")).cast("int") - low.cast("int")), "")
+        return unescape(F.substring(near, (span["start"] - low * CHUNK + 1).cast("int"), (span["end"] - span["start"]).cast("int")))
+
+    # a place in a long string is found by counting from its start, so spans are read from chunks
+    chunks = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    cut = formatted.select("conv_id", "formatted", "loss_spans", chunks.alias("chunks"))
+    return cut.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), F.transform("loss_spans", under).alias("loss_texts"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

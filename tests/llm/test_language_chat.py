@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,37 @@ def test_many_languages_share_the_pieces(spark, monkeypatch):
     assert sum(len(p) == 64 for p in own) >= 9  # short texts teach little more than they hold
 
 
+def test_long_texts_teach_throughout(spark):
+    docs = documents(spark, [(1, prose(1, 4000), "a"), (2, prose(2, 3), "a"), (3, None, "a"), (4, "", "b")])
+    pieces = language_id.sample_pieces(docs, "lang", 20, 64)
+    assert len(pieces["a"]) == 20 and len(set(pieces["a"])) == 20 and pieces["b"] == [""]
+    places = sorted(prose(1, 4000).find(p) for p in pieces["a"])
+    assert places[0] < 8000 and places[-1] > 14000
+
+
+@pytest.mark.parametrize("block, chunk", [(2, 7), (256, 4096)])
+def test_chat_spans_in_parts(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(chat_format, "PREFIX_BLOCK", block)
+    monkeypatch.setattr(chat_format, "CHUNK", chunk)
+    rows = [(c, i, ["user", "assistant", "assistant"][i % 3], "é😀</turn>"[: (i * 7 + c) % 11] * (i % 4)) for c in range(9) for i in range(c * 2)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    formatted = chat_format.format_conversations(table)
+    for r in chat_format.read_back(formatted).join(formatted.select("conv_id", "loss_spans"), "conv_id").collect():
+        mine = [(role, text) for c, _, role, text in rows if c == r.conv_id]
+        assert [(t.role, t.text) for t in r.turns] == mine
+        assert r.loss_texts == [t for role, t in mine if role == "assistant"]
+        assert len(r.loss_spans) == len(r.loss_texts)
+
+
+def test_a_conversation_of_200_000_turns_takes_linear_time(spark):
+    table = spark.range(200_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text é ', id, ' ### ') AS text")
+    began = time.time()
+    row = chat_format.digests(chat_format.format_conversations(table)).first()
+    assert time.time() - began < 30
+    loss = "".join(f"text é {i} ### " for i in range(1, 200_000, 2))
+    assert row.n_turns == 200_000 and row.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_chat_of_very_long_texts(spark):
     text = "### x </turn> " * 60_000
     table = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
