@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import textkit
 
-#: Labelled rows that teach a language, at most, characters of a piece of one, and pieces of all languages together.
+#: Pieces that teach a language, at most, characters of one, and pieces of all languages together.
 SAMPLE_ROWS, PIECE_CHARS, ALL_PIECES = 96, 256, 1 << 15
 BLOCK = 1024
 #: Bits a byte of a text behind its first phrase above which it is in no learned language: languages' own texts cost
@@ -193,26 +193,26 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def sample_pieces(labelled: DataFrame, label: str, rows: int, chars: int) -> dict[str, list[str]]:
-    """`rows` rows a label at most, `chars` characters from each, both picked by hashes of doc_id: {label: pieces}.
+    """`rows` pieces of `chars` characters a label at most, picked by hashes of doc_id and place: {label: pieces}.
 
-    A row is picked in proportion to its pieces (a race of exponential waiting times),
-    so each piece is as likely as any other.  Where labels are so many that `rows` of
-    each would be more than `ALL_PIECES`, each gets its share of these, one at least.
+    A text is cut into pieces one after another, and each piece of all labelled text is as
+    likely as any other, so a label of a few long texts is learned throughout them.  Where
+    labels are so many that `rows` of each would be more than `ALL_PIECES`, each gets its
+    share of these, one at least.
     """
     labelled = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    pieces = F.greatest(F.lit(1), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / chars))
-    marks = labelled.select("doc_id", label, pieces.alias("__pieces"))
+    last = F.greatest(F.lit(0), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / chars) - 1)
+    marks = labelled.select("doc_id", label, last.alias("__last"))
     rows = max(1, min(rows, ALL_PIECES // max(1, marks.select(label).distinct().count())))
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    order = Window.partitionBy(label).orderBy(-F.log(uniform) / F.col("__pieces"), "doc_id")
-    picked = marks.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows).select("doc_id", label).distinct()
-    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
-    piece = F.substring(F.col("text"), (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(13)), room)).cast("int"), F.lit(chars))
+    pieces = marks.select("doc_id", label, F.explode(F.sequence(F.lit(0).cast("bigint"), "__last")).alias("__at"))
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.col("__at"), F.lit(11)), "doc_id", "__at")
+    picked = pieces.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows).groupBy("doc_id", label).agg(F.collect_set("__at").alias("__at"))
+    cut = F.transform("__at", lambda at: F.struct(at.alias("at"), F.substring(F.col("text"), (at * chars + 1).cast("int"), F.lit(chars)).alias("piece")))
     # at most ALL_PIECES ids (or one a label) are broadcast, and as many pieces of bounded length come back
-    pieces = labelled.select("doc_id", label, "text").join(F.broadcast(picked), ["doc_id", label]).filter("text is not null").groupBy("doc_id", label).agg(F.min(piece).alias("__piece"))
+    found = labelled.select("doc_id", label, "text").join(F.broadcast(picked), ["doc_id", label]).filter("text is not null").select("doc_id", label, F.explode(cut).alias("c"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(pieces.collect()):
-        texts.setdefault(r[1], []).append(r[2])
+    for r in sorted(found.groupBy("doc_id", label, "c.at").agg(F.min("c.piece").alias("piece")).collect()):
+        texts.setdefault(r[1], []).append(r[3])
     return texts
 
 
