@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import note as note_fn
 from cadenza.functions import pitch
-from cadenza.operators import bars, hands, key, lanes, matching, notation, refine, tempo, verify, vision
+from cadenza.operators import bars, drift, hands, key, lanes, matching, notation, refine, tempo, verify, vision
 from cadenza.plans import analysis
 from cadenza.sources import pieces, sinks, views
 
@@ -437,6 +437,38 @@ def quantized_notes(spark, sf_dir):
     return rows.select("note_id", F.round("beat", 6).alias("beat"), F.round("end_beat", 6).alias("end_beat"), "ambiguous")
 
 
+_STEPS = """ends AS (SELECT recording_id, min(start_us)/1e6 AS t0, CAST(ceil((max(end_us) - min(start_us))/1e6*100) AS BIGINT) + 200 AS last FROM notes GROUP BY recording_id),
+steps AS (SELECT recording_id, t0, unnest(range(0, last + 1)) AS k FROM ends),
+grid AS (SELECT recording_id, k, t0 - 1 + k/100.0::DOUBLE AS ts, CAST(sum(6 + ((k // 150)*37 + recording_id) % 5) OVER (PARTITION BY recording_id ORDER BY k) AS BIGINT)/100.0::DOUBLE AS phi FROM steps)"""
+
+
+def _tracked(notes: DataFrame) -> DataFrame:
+    """recording_id, ts, phi: a grid from a second before the first onset to one behind the last end whose rate changes every second and a half."""
+    ends = notes.groupBy("recording_id").agg((F.min("start_us") / 1e6).alias("t0"), (F.ceil((F.max("end_us") - F.min("start_us")) / 1e6 * 100) + 200).alias("last"))
+    steps = ends.select("recording_id", "t0", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("k"))
+    rate = 6 + (F.floor(F.col("k") / 150) * 37 + F.col("recording_id")) % 5
+    phi = F.sum(rate).over(Window.partitionBy("recording_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) / 100
+    return steps.select("recording_id", (F.col("t0") - 1 + F.col("k") / 100).alias("ts"), phi.alias("phi"))
+
+
+def _phi_sql(t: str) -> str:
+    return f"(SELECT g.phi + ({t} - g.ts)/0.01::DOUBLE*(h.phi - g.phi) FROM grid g JOIN grid h ON h.recording_id = g.recording_id AND h.k = g.k + 1 WHERE g.recording_id = n.recording_id AND g.k = CAST(floor(({t} - (t0 - 1))/0.01::DOUBLE) AS BIGINT))"
+
+
+@query(f"""WITH {NOTES}, {_STEPS}, b AS (SELECT n.*, {_phi_sql('n.start_us/1e6')}/4 AS sb, {_phi_sql('n.end_us/1e6')}/4 AS eb FROM notes n JOIN ends USING (recording_id)),
+  q AS (SELECT *, {_snap_sql('sb')} AS beat, {_snap_sql('eb')} AS e FROM b),
+  z AS (SELECT q.*, p.phi AS p0, p.ts AS s0, (SELECT struct_pack(p := min(g.phi), s := min(g.ts)) FROM grid g WHERE g.recording_id = q.recording_id AND g.phi >= q.beat*4) AS x,
+    (SELECT min(ts) FROM grid g WHERE g.recording_id = q.recording_id) AS low
+    FROM q ASOF LEFT JOIN grid p ON p.recording_id = q.recording_id AND q.beat*4 >= p.phi),
+  t AS (SELECT *, CASE WHEN p0 IS NULL THEN low WHEN x.p IS NULL OR x.p = p0 THEN s0 ELSE s0 + (beat*4 - p0)/(x.p - p0)*(x.s - s0) END AS found FROM z)
+  SELECT note_id, round(beat, 6) AS beat, round(CASE WHEN e <= beat THEN beat + 0.125::DOUBLE ELSE e END, 6) AS end_beat, round(found, 9) AS quantized_s, abs(found - start_us/1e6)*1000 > 60 AS ambiguous FROM t""")
+def tracked_quantize(spark, sf_dir):
+    notes = views.notes(spark, sf_dir)
+    beats = notes.select("recording_id").distinct().select("recording_id", F.lit(PERIOD).alias("period"), F.lit(PHASE).alias("phase"))
+    rows = drift.quantize(notes, analysis._kept(_tracked(notes)), beats)
+    return rows.select("note_id", F.round("beat", 6).alias("beat"), F.round("end_beat", 6).alias("end_beat"), F.round("quantized_s", 9).alias("quantized_s"), "ambiguous")
+
+
 _KEY = f"""h AS (SELECT recording_id, midi%12 AS pc, sum(greatest(1000, end_us - start_us))/1e6 AS w FROM notes GROUP BY 1, 2), f AS (
   SELECT r.recording_id, p.pc, coalesce(w, 0) AS w FROM (SELECT DISTINCT recording_id FROM notes) r CROSS JOIN range(0, 12) p(pc) LEFT JOIN h ON h.recording_id = r.recording_id AND h.pc = p.pc
 ), shape AS (SELECT t.tonic, m.minor, (CASE WHEN m.minor = 0 THEN {key.MAJOR} ELSE {key.MINOR} END)[((p.pc - t.tonic + 12) % 12) + 1]::DOUBLE AS v, p.pc FROM range(0, 12) t(tonic), range(0, 2) m(minor), range(0, 12) p(pc)
@@ -753,6 +785,33 @@ def nearest_lanes(spark, sf_dir):
     return matching.nearest_lane(points, notation.even_lanes(spark)).select("event_id", "midi")
 
 
+_WHOLE_RUNS = """runs AS (SELECT recording_id, midi, frame, t_us, CAST(frame%8*40 AS DOUBLE) AS top, CAST(frame%8*40 + floor(40*fill) AS DOUBLE) AS bottom FROM lane WHERE lit >= 0)"""
+
+
+@query(f"""WITH {LANE}, {_WHOLE_RUNS}, o AS (SELECT *, coalesce(frame - lag(frame) OVER w > 3, true) AS new FROM runs WHERE bottom >= 320 - 6 WINDOW w AS (PARTITION BY recording_id, midi ORDER BY frame)),
+  g AS (SELECT *, sum(new::INT) OVER (PARTITION BY recording_id, midi ORDER BY frame) AS island FROM o),
+  islands AS (SELECT recording_id, midi, CAST(island AS BIGINT) AS island, min(frame) AS first_frame, min(t_us) AS on_us FROM g GROUP BY ALL),
+  met AS (SELECT i.*, first_frame - r.frame AS back, r.top, r.bottom, CAST(r.t_us - on_us AS DOUBLE) AS x, 2400.0::DOUBLE*(on_us - r.t_us)/1e6::DOUBLE AS ahead
+    FROM islands i JOIN runs r ON r.recording_id = i.recording_id AND r.midi = i.midi AND r.frame >= first_frame - {bars.REACH} AND r.frame < first_frame WHERE r.bottom < 319),
+  p AS (SELECT *, abs(bottom - (320 - ahead)) <= greatest(0.35::DOUBLE*ahead, 20) AS point, row_number() OVER (PARTITION BY recording_id, midi, island ORDER BY back) = back AS whole FROM met),
+  c AS (SELECT *, sum(point::INT) OVER (PARTITION BY recording_id, midi, island ORDER BY back) AS points FROM p),
+  m AS (SELECT *, sum((NOT point)::INT) OVER (PARTITION BY recording_id, midi, island, points ORDER BY back) AS missed FROM c),
+  l AS (SELECT *, bool_or(missed > {bars.LOST}) OVER (PARTITION BY recording_id, midi, island ORDER BY back) AS lost FROM m),
+  s AS (SELECT recording_id, midi, island, count(*) AS n, sum(x) AS sx, sum(bottom) AS sy, count(*)*sum(x*x) - sum(x)*sum(x) AS dxx, count(*)*sum(x*bottom) - sum(x)*sum(bottom) AS dxy,
+    count(*) FILTER (WHERE top > 1.5) AS n_full, quantile_cont(bottom - top, 0.5) FILTER (WHERE top > 1.5) AS long FROM l WHERE whole AND point AND NOT lost AND points <= {bars.WALK} GROUP BY ALL),
+  k AS (SELECT *, CASE WHEN n >= 2 AND dxx <> 0 AND dxy/dxx*1e6::DOUBLE > 1e-3::DOUBLE THEN dxy/dxx END AS slope FROM s)
+  SELECT i.recording_id, i.midi, i.island, on_us + CAST(round_even(sx/n + (320 - sy/n)/slope, 0) AS BIGINT) AS onset_us, coalesce(n, 0) AS points,
+    coalesce(slope*1e6::DOUBLE/2400.0::DOUBLE BETWEEN 0.45::DOUBLE AND 2.3::DOUBLE, false) AS speed_fits, CAST(round_even(long/slope, 0) AS BIGINT) AS length_us, coalesce(slope IS NULL OR n_full < n, true) AS cut_off
+  FROM islands i LEFT JOIN k USING (recording_id, midi, island)""")
+def bar_approaches(spark, sf_dir):
+    """Bars of whole pixels followed back from the line, eight frames above it."""
+    lane = views.lane_signal(spark, sf_dir).filter("lit >= 0")
+    top = F.col("frame") % 8 * 40.0
+    runs = lane.select("recording_id", "midi", "frame", "t_us", top.alias("y_top"), (top + F.floor(40 * F.col("fill"))).alias("y_bottom"))
+    rows = bars.approaches(runs, bars.bar_islands(runs, 320.0, 6.0), 320.0, 2400.0)
+    return rows.select("recording_id", "midi", "island", "onset_us", "points", "speed_fits", "length_us", "cut_off")
+
+
 @query()
 def bar_notes(spark, sf_dir):
     """Bars that fall through the lanes of the signal: a lit frame is a bar's lower end, eight frames above the line."""
@@ -761,6 +820,21 @@ def bar_notes(spark, sf_dir):
     return bars.bar_notes(runs, 320.0, 2400.0).withColumn("issues", F.array_join("issues", ";"))
 
 
+@query(f"""WITH {NOTES}, {ATTACKS}, {LANE}, w AS (SELECT *, lag(fill) OVER (PARTITION BY recording_id, midi ORDER BY frame) AS b FROM lane),
+  one AS (SELECT recording_id, midi, frame FROM w WHERE fill >= 0.9::DOUBLE AND trip >= 0.9::DOUBLE AND (b IS NULL OR b < 0.9::DOUBLE)),
+  two AS (SELECT recording_id, midi, frame FROM w WHERE fill >= 0.4 AND (b IS NULL OR b < 0.4)),
+  a AS (SELECT recording_id, count(*) AS attacks FROM attacks GROUP BY recording_id), n1 AS (SELECT recording_id, count(*) AS n FROM one GROUP BY recording_id), n2 AS (SELECT recording_id, count(*) AS n FROM two GROUP BY recording_id),
+  f AS (SELECT recording_id, frame, max(lit) AS lit FROM lane GROUP BY recording_id, frame),
+  ok AS (SELECT recording_id FROM f GROUP BY recording_id HAVING count(*) FILTER (WHERE lit >= 0) >= greatest(2, floor(count(*)*0.25::DOUBLE))),
+  more AS (SELECT a.recording_id FROM a JOIN ok USING (recording_id) LEFT JOIN n1 USING (recording_id) JOIN n2 USING (recording_id) WHERE attacks >= 20 AND coalesce(n1.n, 0) < 0.5::DOUBLE*attacks AND n2.n > coalesce(n1.n, 0))
+  SELECT recording_id, midi, frame, false AS again FROM one WHERE recording_id NOT IN (FROM more) UNION ALL SELECT recording_id, midi, frame, true FROM two WHERE recording_id IN (FROM more)""")
+def adaptive_restart(spark, sf_dir):
+    """Strikes that light a key and the tripwire at once; where these are too few for the attacks, all rises of the fill."""
+    lane, notes = views.lane_signal(spark, sf_dir), views.notes(spark, sf_dir)
+    strikes = lanes.rising_edges(lane, threshold=0.9).filter(F.col("trip") >= 0.9).select("recording_id", "midi", "frame")
+    return analysis.redetect(strikes, lane, views.attacks(notes), lambda rows: lanes.rising_edges(rows).select("recording_id", "midi", "frame"))
+
+
 @query()
 def ground_truth(spark, sf_dir):
     """The demo piece, drawn at 60 and 30 frames a second, read back by both detectors and scored."""

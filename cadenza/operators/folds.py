@@ -79,7 +79,45 @@ def carried(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], keep:
     return rows.select(*needed).transform(lambda r: spread(r, *by)).sortWithinPartitions(*by, *order).select(*dict.fromkeys([*by, *keep, *given])).mapInPandas(run, schema)
 
 
+#: Elements that an inner fold takes; the result is the same with any.
+BLOCK = 128
+
+
+def emitted(values: Column, start: Column, step: Callable, kind: str, finish: Callable | None = None, size: int = BLOCK) -> Column:
+    """What a fold along an array gives out: step(state, x) is the next state and a value of type `kind`, or null for none; finish(state) is one more.
+
+    aggregate() copies all that it has gathered at every step.  So a first pass carries the
+    state alone and notes it where each block of `size` elements begins, and a second
+    folds each block from there into an array of its own: no more than a block's
+    values, or a state for each block, are ever copied.  A null array is an empty one.
+    """
+    n = F.floor((F.size(values) + size - 1) / size)
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.slice(values, (i * size + 1).cast("int"), F.lit(size)))).otherwise(F.array())
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def carry(acc: Column, xs: Column) -> Column:
+        after = F.aggregate(xs, acc["state"], lambda state, x: step(state, x)[0])
+        return F.struct(after.alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts"))
+
+    def one(acc: Column, x: Column) -> Column:
+        state, given = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.when(given.isNotNull(), F.concat(acc["out"], F.array(given))).otherwise(acc["out"]).alias("out"))
+
+    def gathered(carried: Column) -> Column:
+        each = F.transform(blocks, lambda xs, i: F.aggregate(xs, F.struct(F.get(carried["starts"], i).alias("state"), none.alias("out")), one, lambda acc: acc["out"]))
+        out = F.flatten(each)
+        return out if finish is None else F.concat(out, F.filter(F.array(finish(carried["state"])), lambda x: x.isNotNull()))
+
+    first = F.aggregate(blocks, F.struct(start.alias("state"), F.slice(F.array(start), 1, 0).alias("starts")), carry)
+    # an array of one, so that the first pass is named and computed once
+    return F.element_at(F.transform(F.array(first), gathered), 1)
+
+
 def spaced(values: Column, gap_us: int) -> Column:
     """The values of an ascending array that are at least gap_us behind the last one kept."""
-    start = F.expr("cast(array() as array<bigint>)")
-    return F.aggregate(values, start, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= gap_us), F.array_append(acc, x)).otherwise(acc))
+
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        far = last.isNull() | (x - last >= gap_us)
+        return F.when(far, x).otherwise(last), F.when(far, x)
+
+    return emitted(values, F.lit(None).cast("bigint"), step, "bigint")

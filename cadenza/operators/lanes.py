@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
-from cadenza.operators.folds import spaced
+from cadenza.operators.folds import chains, emitted, spaced
 
 LANE = ("recording_id", "midi")
 
@@ -38,7 +38,8 @@ def next_onset(lane: DataFrame, threshold: float = DEFAULT.fill) -> DataFrame:
     w = _order()
     onset = (F.col("fill") >= threshold) & F.coalesce(F.lag("fill").over(w) < threshold, F.lit(True))
     rows = lane.withColumn("onset", onset)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    # from the lane's end backward: a frame that ends at a partition's end is computed anew for each row
+    ahead = Window.partitionBy(*LANE).orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("next_onset", F.coalesce(F.min(F.when(F.col("onset"), F.col("frame"))).over(ahead), F.max("frame").over(Window.partitionBy(*LANE)) + 1))
 
 
@@ -54,30 +55,34 @@ def light_islands(lane: DataFrame, frame_us: int = 16_667, config: Config = DEFA
     """recording_id, midi, first_frame, last_frame: runs of lit frames that bridge flicker but end when the key goes dark.
 
     A run ends behind its last lit frame once two unlit frames in a row are dark, or
-    once more unlit frames follow than 60 ms.  What ends a run depends on all frames
-    since its last lit one, so a lane is one fold, in the JVM.
+    once more unlit frames follow than 60 ms.  So more unlit frames than that cut a lane
+    into stretches, each of which is one fold, in the JVM.
     """
     bridge = max(3, round(config.flicker_us / frame_us))
-    frames = lane.groupBy(*LANE).agg(F.array_sort(F.collect_list(F.struct("frame", "lit", "fill"))).alias("xs"))
-    start = F.expr("named_struct('first', cast(null as int), 'last', cast(null as int), 'gap', 0, 'dark', 0, 'out', cast(array() as array<struct<first_frame:int,last_frame:int>>))")
+    w = _order()
+    rows = lane.select(*LANE, "frame", "lit", "fill").withColumn("__n", F.row_number().over(w))
+    before = F.last(F.when(F.col("lit") >= 0, F.col("__n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = ((F.col("lit") >= 0) & F.coalesce(F.col("__n") - before > bridge + 1, F.lit(True))).cast("bigint")
+    rows = rows.withColumn("__new", new).withColumn("__stretch", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("__stretch > 0")
+    frames = rows.groupBy(*LANE, "__stretch").agg(F.sort_array(F.collect_list(F.struct("frame", "lit", "fill"))).alias("xs"))
+    start = F.expr("named_struct('first', cast(null as int), 'last', cast(null as int), 'gap', 0, 'dark', 0)")
     nothing = F.lit(None).cast("int")
 
-    def step(acc: Column, x: Column) -> Column:
+    def run(acc: Column) -> Column:
+        return F.struct(acc["first"].alias("first_frame"), acc["last"].alias("last_frame"))
+
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         lit, running = x["lit"] >= 0, acc["first"].isNotNull()
         gap = F.when(lit, 0).otherwise(acc["gap"] + 1)
         dark = F.when(lit | (x["fill"] >= config.dark_fill), 0).otherwise(acc["dark"] + 1)
         ends = running & ~lit & ((dark >= config.dark_frames) | (gap > bridge))
-        run = F.struct(acc["first"].alias("first_frame"), acc["last"].alias("last_frame"))
         first = F.when(ends, nothing).when(lit & ~running, x["frame"]).otherwise(acc["first"])
         last = F.when(ends, nothing).when(lit, x["frame"]).otherwise(acc["last"])
-        out = F.when(ends, F.array_append(acc["out"], run)).otherwise(acc["out"])
-        return F.struct(first.alias("first"), last.alias("last"), F.when(running | lit, gap).otherwise(0).alias("gap"), F.when(running | lit, dark).otherwise(0).alias("dark"), out.alias("out"))
-
-    def finish(acc: Column) -> Column:
-        run = F.struct(acc["first"].alias("first_frame"), acc["last"].alias("last_frame"))
-        return F.when(acc["first"].isNotNull(), F.array_append(acc["out"], run)).otherwise(acc["out"])
+        state = F.struct(first.alias("first"), last.alias("last"), F.when(running | lit, gap).otherwise(0).alias("gap"), F.when(running | lit, dark).otherwise(0).alias("dark"))
+        return state, F.when(ends, run(acc))
 
-    runs = frames.select(*LANE, F.explode(F.aggregate("xs", start, step, finish)).alias("r")).select(*LANE, "r.*")
+    folded = emitted(F.col("xs"), start, step, "struct<first_frame:int,last_frame:int>", lambda acc: F.when(acc["first"].isNotNull(), run(acc)))
+    runs = frames.select(*LANE, F.explode(folded).alias("r")).select(*LANE, "r.*")
     return runs.filter(F.col("last_frame") - F.col("first_frame") + 1 >= config.min_run)
 
 
@@ -126,9 +131,13 @@ def trough_splits(runs: DataFrame, lane: DataFrame, frame_us: int = 16_667, conf
     base = F.least("__pre", "__post")
     low = (F.col("fill") <= F.col("__f0")) & (F.col("fill") < F.col("__f2")) & (base > 0) & (F.col("fill") <= config.trough_dip * base) & (F.col("__post") >= config.trough_rise * F.col("__pre"))
     found = rows.filter(low & (F.col("last_frame") - F.col("first_frame") + 1 >= 2 * apart))
-    listed = found.groupBy(*LANE, "first_frame").agg(F.array_sort(F.collect_list(F.struct("frame", "t_us"))).alias("xs"))
-    start = F.struct(F.col("first_frame").alias("last"), F.expr("cast(array() as array<struct<frame:int,t_us:bigint>>)").alias("out"))
-    kept = F.aggregate("xs", start, lambda acc, x: F.when(x["frame"] - acc["last"] >= apart, F.struct(x["frame"].alias("last"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc), lambda acc: acc["out"])
+    listed = found.groupBy(*LANE, "first_frame").agg(F.sort_array(F.collect_list(F.struct("frame", "t_us"))).alias("xs"))
+
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        far = x["frame"] - last >= apart
+        return F.when(far, x["frame"]).otherwise(last), F.when(far, x)
+
+    kept = emitted(F.col("xs"), F.col("first_frame"), step, "struct<frame:int,t_us:bigint>")
     return listed.select(*LANE, "first_frame", F.explode(kept).alias("x")).select(*LANE, "first_frame", "x.*")
 
 
@@ -141,7 +150,8 @@ def tripwire_edges(runs: DataFrame, lane: DataFrame, config: Config = DEFAULT) -
 
 def dedupe(events: DataFrame, gap_us: int = DEFAULT.restrike_us) -> DataFrame:
     """recording_id, midi, t_us: events of a lane at least gap_us behind the last one kept."""
-    rows = events.groupBy(*LANE).agg(F.array_sort(F.collect_list("t_us")).alias("xs"))
+    # an event that far behind the one before is kept whatever was kept before
+    rows = chains(events.select(*LANE, "t_us"), "t_us", gap_us - 1, LANE).groupBy(*LANE, "__chain").agg(F.sort_array(F.collect_list("t_us")).alias("xs"))
     return rows.select(*LANE, F.explode(spaced(F.col("xs"), gap_us)).alias("t_us"))
 
 
@@ -160,7 +170,7 @@ def lane_notes(lane: DataFrame, attacks: DataFrame | None = None, frame_us: int
         edges = nearest(edges, attacks, "t_us", "attack_us").filter(F.abs(F.col("nearest_us") - F.col("t_us")) <= config.skew_window_us).drop("nearest_us")
     splits = trough_splits(runs.select(*LANE, "first_frame", "last_frame"), lane, frame_us, config).unionByName(edges)
     gap = max(frame_us * max(config.min_run, 2), config.restrike_us)
-    listed = splits.groupBy(*keys).agg(spaced(F.array_sort(F.collect_list("t_us")), gap).alias("at"))
+    listed = splits.groupBy(*keys).agg(spaced(F.sort_array(F.collect_list("t_us")), gap).alias("at"))
     inside = in_runs(runs.select(*LANE, "first_frame", "last_frame"), lane).groupBy(*keys).agg(F.max("fill").alias("peak_fill"), F.mode(F.when(F.col("lit") >= 0, F.col("lit")), True).alias("color_cluster"))
     rows = runs.join(listed, keys, "left").join(inside, keys)
     far = F.filter(F.coalesce("at", F.expr("cast(array() as array<bigint>)")), lambda s: (s - F.col("on_us") >= config.restrike_us) & (F.col("off_us") - s >= config.restrike_us))
@@ -169,16 +179,16 @@ def lane_notes(lane: DataFrame, attacks: DataFrame | None = None, frame_us: int
     parts = rows.withColumn("p", F.explode(F.filter(pairs, lambda p: p["e"] - p["s"] >= frame_us * 0.5)))
     sure = F.greatest(F.lit(0.5), F.least(F.lit(1.0), (F.col("last_frame") - F.col("first_frame") + 1) / 4))
     hit = F.struct(F.col("p.s").alias("s"), F.col("p.e").alias("e"), "color_cluster", "peak_fill", sure.alias("sure"), (F.size("at") > 0).alias("again"))
-    hits = parts.groupBy(*LANE).agg(F.array_sort(F.collect_list(hit)).alias("xs"))
+    near = chains(parts.withColumn("__s", F.col("p.s")), "__s", config.restrike_us - 1, LANE)
+    hits = near.groupBy(*LANE, "__chain").agg(F.sort_array(F.collect_list(hit)).alias("xs"))
 
-    def join(done: Column, x: Column) -> Column:
-        p = F.try_element_at(done, F.lit(-1))
+    def join(p: Column, x: Column) -> tuple[Column, Column]:
         grown = F.struct(p["s"].alias("s"), F.greatest(p["e"], x["e"]).alias("e"), p["color_cluster"].alias("color_cluster"), p["peak_fill"].alias("peak_fill"), p["sure"].alias("sure"), p["again"].alias("again"))
-        near = F.coalesce(x["s"] - p["s"] < config.restrike_us, F.lit(False))
-        return F.when(near, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), grown)).otherwise(F.array_append(done, x))
+        close = F.coalesce(x["s"] - p["s"] < config.restrike_us, F.lit(False))
+        return F.when(close, grown).otherwise(x), F.when(~close, p)
 
-    kind = "array<struct<s:bigint,e:bigint,color_cluster:int,peak_fill:double,sure:double,again:boolean>>"
-    joined = hits.select(*LANE, F.explode(F.aggregate("xs", F.expr(f"cast(array() as {kind})"), join)).alias("x"))
+    kind = "struct<s:bigint,e:bigint,color_cluster:int,peak_fill:double,sure:double,again:boolean>"
+    joined = hits.select(*LANE, F.explode(emitted(F.col("xs"), F.lit(None).cast(kind), join, kind, lambda p: p)).alias("x"))
     return joined.select(*LANE, F.col("x.s").alias("start_us"), F.col("x.e").alias("end_us"), "x.color_cluster", "x.peak_fill", F.col("x.sure").alias("detection_confidence"), F.lit(1.0).alias("pitch_confidence"), F.lit(0.7).alias("timing_confidence"), F.lit(0.8).alias("duration_confidence"), F.col("x.again").alias("restrike"))
 
 

@@ -21,8 +21,9 @@ def nearest(left: DataFrame, right: DataFrame, at: str, other: str, by: str = "r
     theirs = right.filter(F.col(other).isNotNull()).select(F.col(by), *columns, F.col(other).alias("__t"), F.col(other).alias("__o"), F.lit(0).alias("__side"))
     both = mine.unionByName(theirs.select(mine.columns))
     behind = Window.partitionBy(by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
-    before, after = F.last("__o", ignorenulls=True).over(behind), F.first("__o", ignorenulls=True).over(ahead)
+    # from the end backward: a frame that ends at a partition's end is computed anew for each row
+    ahead = Window.partitionBy(by).orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    before, after = F.last("__o", ignorenulls=True).over(behind), F.last("__o", ignorenulls=True).over(ahead)
     picked = F.when(after.isNull() | (F.col("__t") - before <= after - F.col("__t")), before).otherwise(after)
     return both.withColumn(name, picked).filter("__side = 1").select(*left.columns, name)
 
@@ -150,8 +151,8 @@ def triggered_at(notes: DataFrame, moves: DataFrame) -> DataFrame:
     """
     mine = notes.select("recording_id", "note_id", F.col("start_us").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast("struct<before_us:bigint,t_us:bigint>").alias("__m"))
     theirs = moves.select("recording_id", F.lit(None).cast("bigint").alias("note_id"), F.col("t_us").alias("__t"), F.lit(1).alias("__side"), F.struct("before_us", "t_us").alias("__m"))
-    ahead = Window.partitionBy("recording_id").orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
-    both = mine.unionByName(theirs).withColumn("__m", F.first("__m", ignorenulls=True).over(ahead)).filter(F.col("note_id").isNotNull())
+    ahead = Window.partitionBy("recording_id").orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    both = mine.unionByName(theirs).withColumn("__m", F.last("__m", ignorenulls=True).over(ahead)).filter(F.col("note_id").isNotNull())
     return both.filter(F.col("__t") > F.col("__m.before_us")).select("recording_id", "note_id", "__m.*")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
-from cadenza.operators.folds import anchored_groups, carried, chains
+from cadenza.operators.folds import anchored_groups, carried, chains, emitted
 from cadenza.operators.matching import nearest
 
 
@@ -28,24 +28,30 @@ def merge_fragments(notes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     A note joins the last merged one (with the end that it has by then) if they
     overlap, if a short one is near, or if they touch; a restrike never joins.
     """
+    # a note that starts merge_gap_us behind all ends so far joins nothing: it opens an island, and islands are folded apart
+    key = Window.partitionBy("recording_id", "midi").orderBy("start_us", "note_id", "end_us")
+    reached = F.max("end_us").over(key.rowsBetween(Window.unboundedPreceding, -1))
+    rows = notes.withColumn("__new", F.coalesce(F.col("start_us") - reached >= max(config.merge_gap_us, config.continuous_us), F.lit(True)).cast("bigint"))
+    rows = rows.withColumn("__island", F.sum("__new").over(key.rowsBetween(Window.unboundedPreceding, 0)))
     x = F.struct("start_us", "note_id", "end_us", "detection_confidence", "is_restrike")
-    rows = notes.groupBy("recording_id", "midi").agg(F.array_sort(F.collect_list(x)).alias("xs"))
-    kind = "array<struct<note_id:bigint,start_us:bigint,end_us:bigint,detection_confidence:double,is_restrike:boolean,parts:bigint>>"
+    rows = rows.groupBy("recording_id", "midi", "__island").agg(F.sort_array(F.collect_list(x)).alias("xs"))
+    kind = "struct<note_id:bigint,start_us:bigint,end_us:bigint,detection_confidence:double,is_restrike:boolean,parts:bigint>"
 
     def length(n: Column) -> Column:
         return F.greatest(F.lit(0), n["end_us"] - n["start_us"])
 
-    def step(done: Column, n: Column) -> Column:
-        p = F.try_element_at(done, F.lit(-1))
+    def step(p: Column, n: Column) -> tuple[Column, Column]:
+        """p is the note that is still open; it is given out by the one that doesn't join it."""
         gap = n["start_us"] - p["end_us"]
         joins = (gap < 0) | ((gap < config.merge_gap_us) & (F.least(length(n), length(p)) < config.sliver_us)) | ((gap > -config.far_overlap_us) & (gap < config.continuous_us))
         joins = F.coalesce(joins & ~p["is_restrike"] & ~n["is_restrike"], F.lit(False))
         grown = F.struct(p["note_id"].alias("note_id"), p["start_us"].alias("start_us"), F.greatest(p["end_us"], n["end_us"]).alias("end_us"),
                          F.greatest(p["detection_confidence"], n["detection_confidence"]).alias("detection_confidence"), p["is_restrike"].alias("is_restrike"), (p["parts"] + 1).alias("parts"))
         fresh = F.struct(n["note_id"].alias("note_id"), n["start_us"].alias("start_us"), n["end_us"].alias("end_us"), n["detection_confidence"].alias("detection_confidence"), n["is_restrike"].alias("is_restrike"), F.lit(1).cast("bigint").alias("parts"))
-        return F.when(joins, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), grown)).otherwise(F.array_append(done, fresh))
+        return F.when(joins, grown).otherwise(fresh), F.when(~joins, p)
 
-    merged = rows.select("recording_id", "midi", F.explode(F.aggregate("xs", F.expr(f"cast(array() as {kind})"), step)).alias("n")).select("recording_id", "midi", "n.*")
+    folded = emitted(F.col("xs"), F.lit(None).cast(kind), step, kind, lambda p: p)
+    merged = rows.select("recording_id", "midi", F.explode(folded).alias("n")).select("recording_id", "midi", "n.*")
     return merged.filter(F.col("end_us") - F.col("start_us") >= config.drop_min_us)
 
 
@@ -107,18 +113,21 @@ def duration_clusters(notes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     A cluster holds durations up to a tenth above its shortest.
     """
     d = F.greatest(F.lit(100), F.col("end_us") - F.col("start_us")).cast("bigint")
-    rows = notes.groupBy("recording_id").agg(F.array_sort(F.collect_list(d)).alias("ds")).filter(F.size("ds") >= 2 * config.duration_members)
-    start = F.expr("cast(array() as array<array<bigint>>)")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        inside = F.coalesce(x <= last[0] * (1.0 + config.duration_tol), F.lit(False))
-        return F.when(inside, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array_append(last, x))).otherwise(F.array_append(done, F.array(x)))
-
-    half = lambda c: F.element_at(c, F.floor((F.size(c) + 1) / 2).cast("int"))
-    upper = lambda c: F.element_at(c, F.floor(F.size(c) / 2 + 1).cast("int"))
-    clusters = F.filter(F.aggregate("ds", start, step), lambda c: F.size(c) >= config.duration_members)
-    return rows.select("recording_id", F.transform(clusters, lambda c: F.floor((half(c) + upper(c)) / 2).cast("bigint")).alias("centers"))
+    enough = notes.groupBy("recording_id").agg(F.count("*").alias("__all")).filter(F.col("__all") >= 2 * config.duration_members).select("recording_id")
+    sizes = notes.select("recording_id", d.alias("d")).groupBy("recording_id", "d").agg(F.count("*").alias("n"))
+    # a duration a tenth beyond the one before begins a cluster whatever the anchor, so chains of near ones are folded apart
+    w = Window.partitionBy("recording_id").orderBy("d")
+    apart = F.coalesce(F.col("d") > F.lag("d").over(w) * (1.0 + config.duration_tol), F.lit(False)).cast("bigint")
+    near = sizes.withColumn("__apart", apart).withColumn("__chain", F.sum("__apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    listed = near.groupBy("recording_id", "__chain").agg(F.sort_array(F.collect_list(F.struct("d", "n"))).alias("xs"))
+
+    def step(anchor: Column, x: Column) -> tuple[Column, Column]:
+        own = F.when(x["d"] <= anchor * (1.0 + config.duration_tol), anchor).otherwise(x["d"])
+        return own, F.struct(own.alias("anchor"), x["d"].alias("d"), x["n"].alias("n"))
+
+    placed = listed.select("recording_id", F.explode(emitted(F.col("xs"), F.lit(None).cast("bigint"), step, "struct<anchor:bigint,d:bigint,n:bigint>")).alias("x")).select("recording_id", "x.*")
+    clusters = placed.groupBy("recording_id", "anchor").agg(F.sum("n").alias("n"), F.floor(F.percentile("d", F.lit(0.5), F.col("n"))).cast("bigint").alias("center")).filter(F.col("n") >= config.duration_members)
+    return clusters.join(enough, "recording_id").groupBy("recording_id").agg(F.array_sort(F.collect_list("center")).alias("centers"))
 
 
 def consolidate_durations(notes: DataFrame, config: Config = DEFAULT) -> DataFrame:

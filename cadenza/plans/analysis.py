@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
-from cadenza.operators import bars, hands, key, lanes, matching, notation, refine, tempo, verify, vision
+from cadenza.operators import bars, drift, hands, key, lanes, matching, notation, refine, tempo, verify, vision
 from cadenza.sources import frames
 
 
@@ -55,17 +56,37 @@ def analyse(notes: DataFrame, attacks: DataFrame | None = None, truth: DataFrame
     rows = _kept(refine.consolidate_durations(rows, config).drop("moved"))
     rows = _kept(verify.error_flags(refine.trim_same_pitch(rows, config), config=config))
     beats = _kept(tempo.estimate(rows, config))
-    on_grid = rows.join(beats.select("recording_id", "period", "phase"), "recording_id")
+    grid = _kept(drift.beat_map(rows, beats, config))
     return Analysis(
         notes=refine.renumber(rows),
         tempo=beats,
         key=key.detect_key(rows),
-        quantized=tempo.quantize(on_grid, on_grid["period"], on_grid["phase"], config),
+        quantized=drift.quantize(rows, grid, beats, config),
         report=verify.report(rows, config=config),
         accuracy=matching.accuracy(rows, truth, config) if truth is not None else None,
     )
 
 
+def redetect(first: DataFrame, source: DataFrame, attacks: DataFrame, second: Callable[[DataFrame], DataFrame], least: int = 20, share: float = 0.5) -> DataFrame:
+    """The notes of each recording by the detector that fits it, with `again` (whether the second one's were taken).
+
+    first: notes (recording_id, ...) of the first detector; second: makes notes of the
+    same columns from rows of the source.  A recording is looked at again if it has `least`
+    attacks or more, the first detector found less than `share` of them as notes, and its key lights
+    tell enough; the second detector's notes stand if they are more.  The counts are joined and
+    decide in the plan: the second detector gets the rows of those recordings only, and
+    nothing goes through the driver.
+    """
+    found = first.groupBy("recording_id").agg(F.count("*").alias("__n"))
+    marked = attacks.groupBy("recording_id").agg(F.count("*").alias("__attacks")).filter(F.col("__attacks") >= least)
+    few = marked.join(found, "recording_id", "left").filter(F.coalesce("__n", F.lit(0)) < share * F.col("__attacks"))
+    doubtful = _kept(few.join(vision.applicable(source).filter("applicable"), "recording_id", "left_semi").select("recording_id", F.coalesce("__n", F.lit(0)).alias("__n")))
+    others = _kept(second(source.join(doubtful, "recording_id", "left_semi")))
+    more = others.groupBy("recording_id").agg(F.count("*").alias("__m")).join(doubtful, "recording_id").filter("__m > __n").select("recording_id")
+    stay = first.join(more, "recording_id", "left_anti").withColumn("again", F.lit(False))
+    return stay.unionByName(others.join(more, "recording_id", "left_semi").withColumn("again", F.lit(True)))
+
+
 def ground_truth(spark: SparkSession, truth: DataFrame, seconds: float, rates: tuple[int, ...] = (60, 30), width: int = 640, height: int = 160, speed: float = 160.0) -> DataFrame:
     """fps, detector and the accuracy of each: known notes (one recording) drawn as frames, read by lit keys and by falling bars, and scored.
 

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import drift, folds, hands, key, matching, refine, tempo, verify
+from cadenza.operators import drift, folds, hands, key, lanes, matching, refine, tempo, verify
+from cadenza.plans import analysis
 from cadenza.plans.analysis import analyse
 from cadenza.sources import pieces, views
 
@@ -308,3 +309,106 @@ def test_folds_are_split_at_gaps(spark):
             anchor, no = t, no + 1
         want[rec, i] = no
     assert {(r.recording_id, r.note_id): r.group_no for r in folds.anchored_groups(table, "start_us", 25_000, "note_id").collect()} == want
+
+
+def test_folds_of_200_000_notes_of_one_key_take_linear_time(spark):
+    """One island of notes that touch but never join, one long chain that joins, all durations near each other."""
+    n = 200_000
+    rows = spark.range(n).selectExpr("0L AS recording_id", "id AS note_id", "60 AS midi", "id * 100000 AS start_us", "id * 100000 + 100000 + (id * 7919) % 30000 AS end_us", "0.5D AS detection_confidence", "true AS is_restrike").cache()
+    rows.count()
+    for restrike, parts in ((True, n), (False, 1)):
+        began = time.time()
+        got = refine.merge_fragments(rows.withColumn("is_restrike", F.lit(restrike))).agg(F.count("*").alias("n"), F.sum("parts").alias("parts")).first()
+        assert (got.n, got.parts) == (parts, n) and time.time() - began < 10
+    began = time.time()
+    centers = refine.duration_clusters(rows).first().centers
+    assert time.time() - began < 10
+    lengths, want = sorted(100_000 + (i * 7919) % 30_000 for i in range(n)), []
+    while lengths:
+        k = sum(x <= lengths[0] * 1.1 for x in lengths)
+        want.append((lengths[(k - 1) // 2] + lengths[k // 2]) // 2)
+        lengths = lengths[k:]
+    assert centers == want
+    began = time.time()
+    assert lanes.dedupe(rows.select("recording_id", "midi", F.col("start_us").alias("t_us"))).count() == n // 2 and time.time() - began < 10
+    began = time.time()
+    attacks = rows.select("recording_id", (F.col("start_us") + 10).alias("attack_us"))
+    assert matching.nearest(rows, attacks, "start_us", "attack_us").filter("nearest_us <> start_us + 10").count() == 0 and time.time() - began < 10
+
+
+@pytest.mark.parametrize("size", [2, 128])
+def test_emitted_equals_a_loop(spark, size):
+    rng = random.Random(size)
+    rows = [(k, [rng.randrange(9) for _ in range(rng.randrange(20))]) for k in range(60)] + [(99, None)]
+    table = spark.createDataFrame(rows, "k int, xs array<int>")
+
+    def step(total, x):
+        new = total + x
+        return F.when(new > 12, 0).otherwise(new), F.when(new > 12, new)
+
+    got = {r.k: r.out for r in table.select("k", folds.emitted(F.col("xs"), F.lit(0), step, "int", lambda t: F.when(t > 0, t), size).alias("out")).collect()}
+    for k, xs in rows:
+        out, total = [], 0
+        for x in xs or []:
+            total += x
+            if total > 12:
+                out.append(total)
+                total = 0
+        assert got[k] == out + [total] * (total > 0)
+
+
+def test_times_are_the_inverse_of_the_grid(spark):
+    """Against interpolation, over many buckets, buckets without a point, and beyond both ends."""
+    rng = np.random.default_rng(5)
+    grids, asked = [], []
+    for r, step in ((0, 0.08), (1, 40.0), (2, 1000.0)):
+        phi, ts = np.cumsum(rng.random(300) * step) - 3, np.arange(300) * 0.01
+        grids += [(r, float(t), float(p)) for t, p in zip(ts, phi)]
+        asked += [(r, k, float(p)) for k, p in enumerate([*rng.uniform(phi[0] - 5, phi[-1] + 200, 200), phi[0], phi[7], phi[-1]])]
+    asked.append((7, 0, 1.0))
+    grid = spark.createDataFrame(grids, "recording_id bigint, ts double, phi double")
+    rows = spark.createDataFrame(asked, "recording_id bigint, k int, p double")
+    got = {(r.recording_id, r.k): r.ts for r in drift.times_at(rows, grid, F.col("p")).collect()}
+    assert len(got) == len(asked) and got[7, 0] is None
+    for r in (0, 1, 2):
+        ts, phi = zip(*((t, p) for q, t, p in grids if q == r))
+        for q, k, p in asked:
+            if q == r:
+                assert got[r, k] == pytest.approx(np.interp(p, phi, ts), abs=1e-9)
+
+
+def test_the_analysis_quantizes_a_slowing_performance_on_its_grid(spark):
+    """Beats of a performance that slows down are where they were played; short recordings take the linear grid."""
+    t, times_ = 0.5, []
+    for i in range(160):
+        times_.append(round(t, 6))
+        t += 0.5 * (1 + 0.0009 * i) / 2
+    rows = notes(spark, [(60 + i % 5, a, a + 0.1) for i, a in enumerate(times_)])
+    found = tempo.estimate(rows).checkpoint()
+    grid = drift.beat_map(rows, found).checkpoint()
+    got = drift.quantize(rows, grid, found).join(rows.select("note_id", "start_us"), "note_id").orderBy("start_us").collect()
+    axis = grid.orderBy("ts").toPandas()
+    for r in got:
+        assert r.quantized_s == pytest.approx(np.interp(4 * r.beat, axis.phi, axis.ts), abs=1e-9)
+    linear = tempo.quantize(rows, F.lit(found.first().period), F.lit(found.first().phase)).collect()
+    late = lambda quantized: np.mean([abs(r.error_ms) for r in quantized])
+    assert late(got) < 0.5 * late(linear) and np.mean([r.ambiguous for r in got]) < 0.1
+    short = rows.filter("note_id < 10")
+    plain = {r.note_id: r for r in drift.quantize(short, grid.filter("recording_id < 0"), found).collect()}
+    assert {r.note_id: r for r in tempo.quantize(short, F.lit(found.first().period), F.lit(found.first().phase)).collect()} == plain
+
+
+def test_recordings_are_detected_again_where_attacks_say_so(spark):
+    """1: too few notes and lit keys; 2: enough notes; 3: no light; 4: the second finds no more; 5: few attacks."""
+    first = spark.createDataFrame([(r, i) for r, n in ((1, 3), (2, 30), (3, 3), (4, 15), (5, 1)) for i in range(n)], "recording_id bigint, t int")
+    attacks = spark.createDataFrame([(r, i * 1000) for r, n in ((1, 40), (2, 40), (3, 40), (4, 40), (5, 19), (6, 25)) for i in range(n)], "recording_id bigint, attack_us bigint")
+    lane = spark.createDataFrame([(r, 60, i, -1 if r == 3 else 0) for r in range(1, 7) for i in range(10)], "recording_id bigint, midi int, frame int, lit int")
+    asked = spark.sparkContext.accumulator(0)
+
+    def second(rows):
+        asked.add(rows.select("recording_id").distinct().count())
+        return rows.select("recording_id", F.col("frame").alias("t"))
+
+    got = analysis.redetect(first, lane, attacks, second).groupBy("recording_id", "again").count().collect()
+    assert {tuple(r) for r in got} == {(1, True, 10), (2, False, 30), (3, False, 3), (4, False, 15), (5, False, 1), (6, True, 10)}
+    assert asked.value == 3  # 1, 4 and 6 only
