@@ -22,6 +22,15 @@ def spread(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+#: Rows of a table that is broadcast after it was counted, at most.
+BESIDE_ROWS = 200_000
+
+
+def beside(rows: DataFrame, small: DataFrame, *by: str, how: str = "left") -> DataFrame:
+    """rows joined with a table of one row a key: broadcast where it is counted as small, shuffled beyond; small is read twice, so it is a checkpoint or cheap."""
+    return rows.join(F.broadcast(small) if small.count() <= BESIDE_ROWS else small, [*by], how)
+
+
 def chains(rows: DataFrame, at: str, gap_us: int, by: tuple[str, ...] = ("recording_id",), ties: tuple[str, ...] = (), name: str = "__chain") -> DataFrame:
     """rows with the number of their chain (0, 1, ...): a new one begins where `at` is more than gap_us behind the row before."""
     w = Window.partitionBy(*by).orderBy(at, *ties)

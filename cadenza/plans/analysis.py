@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
-from cadenza.operators import bars, drift, hands, key, lanes, matching, notation, refine, tempo, verify, vision
+from cadenza.operators import bars, drift, hands, key, lanes, matching, notation, refine, tempo, theme, verify, vision
 from cadenza.sources import frames
 
 
@@ -97,10 +97,10 @@ def ground_truth(spark: SparkSession, truth: DataFrame, seconds: float, rates: t
     found, names = None, []
     for i, fps in enumerate(rates):
         frame_us = round(1e6 / fps)
-        pictures = frames.render(spark, truth, layout, seconds, fps, width, height, speed)
-        clusters = _kept(vision.hue_peaks(vision.hue_histogram(pictures)))
-        lit = lanes.lane_notes(vision.key_lights(pictures, layout, clusters), frame_us=frame_us)
-        falling = bars.bar_notes(bars.lane_runs(pictures, layout), height * (1 - frames.KEYS_SHARE), speed, frame_us=frame_us)
+        pictures = _kept(frames.render(spark, truth, layout, seconds, fps, width, height, speed))  # read five times
+        themes = _kept(theme.theme(_kept(theme.tones(vision.sampled(pictures)))))
+        lit = lanes.lane_notes(vision.key_lights(pictures, layout, themes), frame_us=frame_us)
+        falling = bars.bar_notes(bars.lane_runs(pictures, layout, themes=themes), height * (1 - frames.KEYS_SHARE), speed, frame_us=frame_us)
         for j, (name, rows) in enumerate((("key_lights", lit), ("bars", falling))):
             rows = rows.select(F.lit(2 * i + j).cast("bigint").alias("recording_id"), "midi", "start_us", "end_us")
             found = rows if found is None else found.unionByName(rows)
