@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import bars, theme, vision
-from cadenza.sources import frames
+from cadenza.operators import bars, hands, notation, theme, vision
+from cadenza.sources import frames, pieces
 
 W, H, BACK = 120, 80, 12
 BLUE, GREEN, GOLD, RED, ORANGE, WHITE = (40, 80, 225), (90, 200, 80), (210, 190, 150), (230, 30, 20), (230, 85, 20), (235, 235, 235)
@@ -169,3 +169,19 @@ def test_sound_in_blocks_equals_sound_at_once(spark):
     for block in (5, 40, 1024):
         got = vision.spectral_onsets(table, rate, size, hop, block)
         assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_hands_of_bars_by_their_colour(spark):
+    """The left hand plays above the right one at times: only the colour tells."""
+    layout = notation.even_lanes(spark, 1040.0)
+    truth = pieces.as_table(spark, [(60, 0.8, 1.1, "left", 80), (76, 0.8, 1.2, "right", 80), (62, 1.0, 1.3, "right", 90), (64, 1.5, 1.7, "left", 90)])
+    pictures = frames.render(spark, truth, layout, 2.0, 60, 1040, 400, 320.0).checkpoint()
+    themes = theme.theme(theme.tones(vision.sampled(pictures)).checkpoint()).checkpoint()
+    assert themes.first().kind == "colours" and len(themes.first().colours) == 2
+    found = bars.bar_notes(bars.lane_runs(pictures, layout, themes=themes), 300.0, 320.0)
+    got = {(r.midi, r.hand) for r in hands.by_colour(found).collect()}
+    assert got == {(60, "left"), (76, "right"), (62, "right"), (64, "left")}
+    spread = spark.createDataFrame([(0, 60, f, f * 16_667, 100.0, 300.0, c) for f, c in enumerate([1, 0, 1, 0, 1])], "recording_id long, midi int, frame int, t_us long, y_top double, y_bottom double, cluster int")
+    islands = bars.bar_islands(spread, 300.0, 6.0)
+    assert [r.color_cluster for r in bars.bar_colours(spread, islands, 300.0, 6.0).collect()] == [1]
+    assert [r.color_cluster for r in bars.bar_colours(spread.filter("frame < 4"), islands.withColumn("last_frame", F.lit(3)), 300.0, 6.0).collect()] == [0]
